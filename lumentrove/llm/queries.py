@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, scratch, warc
+from . import exact_dedup, minhash, scratch, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +39,16 @@ g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
 """
 
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_components(table(spark, sf_dir, "documents"), words=4)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op6_exact_dedup": op6_exact_dedup,
+    "op10_minhash": op10_minhash,
 }
 ORACLE_SQL = {
     "op1_warc": OP1_SQL,
