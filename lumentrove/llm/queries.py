@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, packing, scratch, warc
+from . import exact_dedup, minhash, packing, quality, scratch, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, carry=["doc_id"])
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % quality.FOLDS == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_components(table(spark, sf_dir, "documents"), words=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
@@ -53,6 +61,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
 }
 ORACLE_SQL = {
