@@ -11,10 +11,10 @@ into classes; (3) bands of the class sketches make buckets, in which members
 are tied to two hubs only, the smallest and the largest id, so a bucket of any
 size makes candidates in proportion to it; (4) the full sets of candidates are
 compared, members of a hub being split over several tasks; (5) links give
-components; (6) buckets that still hold several components are completed: pairs
-across components whose sketches could agree at the threshold (by the
-concentration bound) are verified as well, in blocks.  Pairs inside one
-component need no test, as they cannot change it.
+components; (6) components that still share a bucket are completed: their
+documents are compared on the full sets across components, in blocks, wherever
+the sketches could agree at the threshold (by the concentration bound).  Pairs
+inside one component need no test, as they cannot change it.
 
 Defined cases: null text is an empty set and linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are their own
@@ -30,17 +30,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import components, kernels, scratch
 from .kernels import U64
 
 BINS = 128
 BANDS = 32
-#: Four deviations of the match count of two sketches at the threshold.
+#: 4.5 deviations of the match count of two sketches at the threshold.
 SLACK = 4.5
 HUB_SHARE = 1000
-BLOCK = 2048
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,74 +134,106 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int,
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, PROFILE)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) with den * |A and B| >= num * |A or B| on the full sets.
+def wanted_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """The full sets that verifying ``pairs`` (a, b) needs: (hub, share, member, id, shingles), written to the shared folder.
 
-    b plays the hub: its set is sent once to each share of about ``HUB_SHARE``
-    partners, each a's set once for every hub it has.
+    b plays the hub: its set is there once for each share of about
+    ``HUB_SHARE`` partners, each a's set once for every hub it has.  A text is
+    read and joined once, whatever the number of its pairs.
     """
     shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("int").alias("shares"))
     members = pairs.join(shares, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"))
     hubs = shares.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
-    wanted = scratch.materialise(members.unionByName(hubs), "minhash-wanted")
+    uses = members.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "share", "member")).alias("uses"))  # bounded by bands and shares
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = wanted.join(texts, "id").select("hub", "share", "member", "id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(4))
+            data, offsets = kernels.raw_text(batch.column(2))
             for lo, hi in kernels.row_chunks(offsets):
                 own, at = shingle_sets(data, offsets[lo : hi + 1], words)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in range(4)), pa.array([own[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())], names=["hub", "share", "member", "id", "shingles"])
+                lists = batch.column(1).slice(lo, hi - lo)
+                flat, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(hi - lo), many)
+                each = pa.array([own[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
+                yield pa.RecordBatch.from_arrays([flat.field("hub"), flat.field("share"), flat.field("member"), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), each.take(pa.array(row))], names=["hub", "share", "member", "id", "shingles"])
+
+    # Merged rather than broadcast at any size: the candidates grow with the corpus.
+    rows = uses.hint("merge").join(texts.hint("merge"), "id").select("id", "uses", "text")
+    return scratch.materialise(rows.mapInArrow(sets, "hub long, share int, member int, id long, shingles binary"), "minhash-sets")
+
+
+def overlap(own: np.ndarray, other: np.ndarray) -> int:
+    near = np.searchsorted(other, own)
+    near[near == len(other)] = 0
+    return int((other[near] == own).sum())
+
+
+def verified(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ``wanted_sets`` with den * |A and B| >= num * |A or B|."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub_set = None, np.zeros(0, U64)
         for batch in batches:
             a, b = [], []
-            hubs_, shares_, member, ids = (batch.column(c).to_numpy() for c in range(4))
+            hubs, shares, member, ids = (batch.column(c).to_numpy() for c in range(4))
             for i in range(batch.num_rows):
                 own = np.frombuffer(batch.column(4)[i].as_buffer(), U64)
                 if not member[i]:
-                    key, hub_set = (hubs_[i], shares_[i]), own.copy()
-                elif key == (hubs_[i], shares_[i]) and len(own) and len(hub_set):
+                    key, hub_set = (hubs[i], shares[i]), own.copy()
+                elif key == (hubs[i], shares[i]) and len(own) and len(hub_set):
                     if min(len(own), len(hub_set)) * den < num * max(len(own), len(hub_set)):
                         continue
-                    near = np.searchsorted(hub_set, own)
-                    near[near == len(hub_set)] = 0
-                    both = int((hub_set[near] == own).sum())
+                    both = overlap(own, hub_set)
                     if den * both >= num * (len(own) + len(hub_set) - both):
                         a.append(ids[i])
-                        b.append(hubs_[i])
+                        b.append(hubs[i])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    ready = rows.mapInArrow(sets, "hub long, share int, member int, id long, shingles binary")
-    return ready.repartition("hub", "share").sortWithinPartitions("hub", "share", "member").mapInArrow(compare, "a long, b long")
+    return sets.repartition("hub", "share").sortWithinPartitions("hub", "share", "member").mapInArrow(compare, "a long, b long")
 
 
-def across(buckets: DataFrame, bins: int, threshold: float) -> DataFrame:
-    """Pairs of bucket members of different components whose sketches may reach the threshold.
+def across(members: DataFrame, bins: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components of one cluster.
 
-    ``buckets``: (key, id, component, sketch, n).  A bucket is cut into blocks
-    of about ``BLOCK`` members, and each pair of blocks is one group.
+    ``members``: (cluster, n, id, component, sketch, shingles).  A cluster is cut
+    into blocks of about ``BLOCK`` rows and each pair of blocks is a group.
+    There, documents whose sketches may agree at the threshold and that no link
+    connects yet are compared on their full sets, the likeliest first; a group
+    returns fewer links than it has documents, however many pairs it holds.
     """
-    least = bins * threshold - SLACK * (bins * threshold * (1 - threshold)) ** 0.5
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = buckets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch")
+    level = num / den
+    least = bins * level - SLACK * (bins * level * (1 - level)) ** 0.5
+    placed = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
+        group = group.combine_chunks()
+        ids, label, block = (group.column(c).to_numpy().copy() for c in ("id", "component", "block"))
         marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), bins)
-        same = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         found: list[tuple[int, int]] = []
-        for x in range(len(ids)):
-            rest = (comp != comp[x]) & (ids < ids[x]) if same else (comp != comp[x]) & (ids < ids[x]) & (block != block[x])
-            rest = np.flatnonzero(rest)
-            if len(rest):
-                found += [(int(ids[x]), int(ids[y])) for y in rest[(marks[rest] == marks[x]).sum(axis=1) >= least]]
+        for x in range(1, len(ids)):
+            open_ = label[:x] != label[x]
+            if split:
+                open_ &= block[:x] != block[x]
+            rest = np.flatnonzero(open_ & (np.minimum(size[:x], size[x]) * den >= num * np.maximum(size[:x], size[x])))
+            if not len(rest):
+                continue
+            agree = (marks[rest] == marks[x]).sum(axis=1)
+            rest = rest[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]
+            for y in rest.tolist():
+                if label[y] == label[x]:
+                    continue
+                both = overlap(sets[y], sets[x])
+                if den * both >= num * (size[x] + size[y] - both):
+                    found.append((int(ids[x]), int(ids[y])))
+                    label[label == label[y]] = label[x]
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    return spread.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, bands: int = BANDS) -> DataFrame:
@@ -214,14 +245,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = scratch.materialise(banded.join(hubs, "key"), "minhash-buckets")
     ties = shared.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = scratch.materialise(verified(ties, docs, id_col, text_col, words, num, den), "minhash-links")
+    sets = wanted_sets(ties, docs, id_col, text_col, words)
+    links = scratch.materialise(verified(sets, num, den), "minhash-links")
     named = scratch.materialise(components.connected_components(links), "minhash-components")
-    lone = shared.filter("n > 2").join(named, shared["rep"] == named["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = lone.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    open_rows = lone.join(mixed, "key", "left_semi").join(classes.select("rep", "sketch"), "rep").select("key", F.col("rep").alias("id"), "component", "sketch", "n")
-    more = scratch.materialise(across(open_rows, bins, num / den).join(ties, ["a", "b"], "left_anti"), "minhash-across")
-    if more.limit(1).count():
-        extra = scratch.materialise(verified(more, docs, id_col, text_col, words, num, den), "minhash-links")
-        named = scratch.materialise(components.connected_components(links.union(extra)), "minhash-components")
+    placed = shared.filter("n > 2").join(named, shared["rep"] == named["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "x")
+    loose = scratch.materialise(placed.join(mixed, "key").select("rep", "component", "x").distinct(), "minhash-loose")
+    if loose.limit(1).count():
+        clusters = components.connected_components(loose.select(F.col("component").alias("a"), F.col("x").alias("b")))
+        members = loose.select("rep", "component").distinct().join(clusters, loose["component"] == clusters["node"]).select("rep", loose["component"].alias("label"), clusters["component"].alias("cluster"))
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        full = sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+        rows = members.join(sizes, "cluster").join(classes.select("rep", "sketch"), "rep").join(full, F.col("rep") == F.col("id")).select("cluster", "n", "id", F.col("label").alias("component"), "sketch", "shingles")
+        named = scratch.materialise(components.connected_components(links.union(across(rows, bins, num, den))), "minhash-components")
     labels = classes.select("set_hash", "rep").join(named, classes["rep"] == named["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     return made.join(labels, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))
