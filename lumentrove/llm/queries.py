@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, packing, quality, scratch, suffix_dedup, warc
+from . import exact_dedup, minhash, packing, quality, scratch, suffix_dedup, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edit_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_winnowing": op2_winnowing,
     "op3_packing": op3_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,

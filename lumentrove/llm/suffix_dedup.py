@@ -52,18 +52,6 @@ RUNS = "k1 long, k2 long, anchor long, s long, n int, c1 long, c2 long"
 # --- anchors ---------------------------------------------------------------
 
 
-def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` consecutive keys, by block-wise running minima."""
-    n = len(keys) - width + 1
-    blocks = -(-len(keys) // width)
-    padded = np.full(blocks * width, np.iinfo(U64).max, U64)
-    padded[: len(keys)] = keys
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 def runs_of(text: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: (document, start, windows, anchor hash); starts are places in ``text``.
 
@@ -74,7 +62,7 @@ def runs_of(text: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tup
         return none, none, none, none.view(U64)
     hashes = kernels.gram_hashes(text, gram)
     low = U64((1 << PLACE_BITS) - 1)
-    least = window_minima((hashes & ~low) | np.arange(len(hashes), dtype=U64), length - gram + 1)
+    least = kernels.window_minima((hashes & ~low) | np.arange(len(hashes), dtype=U64), length - gram + 1)
     place = (least & low).astype(np.int64)
     valid = np.zeros(len(place) + 1, np.int32)
     sizes = np.diff(bounds)
