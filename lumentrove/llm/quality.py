@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         weights, bias = train([x[2] for x in keyed], np.array([x[1] for x in keyed], int))
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
-    model = rows.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    # The join runs where the texts are; only the bounded sample meets in one task.
+    model = rows.repartition(1).mapInArrow(run, "weights binary, bias double").first()
     if model is None:
         return np.zeros(BUCKETS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
