@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, packing, quality, scratch, suffix_dedup, warc, winnow
+from . import exact_dedup, line_dedup, minhash, mixing, packing, quality, scratch, suffix_dedup, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.size(line_dedup.text_lines(F.col("text"))).cast("long").alias("n_lines"))
+    kept = line_dedup.remove_boilerplate(docs)
+    return kept.select("doc_id", "n_lines", F.col("lines_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), mixing.Recipe())
+    return chosen.select("doc_id", "epoch", F.col("mix_domain").alias("domain"), F.col("mix_tokens").alias("n_tokens"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs, carry_text=False)
@@ -70,6 +81,8 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_winnowing": op2_winnowing,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
@@ -77,5 +90,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_warc": OP1_SQL,
+    "op4_line_dedup": line_dedup.oracle_sql(),
+    "op5_mixing": mixing.oracle_sql(mixing.Recipe()),
     "op6_exact_dedup": OP6_SQL,
 }
