@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, minhash, mixing, packing, quality, scratch, suffix_dedup, warc, winnow
+from . import exact_dedup, license_scan, line_dedup, minhash, mixing, packing, quality, scratch, suffix_dedup, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for the files of a tree source/lang/block; every 64th is its block's LICENSE, every 1024th its source's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    block = F.format_string("b%d", F.expr("doc_id div 64"))
+    path = F.when(F.col("doc_id") % 1024 == 0, F.concat_ws("/", "source", F.lit("LICENSE"))).when(F.col("doc_id") % 64 == 0, F.concat_ws("/", "source", "lang", block, F.lit("LICENSE"))).otherwise(F.concat_ws("/", "source", "lang", block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    found = license_scan.scan_tree(docs, "doc_id", path)
+    return found.select(F.col("key").alias("doc_id"), "path", "line_license", "line_score", "file_license", "file_score", "license", "license_score", "license_from")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -84,6 +93,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
