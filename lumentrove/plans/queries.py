@@ -1,4 +1,483 @@
-"""Registry of the core queries and their DuckDB counterparts."""
+"""Queries over the test tables, and what DuckDB says for the same tables.
 
-QUERIES = {}
-ORACLE_SQL = {}
+Tables stand in for the inputs of camera tools: events are cameras (pitch from
+the value, yaw from ``props.k``), embeddings are points, parts are frames,
+pages and documents are texts.  Doubles are rounded to six decimals on both
+sides, as sums and trigonometric functions may differ in the last bit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import binary, markup, scalars
+from ..functions import vectors as V
+from ..operators import cameras, compositing, poses, projection, rules
+from ..sources.files import ordered_values
+from ..streaming import sessions
+from . import sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+RADIUS, VIEW_WIDTH, VIEW_HEIGHT = 3.0, 1280.0, 720.0
+
+
+def query(oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r6(column: Column | str) -> Column:
+    return scalars.rounded(F.col(column) if isinstance(column, str) else column)
+
+
+def rounded_all(df: DataFrame, *columns: str) -> list[Column]:
+    return [r6(c).alias(c) for c in columns]
+
+
+def event_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    return e.select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "view", "front").otherwise("virtual").alias("kind"), (F.col("value") - 100).alias("pitch_degrees"), (k - 50).alias("yaw_degrees"), (F.col("user_id") % 5).cast("double").alias("multiplicity"), F.lit("7").alias("active_camera_id"), F.lit(RADIUS).alias("orbit_radius"), F.lit(16 / 9).alias("image_aspect"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[(e[i].cast("double")).alias(f"p_{c}") for i, c in enumerate("xyz")])
+
+
+def part_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") / F.lit(20.0)).alias("half_x"), (F.col("p_retailprice") / F.lit(1000.0)).alias("half_y"))
+
+
+# --- angles and poses ------------------------------------------------------
+
+
+@query(f"""
+WITH {sql.orbit("SELECT event_id, value - 100 AS pitch, (props->>'$.k')::DOUBLE - 50 AS yaw FROM events", "89")}
+SELECT event_id, {sql.r6("pitch_degrees", "yaw_degrees", "polar_degrees", "dir_x", "dir_y", "dir_z")} FROM orbit
+""")
+def clamp_orbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cams = event_cameras(spark, sf_dir).select(F.col("ord").alias("event_id"), F.col("pitch_degrees").alias("a"), F.col("yaw_degrees").alias("b"))
+    out = projection.with_orbit_angles(cams, F.col("a"), F.col("b"))
+    return out.select("event_id", *rounded_all(out, "pitch_degrees", "yaw_degrees", "polar_degrees", "dir_x", "dir_y", "dir_z"))
+
+
+@query(f"""
+WITH {sql.orbit("SELECT event_id, value - 100 AS pitch, (props->>'$.k')::DOUBLE - 50 AS yaw FROM events", "89")},
+{sql.pose("greatest(0.01, 1 + event_id % 7)")}
+SELECT event_id, {sql.r6("radius", "pos_x", "pos_y", "pos_z", "fwd_x", "fwd_y", "fwd_z", "right_x", "right_y", "right_z", "up_x", "up_y", "up_z")} FROM pose
+""")
+def camera_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cams = event_cameras(spark, sf_dir).select(F.col("ord").alias("event_id"), F.col("pitch_degrees").alias("a"), F.col("yaw_degrees").alias("b"))
+    out = projection.with_pose(cams, F.col("a"), F.col("b"), (1 + F.col("event_id") % 7).cast("double"))
+    return out.select("event_id", *rounded_all(out, "radius", *[f"{v}_{c}" for v in ("pos", "fwd", "right", "up") for c in "xyz"]))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+n AS (SELECT *, sqrt(x * x + y * y + z * z) AS len FROM p)
+SELECT vec_id, {sql.r6("len")}, {", ".join(f"round(CASE WHEN len < 1e-9 THEN 0 ELSE {c} / len END, 6) + 0.0 AS unit_{c}" for c in "xyz")} FROM n
+""")
+def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    p = p.withColumn("len", V.length(V.cols("p")))
+    unit = V.normalize(V.cols("p"), F.col("len"))
+    return p.select("vec_id", r6("len").alias("len"), *[r6(x).alias(f"unit_{c}") for x, c in zip(unit, "xyz", strict=True)])
+
+
+@query(f"""
+WITH {sql.fibonacci(49, 89)}
+SELECT index, id, {sql.r6("fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z")} FROM fib
+""")
+def fib_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = poses.fibonacci_poses(spark)
+    return out.select("index", "id", *rounded_all(out, "fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z"))
+
+
+# --- projections -----------------------------------------------------------
+
+
+@query(f"""
+WITH {sql.orbit("SELECT vec_id, embedding[1]::DOUBLE * 4 AS px, embedding[2]::DOUBLE * 4 AS py, embedding[3]::DOUBLE * 4 AS pz, 15.0 AS pitch, -30.0 AS yaw FROM embeddings", "89")},
+{sql.pose("1.5")},
+{sql.projected("px", "py", "pz", "1280.0", "720.0", "50.0")}
+SELECT vec_id, {sql.r6("ndc_x", "ndc_y", "depth", "x", "y")}, valid FROM projected
+""")
+def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    posed = projection.with_pose(p, F.lit(15.0), F.lit(-30.0), F.lit(1.5))
+    out = projection.project_world(posed, tuple(x * 4 for x in V.cols("p")), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(50.0))
+    return out.select("vec_id", *rounded_all(out, "ndc_x", "ndc_y", "depth", "x", "y"), "valid")
+
+
+@query(f"""
+WITH {sql.orbit("SELECT vec_id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz, vec_id % 60 - 30.0 AS pitch, vec_id % 80 - 40.0 AS yaw FROM embeddings", "89")},
+{sql.pose("2.0")},
+w AS (SELECT *, px AS wx, -0.5625 * py AS wy, pz AS wz, tan(radians(25.0)) AS t FROM pose),
+d AS (SELECT *, radius + (wx * fwd_x + wy * fwd_y + wz * fwd_z) AS depth FROM w),
+n AS (SELECT *, (wx * right_x + wy * right_y + wz * right_z) / greatest(1e-9, depth * t * (1280.0 / 720.0)) AS ndc_x, -(wx * up_x + wy * up_y + wz * up_z) / greatest(1e-9, depth * t) AS ndc_y FROM d)
+SELECT vec_id, {sql.r6("ndc_x", "ndc_y", "depth")}, depth > 1e-9 AS valid, round(px, 6) + 0.0 AS plane_x, round(py, 6) + 0.0 AS plane_y, true AS plane_valid FROM n
+""")
+def planar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a plane are projected and found again."""
+    p = points(spark, sf_dir)
+    seen = projection.with_contract(p, F.lit(1280.0), F.lit(720.0), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), (F.col("vec_id") % 60 - 30).cast("double"), (F.col("vec_id") % 80 - 40).cast("double"), F.lit(2.0), F.lit(50.0))
+    seen = projection.project_planar(seen, F.col("p_x"), F.col("p_y"), F.col("p_z"))
+    out = projection.unproject_planar(seen, F.col("ndc_x"), F.col("ndc_y"), F.col("p_z"))
+    return out.select("vec_id", *rounded_all(out, "ndc_x", "ndc_y", "depth"), "valid", *rounded_all(out, "plane_x", "plane_y"), "plane_valid")
+
+
+CORNER_SQL = "(VALUES (0, -1, 1), (1, 1, 1), (2, 1, -1), (3, -1, -1)) AS c(corner, sx, sy)"
+
+
+@query(f"""
+WITH {sql.orbit(f"SELECT p_partkey, corner, p_size / 20.0::DOUBLE * sx AS px, p_retailprice / 1000.0::DOUBLE * sy AS py, 0.0 AS pz, 20.0 AS pitch, p_partkey % 90 - 45.0 AS yaw FROM part, {CORNER_SQL}", "89")},
+{sql.pose("3.0")},
+{sql.projected("px", "py", "pz", "1280.0", "720.0", "50.0")}
+SELECT p_partkey, corner, round(px, 6) + 0.0 AS corner_x, round(py, 6) + 0.0 AS corner_y, {sql.r6("ndc_x", "ndc_y", "depth", "x", "y")}, valid, valid AND abs(ndc_x) <= 0.9 AND abs(ndc_y) <= 0.9 AS inside FROM projected
+""")
+def frame_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = part_frames(spark, sf_dir)
+    out = projection.camera_diagnostics(frames, F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(20.0), (F.col("p_partkey") % 90 - 45).cast("double"), F.lit(RADIUS), F.lit(50.0))
+    return out.select("p_partkey", "corner", *rounded_all(out, "corner_x", "corner_y", "ndc_x", "ndc_y", "depth", "x", "y"), "valid", projection.inside(0.9).alias("inside"))
+
+
+@query(f"""
+WITH {sql.orbit("SELECT p_partkey, p_partkey % 120 - 60.0 AS pitch, p_partkey % 100 - 50.0 AS yaw FROM part", "89")},
+{sql.pose("3.0")},
+{sql.projected("0.0", "0.0", "0.0", "1280.0", "720.0", "50.0")}
+SELECT p_partkey, {sql.r6("depth", "x", "y")}, valid FROM projected
+""")
+def frame_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = part_frames(spark, sf_dir)
+    posed = projection.with_pose(frames, (F.col("p_partkey") % 120 - 60).cast("double"), (F.col("p_partkey") % 100 - 50).cast("double"), F.lit(RADIUS))
+    out = projection.project_world(posed, (F.lit(0.0), F.lit(0.0), F.lit(0.0)), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(50.0))
+    return out.select("p_partkey", *rounded_all(out, "depth", "x", "y"), "valid")
+
+
+FRAMES_SQL = "SELECT p_partkey, p_size / 20.0::DOUBLE AS fx, p_retailprice / 1000.0::DOUBLE AS fy, {view} FROM part"
+
+
+@query(sql.fit(FRAMES_SQL.format(view="(1280.0 / 720.0)::DOUBLE AS aspect")))
+def fit_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = part_frames(spark, sf_dir)
+    out = poses.fit_radius(frames, ["p_partkey"], F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT))
+    return out.select("p_partkey", r6("fit_radius").alias("fit_radius"))
+
+
+@query(sql.fit(FRAMES_SQL.format(view="greatest(1, p_size / 20.0::DOUBLE * 1024 / greatest(p_size / 20.0::DOUBLE, p_retailprice / 1000.0::DOUBLE)) / greatest(1, p_retailprice / 1000.0::DOUBLE * 1024 / greatest(p_size / 20.0::DOUBLE, p_retailprice / 1000.0::DOUBLE)) AS aspect")))
+def canonical_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = part_frames(spark, sf_dir)
+    out = poses.canonical_radius(frames, ["p_partkey"], F.col("half_x"), F.col("half_y"))
+    return out.select("p_partkey", r6("fit_radius").alias("fit_radius"))
+
+
+@query(f"""
+WITH {sql.orbit(f"SELECT p_partkey, corner, p_size / 20.0::DOUBLE * sx AS px, p_retailprice / 1000.0::DOUBLE * sy AS py, 0.0 AS pz, 20.0 AS pitch, p_partkey % 90 - 45.0 AS yaw FROM part, {CORNER_SQL}", "89")},
+{sql.pose("3.0")},
+{sql.projected("px", "py", "pz", "1280.0", "720.0", "50.0")}
+SELECT p_partkey, coalesce(bool_and(valid AND abs(ndc_x) <= 0.9 AND abs(ndc_y) <= 0.9), true) AS all_inside, coalesce(bool_or(valid AND abs(ndc_x) <= 0.9 AND abs(ndc_y) <= 0.9), false) AS any_inside FROM projected GROUP BY 1
+""")
+def frames_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = part_frames(spark, sf_dir)
+    seen = projection.camera_diagnostics(frames, F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(20.0), (F.col("p_partkey") % 90 - 45).cast("double"), F.lit(RADIUS), F.lit(50.0))
+    return poses.all_inside(seen, ["p_partkey"], projection.inside(0.9))
+
+
+@query(f"""
+WITH {sql.orbit(f"SELECT p_partkey, corner, p_size / 20.0::DOUBLE * sx AS px, p_retailprice / 1000.0::DOUBLE * sy AS py, 0.0 AS pz, 20.0 AS pitch, 10.0 AS yaw FROM part, {CORNER_SQL}", "89")},
+{sql.pose("32.0")},
+{sql.projected("px", "py", "pz", "1280.0", "720.0", "50.0")},
+m AS (SELECT p_partkey, x - round(x, 2) AS ex, y - round(y, 2) AS ey FROM projected)
+SELECT p_partkey, round(max(sqrt(ex * ex + ey * ey)), 6) + 0.0 AS corner_error_max_px FROM m GROUP BY 1
+""")
+def corner_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of corners that were kept with two decimals."""
+    frames = part_frames(spark, sf_dir)
+    exact = projection.camera_diagnostics(frames, F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(20.0), F.lit(10.0), F.lit(32.0), F.lit(50.0)).select("p_partkey", "corner", "x", "y")
+    kept = exact.select("p_partkey", "corner", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+    out = cameras.corner_error(exact, kept, ["p_partkey"])
+    return out.select("p_partkey", r6("corner_error_max_px").alias("corner_error_max_px"))
+
+
+# --- camera pools ----------------------------------------------------------
+
+MARKERS_SQL = f"""
+c AS (SELECT event_id AS ord, event_id::VARCHAR AS id, CASE WHEN event_type = 'view' THEN 'front' ELSE 'virtual' END AS kind, value - 100 AS pitch, (props->>'$.k')::DOUBLE - 50 AS yaw, greatest(1, floor((user_id % 5)::DOUBLE + 0.5))::BIGINT AS m FROM events),
+k AS (SELECT *, printf('%.6f:%.6f', pitch + 0.0, yaw + 0.0) AS angle_key FROM c),
+g AS (SELECT angle_key, min(ord) AS first_ord, arg_min(id, ord) AS first_id, arg_min(kind, ord) AS kind, arg_min(pitch, ord) AS pitch, arg_min(yaw, ord) AS yaw, count(*) AS cameras, sum(m)::BIGINT AS multiplicity, bool_or(id = '7') AS active FROM k GROUP BY angle_key)"""
+
+
+@query(f"""
+WITH {MARKERS_SQL},
+{sql.orbit("SELECT * FROM g", "89")}
+SELECT angle_key, first_ord, first_id, kind, {sql.r6("pitch_degrees", "yaw_degrees")}, 50.0::DOUBLE AS fov_degrees, cameras, multiplicity, active FROM orbit ORDER BY first_ord
+""")
+def camera_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cameras.dedupe_cameras(event_cameras(spark, sf_dir))
+    out = projection.with_orbit_angles(found, F.col("raw_pitch"), F.col("raw_yaw"))
+    return out.select("angle_key", "first_ord", "first_id", "kind", *rounded_all(out, "pitch_degrees", "yaw_degrees"), "fov_degrees", "cameras", "multiplicity", "active").orderBy("first_ord")
+
+
+@query("""
+WITH c AS (SELECT event_id AS ord, event_id::VARCHAR AS member_id, value - 100 AS pitch, (props->>'$.k')::DOUBLE - 50 AS yaw FROM events)
+SELECT printf('%.6f:%.6f', pitch + 0.0, yaw + 0.0) AS angle_key, ord, member_id FROM c
+""")
+def camera_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cameras.marker_members(event_cameras(spark, sf_dir))
+
+
+@query(f"""
+WITH {MARKERS_SQL}
+SELECT count(*) AS marker_count, coalesce(sum(multiplicity), 0)::BIGINT AS sample_count, count(*) FILTER (WHERE kind = 'front') AS front_count, count(*) FILTER (WHERE kind <> 'front') AS virtual_count,
+       coalesce(sum(multiplicity) FILTER (WHERE kind = 'front'), 0)::BIGINT AS front_samples, coalesce(sum(multiplicity) FILTER (WHERE kind <> 'front'), 0)::BIGINT AS virtual_samples, bool_or(active) AS any_active FROM g
+""")
+def camera_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cameras.marker_summary(cameras.dedupe_cameras(event_cameras(spark, sf_dir)))
+
+
+@query(f"""
+WITH {MARKERS_SQL},
+{sql.orbit("SELECT *, 3.0::DOUBLE AS scale_radius FROM g", "89")},
+{sql.pose("3.0")},
+f AS (SELECT *, radius * 0.055 AS d, radius * 0.055 * tan(radians(25.0)) AS hh, radius * 0.055 * tan(radians(25.0)) * (16 / 9::DOUBLE) AS hw, radius * CASE WHEN active THEN 0.025 ELSE 0.016 END AS s FROM pose),
+cc AS (SELECT first_ord, active, kind, corner, pos_x, pos_y, pos_z, s, {", ".join(f"pos_{c} + fwd_{c} * d + right_{c} * hw * sx + up_{c} * hh * sy AS c_{c}" for c in "xyz")} FROM f, {CORNER_SQL}),
+segs AS (
+  SELECT first_ord, active, kind, axis AS segment, 'axis' AS part, pos_x - CASE WHEN axis = 0 THEN s ELSE 0 END AS from_x, pos_y - CASE WHEN axis = 1 THEN s ELSE 0 END AS from_y, pos_z - CASE WHEN axis = 2 THEN s ELSE 0 END AS from_z,
+         pos_x + CASE WHEN axis = 0 THEN s ELSE 0 END AS to_x, pos_y + CASE WHEN axis = 1 THEN s ELSE 0 END AS to_y, pos_z + CASE WHEN axis = 2 THEN s ELSE 0 END AS to_z FROM f, (VALUES (0), (1), (2)) AS a(axis)
+  UNION ALL SELECT first_ord, active, kind, 3 + 2 * corner, 'spoke', pos_x, pos_y, pos_z, c_x, c_y, c_z FROM cc
+  UNION ALL SELECT a.first_ord, a.active, a.kind, 4 + 2 * a.corner, 'edge', a.c_x, a.c_y, a.c_z, b.c_x, b.c_y, b.c_z FROM cc a JOIN cc b ON a.first_ord = b.first_ord AND b.corner = (a.corner + 1) % 4)
+SELECT first_ord, segment, part, CASE WHEN active THEN 'active' ELSE kind END AS style, {sql.r6("from_x", "from_y", "from_z", "to_x", "to_y", "to_z")} FROM segs
+""")
+def marker_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = cameras.with_frustum(cameras.dedupe_cameras(event_cameras(spark, sf_dir)))
+    out = cameras.marker_segments(markers, ["first_ord"])
+    return out.select("first_ord", "segment", "part", "style", *rounded_all(out, "from_x", "from_y", "from_z", "to_x", "to_y", "to_z"))
+
+
+# --- viewer parameters and sessions ----------------------------------------
+
+
+@query("""
+SELECT p_partkey, least(30000, greatest(5000, 5000 + p_partkey * 1000.0::DOUBLE / 50000 * 1000)) AS timeout_ms FROM part
+""")
+def sort_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.sort_timeout_ms(F.col("p_partkey") * 1000).alias("timeout_ms"))
+
+
+@query(f"""
+WITH e AS (SELECT event_id, value - 100 AS pitch, (props->>'$.k')::DOUBLE - 50 AS yaw, event_type = 'view' AS overview, CASE WHEN event_type = 'click' THEN 4.5 ELSE 3.0 END AS viewer, (user_id % 60)::DOUBLE AS fov, (user_id % 100)::DOUBLE AS angle FROM events)
+SELECT event_id, CASE WHEN overview THEN 'camera-pool-overview' ELSE 'center-orbit' END AS view_mode, {sql.r6("CASE WHEN overview THEN 20 ELSE pitch END AS view_pitch", "CASE WHEN overview THEN -42 ELSE yaw END AS view_yaw", "CASE WHEN overview THEN greatest(3.0, viewer) * 2.65 ELSE viewer END AS view_radius")},
+       greatest(25, least(55, CASE WHEN fov = 0 THEN 50 ELSE fov END))::DOUBLE AS fov_degrees, greatest(0, least(89, CASE WHEN angle = 0 THEN 89 ELSE angle END))::DOUBLE AS max_angle FROM e
+""")
+def view_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    mode = scalars.radius_mode(F.when(F.col("event_type") == "click", "fit"))
+    out = cameras.view_parameters(e, F.col("event_type") == "view", F.col("value") - 100, F.get_json_object("props", "$.k").cast("double") - 50, F.lit(RADIUS), F.lit(4.5), mode)
+    return out.select("event_id", "view_mode", *rounded_all(out, "view_pitch", "view_yaw", "view_radius"), scalars.shared_fov((F.col("user_id") % 60).cast("double")).alias("fov_degrees"), scalars.max_camera_angle((F.col("user_id") % 100).cast("double")).alias("max_angle"))
+
+
+@query("""
+SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS pitch, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('view', 'error')) AS mode, arg_max(event_id, event_id) FILTER (WHERE event_type = 'signup') AS active_camera FROM events GROUP BY 1
+""")
+def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return sessions.last_settings(table(spark, sf_dir, "events"), "user_id", F.col("event_id"), {"pitch": (kind == "click", F.col("value")), "mode": (kind.isin("view", "error"), kind), "active_camera": (kind == "signup", F.col("event_id"))})
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS camera_updates, count(*) FILTER (WHERE event_type = 'purchase') AS sorted_frames FROM events GROUP BY 1
+""")
+def event_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    return sessions.event_counters(table(spark, sf_dir, "events"), "user_id", {"camera_updates": kind == "view", "sorted_frames": kind == "purchase"})
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, user_id, count(*) FILTER (WHERE event_type = 'view') AS camera_updates FROM events GROUP BY 1, 2
+""")
+def windowed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.windowed_counters(table(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", "user_id", {"camera_updates": F.col("event_type") == "view"})
+
+
+# --- binary and file sets --------------------------------------------------
+
+
+@query("""
+SELECT p_partkey, p_size::DOUBLE AS vertices, octet_length(encode('ply' || chr(10) || 'format binary_little_endian 1.0' || chr(10) || 'element vertex ' || p_size || chr(10) || 'end_header' || chr(10)))::BIGINT AS bytes FROM part
+""")
+def ply_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = F.concat(F.lit("ply\nformat binary_little_endian 1.0\nelement vertex "), F.col("p_size").cast("string"), F.lit("\nend_header\n")).cast("binary")
+    return table(spark, sf_dir, "part").select("p_partkey", binary.ply_vertex_count(header).alias("vertices"), F.octet_length(header).cast("long").alias("bytes"))
+
+
+@query("""
+SELECT p_partkey, p_size::BIGINT AS width, (p_partkey % 100000)::BIGINT AS height, p_size = 1280 AND p_partkey = 720 AS is_screenshot FROM part
+""")
+def png_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers made from the table: signature, first chunk, width and height."""
+    number = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
+    head = F.unhex(F.concat(F.lit(binary.PNG_SIGNATURE + "0000000D49484452"), number(F.col("p_size")), number(F.col("p_partkey") % 100000)))
+    return table(spark, sf_dir, "part").select("p_partkey", binary.png_width(head).alias("width"), binary.png_height(head).alias("height"), binary.is_screenshot(head).alias("is_screenshot"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", binary.digest(text).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+@query("""
+WITH d AS (SELECT doc_id FROM documents WHERE n_chars % 2 = 0), l AS (SELECT doc_id FROM labels)
+SELECT doc_id, 'unexpected' AS status FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)
+UNION ALL SELECT doc_id, 'missing' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)
+""")
+def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest lists labelled documents; there are those whose length is even."""
+    there = table(spark, sf_dir, "documents").filter(F.col("n_chars") % 2 == 0)
+    return rules.manifest_difference(table(spark, sf_dir, "labels"), there, ["doc_id"])
+
+
+@query("""
+WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'),
+a AS (SELECT doc_id, sha256(CASE WHEN n_chars % 3 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE lang <> 'de')
+SELECT coalesce(s.doc_id, a.doc_id) AS doc_id, s.doc_id IS NOT NULL AS source_file, a.doc_id IS NOT NULL AS artifact_file, coalesce(s.h = a.h, false) AS parity FROM s FULL OUTER JOIN a ON s.doc_id = a.doc_id
+""")
+def byte_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against copies of which some are altered and some absent."""
+    d = table(spark, sf_dir, "documents")
+    altered = d.filter("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") % 3 == 0, F.upper("text")).otherwise(F.col("text")).cast("binary").alias("content"))
+    return rules.content_parity(d.filter("lang <> 'fr'").select("doc_id", F.col("text").cast("binary").alias("content")), altered, "doc_id")
+
+
+# --- rules over texts ------------------------------------------------------
+
+
+@query(r"""
+WITH p AS (SELECT page_id, html, regexp_extract_all(html, '(?i)<(?:script|link)\b[^>]*>') AS tags FROM pages),
+v AS (SELECT *, list_filter(list_transform(tags, lambda t: regexp_extract(t, '(?i)\b(?:src|href)=["'']([^"'']+)["'']', 1)), lambda x: x <> '') AS assets FROM p)
+SELECT page_id, regexp_matches(html, '(?i)<html\b[^>]*\blang=["'']en(?:-[A-Za-z0-9]+)?["'']') AND NOT regexp_matches(html, '[ぁ-んァ-ヶ一-龯々]') AS english,
+       trim(regexp_extract(html, '(?i)<meta\s+name=["'']description["'']\s+content=["'']([^"'']*)["''][^>]*>', 1)) AS description,
+       len(assets)::INTEGER AS assets, coalesce(list_bool_and(list_transform(assets, lambda x: NOT regexp_matches(x, '(?i)^(?:https?:)?//'))), true) AS local_assets,
+       NOT regexp_matches(html, '(?i)(?:@import|url)\s*(?:\(|)["'']?(?:https?:)?//') AS local_styles FROM v
+""")
+def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", markup.is_english_document(html).alias("english"), markup.meta_content(html, "description").alias("description"), F.size(markup.asset_references(html)).alias("assets"), markup.assets_are_local(html).alias("local_assets"), markup.css_is_local(html).alias("local_styles"))
+
+
+SELECT_HTML = '<p>x</p><select class="a" id="algorithmSelect"><option value="one">1</option>\n<option class="c" value=\'two\'>2</option></select><select id="other"><option value="three">3</option></select>'
+
+
+@query("SELECT * FROM (VALUES (0, 'one'), (1, 'two')) AS t(ord, value)")
+def option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = ordered_values(spark, [SELECT_HTML], "html")
+    return html.select(F.posexplode(markup.option_values(F.col("html"), "algorithmSelect")).alias("ord", "value"))
+
+
+WORKFLOW = """permissions: {}
+jobs:
+  build:
+    permissions:
+      contents: write
+      pages: none # later lines win
+      contents: read
+    steps: []
+  deploy:
+    permissions:
+      pages: write
+      id-token: write
+"""
+
+
+@query("SELECT * FROM (VALUES ('build', 'contents', 'read'), ('build', 'pages', 'none'), ('deploy', 'pages', 'write'), ('deploy', 'id-token', 'write')) AS t(job, permission, access)")
+def permission_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = ordered_values(spark, [WORKFLOW], "workflow").select(F.explode(F.array(*[F.struct(F.lit(j).alias("job"), markup.permission_map(markup.job_block(F.col("workflow"), j, nxt)).alias("m")) for j, nxt in (("build", "deploy"), ("deploy", None))])).alias("j"))
+    return text.select("j.job", F.explode("j.m").alias("permission", "access"))
+
+
+@query(r"""
+WITH r AS (SELECT page_id, html, contains(html, '</') AS closes FROM pages),
+f AS (SELECT page_id, unnest([{'ord': 0, 'rule': 'closes its tags', 'ok': closes}, {'ord': 1, 'rule': 'has a title', 'ok': contains(html, '<title>')}, {'ord': 2, 'rule': 'loads nothing over plain http', 'ok': NOT contains(html, 'http://')}], recursive := true) FROM r)
+SELECT page_id, string_agg(rule, ', ' ORDER BY ord) AS failed FROM f WHERE NOT ok GROUP BY 1
+""")
+def rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    checks = [("closes its tags", F.contains(html, F.lit("</"))), ("has a title", F.contains(html, F.lit("<title>"))), ("loads nothing over plain http", ~F.contains(html, F.lit("http://")))]
+    failed = rules.failures(rules.evaluate(table(spark, sf_dir, "pages"), checks, ["page_id"]), ["page_id"])
+    return failed.select("page_id", F.array_join("failed", ", ").alias("failed"))
+
+
+@query()
+def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 24 rules, with every page in the place of a launcher and an app."""
+    empty = {c: F.lit("") for c in ("app_script", "styles", "readme")}
+    releases = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("launcher_html"), F.col("html").alias("app_html"), F.lit(WORKFLOW).alias("workflow"), F.lit(None).cast("binary").alias("screenshot")).withColumns(empty)
+    return rules.evaluate(releases, rules.release_rules(rules.Policy(options=("one", "two"))), ["page_id"])
+
+
+# --- compositing -----------------------------------------------------------
+
+
+@query("""
+WITH e AS (SELECT user_id, ts::DATE AS day, event_id, value, (props->>'$.k')::DOUBLE / 100 AS a FROM events),
+t AS (SELECT *, coalesce(product(1 - a) OVER (PARTITION BY user_id, day ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS t FROM e)
+SELECT user_id, day::VARCHAR AS day, count(*) AS layers, round(sum(a * t * value), 6) + 0.0 AS color, round(sum(a * t), 6) + 0.0 AS coverage FROM t GROUP BY 1, 2
+""")
+def alpha_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumns({"day": F.to_date("ts").cast("string"), "a": F.get_json_object("props", "$.k").cast("double") / 100})
+    out = compositing.composite(e, ["user_id", "day"], ["event_id"], F.col("a"), F.col("value"))
+    return out.select("user_id", "day", "layers", *rounded_all(out, "color", "coverage"))
+
+
+@query("""
+SELECT event_id, round(greatest(0.005, least(0.995, value / 500)) * (0.4 + 0.5 * greatest(0, least(1, (props->>'$.k')::DOUBLE / 80))) * (1.0 - 0.7 * greatest(0, least(1, (user_id % 10)::DOUBLE / 8))), 6) + 0.0 AS opacity FROM events
+""")
+def opacity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    value = compositing.opacity(F.col("value") / 500, F.get_json_object("props", "$.k").cast("double") / 80, F.lit(0.4), F.lit(0.9), (F.col("user_id") % 10).cast("double") / 8, F.lit(1.0), F.lit(0.3))
+    return e.select("event_id", r6(value).alias("opacity"))
+
+
+@query("""
+WITH e AS (SELECT label, abs(floor(embedding[1] * 3)::INTEGER) % 3 AS a, abs(floor(embedding[2] * 5)::INTEGER) % 4 AS p FROM embeddings),
+g AS (SELECT label, max(a) AS alpha_maximum, max(p) AS premultiplied_maximum FROM e GROUP BY 1)
+SELECT label, alpha_maximum, premultiplied_maximum, alpha_maximum <= 1 AND premultiplied_maximum <= CASE WHEN alpha_maximum > 0 THEN 2 ELSE 1 END AS parity FROM g
+""")
+def export_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    step = lambda i, by, most: F.abs(F.floor(e[i] * F.lit(by).cast("float")).cast("int")) % most
+    return compositing.export_parity(table(spark, sf_dir, "embeddings"), ["label"], step(0, 3, 3), step(1, 5, 4))
+
+
+@query("""
+WITH e AS (SELECT label, round(embedding[1]::DOUBLE * 255) AS a, round(embedding[2]::DOUBLE * 255) AS b FROM embeddings),
+g AS (SELECT label, count(*) AS samples, avg(abs(a - b)) AS l1, avg((a - b) * (a - b)) AS mse FROM e GROUP BY 1)
+SELECT label, samples, round(l1, 6) + 0.0 AS l1, round(mse, 6) + 0.0 AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(255 * 255 / mse) END, 6) + 0.0 AS psnr FROM g
+""")
+def image_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("embedding")
+    out = compositing.image_error(table(spark, sf_dir, "embeddings"), ["label"], F.round(e[0].cast("double") * 255), F.round(e[1].cast("double") * 255))
+    return out.select("label", "samples", *rounded_all(out, "l1", "mse", "psnr"))
+
+
+@query("""
+SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY embedding[3] DESC, vec_id) - 1)::INTEGER AS draw_order FROM embeddings
+""")
+def depth_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compositing.depth_order(table(spark, sf_dir, "embeddings"), ["label"], F.col("embedding")[2], "vec_id")
+    return out.select("label", "vec_id", "draw_order")
