@@ -37,8 +37,18 @@ def with_orbit_angles(df: DataFrame, pitch: Column, yaw: Column, max_polar: Colu
     return out.drop("_p", "_y", "_m", "_d_x", "_d_y", "_d_z", "_polar", "_az", "_in")
 
 
-def with_pose(df: DataFrame, pitch: Column, yaw: Column, radius: Column) -> DataFrame:
-    """Adds the clamped angles, radius, pos_*, fwd_*, right_* and up_* of a camera that looks at the origin."""
+def with_pose(df: DataFrame, pitch: Column | float, yaw: Column | float, radius: Column | float) -> DataFrame:
+    """Adds the clamped angles, radius, pos_*, fwd_*, right_* and up_* of a camera that looks at the origin.
+
+    Give one camera for all rows as three numbers, not as literal columns: its
+    pose is then worked out once and joined as a table of one row.  As literals
+    the optimizer would put every stage's expression into the next one's.
+    """
+    if all(isinstance(x, (int, float)) for x in (pitch, yaw, radius)):
+        camera = df.sparkSession.createDataFrame([(float(pitch), float(yaw), float(radius))], "_cp double, _cy double, _cr double")
+        posed = with_pose(camera, F.col("_cp"), F.col("_cy"), F.col("_cr")).drop("_cp", "_cy", "_cr")
+        return df.crossJoin(F.broadcast(posed))  # one row by construction
+    pitch, yaw, radius = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pitch, yaw, radius))
     out = with_orbit_angles(df, pitch, yaw).drop("dir_x", "dir_y", "dir_z")
     out = out.withColumns({"radius": F.greatest(F.lit(0.01), finite(radius, 1.0)), "_p": to_radians(F.col("pitch_degrees")), "_y": to_radians(F.col("yaw_degrees"))})
     out = out.withColumns(V.named("pos", tuple(F.col("radius") * x for x in direction_of(F.col("_p"), F.col("_y")))))
@@ -53,7 +63,7 @@ def with_axes(df: DataFrame, towards: V.Vec) -> DataFrame:
     return out.withColumns(V.named("up", V.normalize(V.cross(V.cols("right"), V.cols("fwd")))))
 
 
-def with_contract(df: DataFrame, frame_width: Column, frame_height: Column, width: Column, height: Column, pitch: Column, yaw: Column, radius: Column, fov: Column) -> DataFrame:
+def with_contract(df: DataFrame, frame_width: Column, frame_height: Column, width: Column, height: Column, pitch: Column | float, yaw: Column | float, radius: Column | float, fov: Column) -> DataFrame:
     """Adds a pose and fov_degrees, tan_half_fov, aspect, frame_x, frame_y, view_width, view_height of a planar painting's camera.
 
     Frame sides are divided by the longer one, and by 1 if both are shorter.
@@ -136,7 +146,7 @@ def inside(margin: float | Column, prefix: str = "") -> Column:
     return F.col(f"{prefix}valid") & (F.abs(F.col(f"{prefix}ndc_x")) <= margin) & (F.abs(F.col(f"{prefix}ndc_y")) <= margin)
 
 
-def camera_diagnostics(df: DataFrame, half_x: Column, half_y: Column, width: Column, height: Column, pitch: Column, yaw: Column, radius: Column, fov: Column) -> DataFrame:
+def camera_diagnostics(df: DataFrame, half_x: Column, half_y: Column, width: Column, height: Column, pitch: Column | float, yaw: Column | float, radius: Column | float, fov: Column) -> DataFrame:
     """Pose, projected origin (center_*) and the four projected corners, a row each."""
     origin = (F.lit(0.0), F.lit(0.0), F.lit(0.0))
     posed = project_world(with_pose(df, pitch, yaw, radius), origin, width, height, fov, "center_")

@@ -119,7 +119,7 @@ SELECT vec_id, {sql.r6("ndc_x", "ndc_y", "depth", "x", "y")}, valid FROM project
 """)
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    posed = projection.with_pose(p, F.lit(15.0), F.lit(-30.0), F.lit(1.5))
+    posed = projection.with_pose(p, 15.0, -30.0, 1.5)
     out = projection.project_world(posed, tuple(x * 4 for x in V.cols("p")), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(50.0))
     return out.select("vec_id", *rounded_all(out, "ndc_x", "ndc_y", "depth", "x", "y"), "valid")
 
@@ -208,7 +208,7 @@ SELECT p_partkey, round(max(sqrt(ex * ex + ey * ey)), 6) + 0.0 AS corner_error_m
 def corner_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error of corners that were kept with two decimals."""
     frames = part_frames(spark, sf_dir)
-    exact = projection.camera_diagnostics(frames, F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(20.0), F.lit(10.0), F.lit(32.0), F.lit(50.0)).select("p_partkey", "corner", "x", "y")
+    exact = projection.camera_diagnostics(frames, F.col("half_x"), F.col("half_y"), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), 20.0, 10.0, 32.0, F.lit(50.0)).select("p_partkey", "corner", "x", "y")
     kept = exact.select("p_partkey", "corner", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
     out = cameras.corner_error(exact, kept, ["p_partkey"])
     return out.select("p_partkey", r6("corner_error_max_px").alias("corner_error_max_px"))
