@@ -33,6 +33,8 @@ BUCKETS = 1 << 18
 DIM = 16
 GRAMS = (3, 4)
 EPOCHS = 5
+#: A small sample is read as often as makes this many steps.
+LEAST_STEPS = 2000
 RATE = 0.5
 CLIP = 5.0
 MAX_ROWS = 4000
@@ -92,6 +94,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim:
     bias = np.array([np.log(1 - share), np.log(share)], np.float64)
     if len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), float(bias[1] - bias[0])
+    epochs = max(epochs, -(-LEAST_STEPS // len(samples)))
     steps, done = epochs * len(samples), 0
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
