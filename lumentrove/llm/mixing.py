@@ -90,8 +90,9 @@ def leaf_budgets(leaves: DataFrame, recipe: Recipe) -> DataFrame:
         at = list(LEVELS[: depth + 1])
         nodes = leaves.groupBy(*at).agg((F.sum("tokens") * recipe.epochs).alias("cap")).withColumn("weight", recipe.weight(level, F.col(level)))
         if down is None:
-            total = leaves.agg(F.expr(f"(coalesce(sum(tokens), 0) * {recipe.percent}) div 100").alias("parent_budget"))
-            nodes = nodes.crossJoin(total)  # one row on this side by construction
+            # One row per domain, of which ``domain_of`` has a fixed number.
+            total = F.sum("cap").over(Window.partitionBy(F.lit(0)))
+            nodes = nodes.withColumn("__all", total).withColumn("parent_budget", F.expr(f"((__all div {recipe.epochs}) * {recipe.percent}) div 100")).drop("__all")
         else:
             nodes = nodes.join(down, at[:-1])
         down = shared(nodes, at[:-1], level).select(*at, F.col("budget").alias("parent_budget"))
