@@ -2,10 +2,16 @@
 
 A unit (a line, or the whole text) and a template are vectors of word counts
 times inverse document frequency; the frequencies are counted over all
-documents.  Words that more than ``COMMON`` of the documents contain weigh
-nothing, so a line without a rarer template word has cosine 0 with all templates
-and is skipped; this is exact, not a filter.  Both passes are scans of whole
-texts; what is gathered is one count per template word.
+documents.  Every word weighs something, however common, so an exact notice has
+cosine 1 in any table.  A line is compared with the templates if a bound on its
+cosine reaches the threshold; the bound takes each word's largest share in any
+template and a repeated word as distinct ones, so no line that reaches the
+threshold is left out.  Both passes are scans of whole texts; what is gathered is
+one count per template word.
+
+Where no line reaches the threshold there is no licence, and the score only tells
+how near the best line came by its rarer words: in it, words that more than
+``COMMON`` of the documents contain weigh nothing.
 
 A file's own licence is that of its best line, or of its whole text if it is a
 licence file.  Directories take the licence of the licence file in them (best
@@ -72,8 +78,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return kernels.spans_hash(kernels.prefix_sums(joined), np.concatenate([[0], ends[:-1]]), ends)
 
 
-def template_hits(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (in the chunk) of words of the vocabulary, their numbers there, and the rows they are in."""
+def chunk_words(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the chunk) of all words, and their numbers in the vocabulary; -1 if they are not in it."""
     base = offsets[0]
     text = kernels.LOWER[data[base : offsets[-1]]]
     solid = LETTERS[text]
@@ -85,9 +91,14 @@ def template_hits(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, orde
     ends = np.flatnonzero(solid & (after[1:] | border[1:])) + 1
     hashes = kernels.spans_hash(kernels.prefix_sums(text), starts, ends)
     near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    hit = known[near] == hashes
-    place = starts[hit]
-    return place, order[near[hit]], np.searchsorted(offsets - base, place, "right") - 1
+    return starts, np.where(known[near] == hashes, order[near], -1)
+
+
+def line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places (in the chunk) at which lines start; each row starts one, an empty last line is none."""
+    own = offsets - offsets[0]
+    starts = np.unique(np.concatenate([own[:-1], np.flatnonzero(data[offsets[0] : offsets[-1]] == 10) + 1]))
+    return starts[starts < own[-1]]
 
 
 def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -102,7 +113,9 @@ def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) ->
             data, offsets = kernels.raw_text(batch.column(0))
             rows += batch.num_rows
             for lo, hi in kernels.row_chunks(offsets):
-                _, word, row = template_hits(data, offsets[lo : hi + 1], known, order)
+                place, word = chunk_words(data, offsets[lo : hi + 1], known, order)
+                place, word = place[word >= 0], word[word >= 0]
+                row = np.searchsorted(offsets[lo : hi + 1] - offsets[lo], place, "right") - 1
                 counts += np.bincount(np.unique(word + row * len(words)) % len(words), minlength=len(words))
         yield pa.RecordBatch.from_pydict({"word": pa.array([-1, *range(len(words))], pa.int32()), "n": pa.array([rows, *counts.tolist()], pa.int64())})
 
@@ -112,28 +125,63 @@ def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) ->
 
 
 class Matcher:
-    """Cosines of units of text to the templates under given document frequencies."""
+    """Cosines of units of text to the templates under given document frequencies.
 
-    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int]) -> None:
+    Words that more than ``common`` of the documents contain weigh nothing.
+    """
+
+    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int], common: float = 1.0) -> None:
         self.unknown = math.log(n_docs + 1) + 1
-        self.idf = {w: 0.0 if n_docs and n / n_docs > COMMON else math.log((n_docs + 1) / (n + 1)) + 1 for w, n in df.items()}
-        self.vectors = []
+        self.words = vocabulary(templates)
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self.idf = np.array([0.0 if n_docs and df[w] / n_docs > common else math.log((n_docs + 1) / (df[w] + 1)) + 1 for w in self.words])
+        self.names, vectors = [], []
         for name in sorted(templates):
             for text in templates[name]:
-                vector = {w: n * self.idf[w] for w, n in Counter(words_of(text.encode())).items() if self.idf[w]}
-                if norm := math.sqrt(sum(v * v for v in vector.values())):
-                    self.vectors.append((name, {w: v / norm for w, v in vector.items()}))
+                vector = np.zeros(len(self.words))
+                for w, n in Counter(words_of(text.encode())).items():
+                    vector[self.number[w]] = n * self.idf[self.number[w]]
+                if norm := math.sqrt(vector @ vector):
+                    self.names.append(name)
+                    vectors.append(vector / norm)
+        #: What one occurrence of a word adds to the product with each template.
+        self.gain = np.array(vectors).reshape(len(vectors), len(self.words)).T * self.idf[:, None]
 
     def best(self, unit: bytes) -> tuple[str | None, float]:
         counts = Counter(words_of(unit))
-        own = {w: n * self.idf.get(w, self.unknown) for w, n in counts.items()}
-        norm = math.sqrt(sum(v * v for v in own.values()))
-        top, name = 0.0, None
-        for label, vector in self.vectors:
-            score = sum(v * own[w] for w, v in vector.items() if w in own) / norm if norm else 0.0
-            if score > top + 1e-12:
-                top, name = score, label
-        return name, top
+        at, times, strange = [], [], 0
+        for w, n in counts.items():
+            i = self.number.get(w)
+            if i is None:
+                strange += n * n
+            else:
+                at.append(i)
+                times.append(n)
+        if not at or not self.names:
+            return None, 0.0
+        n = np.array(times, float)
+        norm = math.sqrt(((n * self.idf[at]) ** 2).sum() + strange * self.unknown**2)
+        if not norm:
+            return None, 0.0
+        scores = n @ self.gain[at] / norm
+        top = float(scores.max())
+        return (self.names[int(np.flatnonzero(scores > top - 1e-12)[0])], top) if top > 0 else (None, 0.0)
+
+    def bounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For words numbered as in ``words`` (-1: any other): most that one adds to a product, least it adds to the squared norm."""
+        most, least = np.zeros(len(words) + 1), np.full(len(words) + 1, self.unknown**2)
+        for i, w in enumerate(words):
+            if w in self.number:
+                most[i] = self.gain[self.number[w]].max(initial=0.0)
+                least[i] = self.idf[self.number[w]] ** 2
+        return most, least
+
+
+def bounded(most: np.ndarray, least: np.ndarray, unit: np.ndarray, n_units: int, cosine: float) -> np.ndarray:
+    """Which units may reach ``cosine``, from what their words add (see ``Matcher.bounds``)."""
+    product = np.bincount(unit, weights=most, minlength=n_units)
+    square = np.bincount(unit, weights=least, minlength=n_units)
+    return (product > 0) & (product >= (cosine - 1e-6) * np.sqrt(square))
 
 
 def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str | None = None, templates: dict[str, list[str]] | None = None, line_cosine: float = LINE_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
@@ -142,35 +190,54 @@ def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str |
     words = vocabulary(templates)
     n_docs, df = document_frequencies(docs, text_col, words)
     matcher = Matcher(templates, n_docs, df)
-    rare = [w for w in words if matcher.idf[w]]
+    near = Matcher(templates, n_docs, df, COMMON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes(rare)
+        hashes = word_hashes(words)
         order = np.argsort(hashes)
         known = hashes[order]
+        most, least = matcher.bounds(words)
+        rare = near.bounds(words)[0] > 0
         seen: dict[bytes, tuple[str | None, float]] = {}
+
+        def best_of(line: bytes, possible: bool) -> tuple[str | None, float]:
+            """Licence and score of a line; no licence below the threshold."""
+            if line not in seen:
+                if len(seen) > 50_000:
+                    seen.clear()
+                name, score = matcher.best(line) if possible else (None, 0.0)
+                if score < line_cosine:
+                    name = None
+                    low = near.best(line)[1]
+                    score = low if low < line_cosine else matcher.best(line)[1]
+                seen[line] = name, score
+            return seen[line]
+
         for batch in batches:
             data, offsets = kernels.raw_text(batch.column(2))
             out: list[tuple] = [(None, 0.0, None, 0.0)] * batch.num_rows
             for lo, hi in kernels.row_chunks(offsets):
                 own = offsets[lo : hi + 1]
-                place, _, row = template_hits(data, own, known, order)
-                for r in np.unique(row).tolist():
-                    text = data[own[r] : own[r + 1]].tobytes()
-                    at = place[row == r] - (own[r] - own[0])
-                    breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
-                    line_name, line_top = None, 0.0
-                    for i in np.unique(np.searchsorted(breaks, at)).tolist():
-                        line = text[breaks[i - 1] + 1 if i else 0 : breaks[i] if i < len(breaks) else len(text)]
-                        if line not in seen:
-                            if len(seen) > 50_000:
-                                seen.clear()
-                            seen[line] = matcher.best(line)
-                        name, score = seen[line]
-                        if score > line_top:
-                            line_name, line_top = name, score
-                    file_name, file_top = matcher.best(text)
-                    out[lo + r] = (line_name if line_top >= line_cosine else None, round(line_top, 6), file_name if file_top >= file_cosine else None, round(file_top, 6))
+                place, word = chunk_words(data, own, known, order)
+                if not len(place):
+                    continue
+                starts = line_starts(data, own)
+                ends = np.append(starts[1:], own[-1] - own[0])
+                line_of = np.searchsorted(starts, place, "right") - 1
+                possible = bounded(most[word], least[word], line_of, len(starts), line_cosine)
+                looked = possible.copy()
+                looked[line_of[rare[word]]] = True
+                row_of = np.searchsorted(own - own[0], starts, "right") - 1
+                found: dict[int, tuple[str | None, float]] = {}
+                for i in np.flatnonzero(looked).tolist():
+                    name, score = best_of(data[own[0] + starts[i] : own[0] + ends[i]].tobytes(), bool(possible[i]))
+                    r = int(row_of[i])
+                    if r not in found or (name is not None, score) > (found[r][0] is not None, found[r][1]):
+                        found[r] = name, score
+                for r in np.unique(row_of[line_of[word >= 0]]).tolist():
+                    line_name, line_top = found.get(r, (None, 0.0))
+                    file_name, file_top = matcher.best(data[own[r] : own[r + 1]].tobytes())
+                    out[lo + r] = (line_name, round(line_top, 6), file_name if file_top >= file_cosine else None, round(file_top, 6))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64()) * 2, strict=True))], names=["key", "path", "line_license", "line_score", "file_license", "file_score"])
 

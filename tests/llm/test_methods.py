@@ -88,6 +88,28 @@ def test_license_scan_matches_plain_cosines(spark, tmp_path):
     assert sum(r["line_license"] is not None for r in got.values()) == 4
 
 
+NOTICE = "Released under the MIT License."
+
+
+@pytest.mark.parametrize(("total", "with_notice"), [(1, 1), (3, 1), (3, 3), (200, 50), (200, 200)])
+def test_an_exact_notice_is_found_at_any_frequency(spark, total, with_notice):
+    docs = spark.createDataFrame([(i, f"file {i}\n" + (NOTICE if i < with_notice else "licensed to nobody") + "\nplain text under way") for i in range(total)], "doc_id long, text string")
+    got = {r["key"]: (r["line_license"], r["line_score"]) for r in license_scan.scan(docs, "doc_id").collect()}
+    assert all(got[i] == ("MIT", 1.0) for i in range(with_notice))
+    assert all(got[i][0] is None for i in range(with_notice, total))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("released under the mit license bsd gnu zebra apple in and".split()), min_size=1, max_size=12), st.floats(0.1, 0.9))
+def test_no_line_that_reaches_the_threshold_is_left_out(line, share):
+    words = license_scan.vocabulary(license_scan.TEMPLATES)
+    matcher = license_scan.Matcher(license_scan.TEMPLATES, 100, {w: int(100 * share) if w in (b"mit", b"the", b"released") else 3 for w in words})
+    most, least = matcher.bounds(words)
+    at = np.array([matcher.number.get(w.encode(), -1) for w in line])
+    score = matcher.best(" ".join(line).encode())[1]
+    assert license_scan.bounded(most[at], least[at], np.zeros(len(at), int), 1, score)[0] or score == 0
+
+
 def test_licence_inheritance_takes_the_nearest_ancestor(spark):
     rows = [
         ("a/LICENSE", "MIT", 0.9, None, 0.1),
