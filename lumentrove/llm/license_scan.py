@@ -1,11 +1,11 @@
 """Licence detection by sparse TF-IDF cosine to templates, and inheritance along directories.
 
-A unit (a line, or the whole text) and a template are vectors of word counts
+A unit (a line, a block of lines, or the whole text) and a template are vectors of word counts
 times inverse document frequency; the frequencies are counted over all
 documents.  Every word weighs something, however common, so an exact notice has
-cosine 1 in any table.  A line is compared with the templates if a bound on its
-cosine reaches the threshold; the bound takes each word's largest share in any
-template and a repeated word as distinct ones, so no line that reaches the
+cosine 1 in any table.  A line or block is compared with the templates if a bound
+on its cosine reaches the threshold; the bound takes each word's largest share in
+any template and a repeated word as distinct ones, so no unit that reaches the
 threshold is left out.  Both passes are scans of whole texts; what is gathered is
 one count per template word.
 
@@ -13,8 +13,13 @@ Where no line reaches the threshold there is no licence, and the score only tell
 how near the best line came by its rarer words: in it, words that more than
 ``COMMON`` of the documents contain weigh nothing.
 
-A file's own licence is that of its best line, or of its whole text if it is a
-licence file.  Directories take the licence of the licence file in them (best
+Blocks are the runs of lines in which a header may stand (see ``block_lines``);
+comment marks are no words, so they weigh nothing.  Notices, headers and licence
+texts are compared with lines and blocks, licence texts also with whole texts.
+
+A file's own licence is that of its best line; or of the block whose template has
+most words, if these are more than the line's template has; or of its whole text
+if it is a licence file.  Directories take the licence of the licence file in them (best
 score, then least path); a file without a licence of its own inherits from the
 nearest ancestor directory that has one.  The join runs over distinct
 directories and their ancestors, then over files by directory, so files of one
@@ -37,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels, scratch
+from .license_passages import PASSAGES, TEXTS
 
 # Notices by which works name their licence, after the public licence texts.
 TEMPLATES = {
@@ -55,8 +61,10 @@ TEMPLATES = {
 }
 COMMON = 0.2
 LINE_COSINE = 0.75
+BLOCK_COSINE = 0.75
 FILE_COSINE = 0.6
 LICENSE_NAME = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
+MARKS = [b"dnl", b"rem"]  # comment marks made of letters
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 SCAN = "key long, path string, line_license string, line_score double, file_license string, file_score double"
 
@@ -68,8 +76,12 @@ def words_of(text: bytes) -> list[bytes]:
     return WORD.findall(text.lower())
 
 
-def vocabulary(templates: dict[str, list[str]]) -> list[bytes]:
-    return sorted({w for texts in templates.values() for t in texts for w in words_of(t.encode())})
+def vocabulary(templates: dict[str, list[str]], marks: bool = False) -> list[bytes]:
+    return sorted({w for texts in templates.values() for t in texts for w in words_of(t.encode())} | {w for w in MARKS if marks})
+
+
+def merged(*parts: dict[str, list[str]]) -> dict[str, list[str]]:
+    return {name: [t for p in parts for t in p.get(name, [])] for name in sorted(set().union(*parts))}
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -78,8 +90,8 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return kernels.spans_hash(kernels.prefix_sums(joined), np.concatenate([[0], ends[:-1]]), ends)
 
 
-def chunk_words(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in the chunk) of all words, and their numbers in the vocabulary; -1 if they are not in it."""
+def chunk_words(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (in the chunk) of all words, their numbers in the vocabulary (-1 if they are not in it), and their hashes."""
     base = offsets[0]
     text = kernels.LOWER[data[base : offsets[-1]]]
     solid = LETTERS[text]
@@ -91,7 +103,7 @@ def chunk_words(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, order:
     ends = np.flatnonzero(solid & (after[1:] | border[1:])) + 1
     hashes = kernels.spans_hash(kernels.prefix_sums(text), starts, ends)
     near = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return starts, np.where(known[near] == hashes, order[near], -1)
+    return starts, np.where(known[near] == hashes, order[near], -1), hashes
 
 
 def line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -101,6 +113,41 @@ def line_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return starts[starts < own[-1]]
 
 
+def block_lines(text: np.ndarray, starts: np.ndarray, row_of: np.ndarray, n_words: np.ndarray, copyright: np.ndarray) -> np.ndarray:
+    """(first line, line after the last) of every block of two or more lines.
+
+    A block is a run of lines of a row without copyright lines that ends at the
+    end of a comment (``*/`` or ``-->``).  It ends (1) at lines without words,
+    (2) also where lines with a mark in front follow lines without one or the
+    other way round, or (3) at empty lines and such changes only, so that a
+    comment with empty comment lines is one block.
+    """
+    n = len(starts)
+    solid = np.flatnonzero(~kernels.SPACES[text])
+    if not len(solid):
+        return np.zeros((0, 2), np.int64)
+    at = np.searchsorted(solid, starts)
+    first = solid[np.minimum(at, len(solid) - 1)]
+    empty = (at == len(solid)) | (first >= np.append(starts[1:], len(text)))
+    marked = ~LETTERS[kernels.LOWER[text[first]]]
+    closes = np.zeros(n, bool)
+    tail = np.flatnonzero((text[:-1] == ord("*")) & (text[1:] == ord("/")))
+    arrow = np.flatnonzero((text[:-2] == ord("-")) & (text[1:-1] == ord("-")) & (text[2:] == ord(">")))
+    closes[np.searchsorted(starts, np.concatenate([tail, arrow]), "right") - 1] = True
+    edge = np.ones(n, bool)
+    edge[1:] = (row_of[1:] != row_of[:-1]) | closes[:-1]
+    turn = edge.copy()
+    turn[1:] |= marked[1:] != marked[:-1]
+    found = []
+    for inside, cut in (((n_words > 0) & ~copyright, edge), ((n_words > 0) & ~copyright, turn), (~empty & ~copyright, turn)):
+        begins = inside & (cut | ~np.append(False, inside[:-1]))
+        which = np.cumsum(begins) - 1
+        a = np.flatnonzero(begins)
+        size = np.bincount(which[inside], minlength=len(a))
+        found.append(np.stack([a, a + size], 1)[size > 1])
+    return np.unique(np.concatenate(found), axis=0)
+
+
 def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) -> tuple[int, dict[bytes, int]]:
     """Number of documents, and how many contain each word of the vocabulary."""
     hashes = word_hashes(words)
@@ -113,7 +160,7 @@ def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) ->
             data, offsets = kernels.raw_text(batch.column(0))
             rows += batch.num_rows
             for lo, hi in kernels.row_chunks(offsets):
-                place, word = chunk_words(data, offsets[lo : hi + 1], known, order)
+                place, word, _ = chunk_words(data, offsets[lo : hi + 1], known, order)
                 place, word = place[word >= 0], word[word >= 0]
                 row = np.searchsorted(offsets[lo : hi + 1] - offsets[lo], place, "right") - 1
                 counts += np.bincount(np.unique(word + row * len(words)) % len(words), minlength=len(words))
@@ -130,12 +177,13 @@ class Matcher:
     Words that more than ``common`` of the documents contain weigh nothing.
     """
 
-    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int], common: float = 1.0) -> None:
+    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int], common: float = 1.0, marks: bool = False) -> None:
         self.unknown = math.log(n_docs + 1) + 1
-        self.words = vocabulary(templates)
+        self.words = vocabulary(templates, marks)
         self.number = {w: i for i, w in enumerate(self.words)}
         self.idf = np.array([0.0 if n_docs and df[w] / n_docs > common else math.log((n_docs + 1) / (df[w] + 1)) + 1 for w in self.words])
-        self.names, vectors = [], []
+        self.idf[[self.number[w] for w in MARKS if w in self.number]] = 0.0
+        self.names, self.sizes, vectors = [], [], []
         for name in sorted(templates):
             for text in templates[name]:
                 vector = np.zeros(len(self.words))
@@ -143,11 +191,16 @@ class Matcher:
                     vector[self.number[w]] = n * self.idf[self.number[w]]
                 if norm := math.sqrt(vector @ vector):
                     self.names.append(name)
+                    self.sizes.append(len(words_of(text.encode())))
                     vectors.append(vector / norm)
         #: What one occurrence of a word adds to the product with each template.
         self.gain = np.array(vectors).reshape(len(vectors), len(self.words)).T * self.idf[:, None]
 
     def best(self, unit: bytes) -> tuple[str | None, float]:
+        return self.best_size(unit)[:2]
+
+    def best_size(self, unit: bytes) -> tuple[str | None, float, int]:
+        """Name and cosine of the nearest template, and how many words it has."""
         counts = Counter(words_of(unit))
         at, times, strange = [], [], 0
         for w, n in counts.items():
@@ -158,14 +211,15 @@ class Matcher:
                 at.append(i)
                 times.append(n)
         if not at or not self.names:
-            return None, 0.0
+            return None, 0.0, 0
         n = np.array(times, float)
         norm = math.sqrt(((n * self.idf[at]) ** 2).sum() + strange * self.unknown**2)
         if not norm:
-            return None, 0.0
+            return None, 0.0, 0
         scores = n @ self.gain[at] / norm
         top = float(scores.max())
-        return (self.names[int(np.flatnonzero(scores > top - 1e-12)[0])], top) if top > 0 else (None, 0.0)
+        i = int(np.flatnonzero(scores > top - 1e-12)[0])
+        return (self.names[i], top, self.sizes[i]) if top > 0 else (None, 0.0, 0)
 
     def bounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For words numbered as in ``words`` (-1: any other): most that one adds to a product, least it adds to the squared norm."""
@@ -184,13 +238,32 @@ def bounded(most: np.ndarray, least: np.ndarray, unit: np.ndarray, n_units: int,
     return (product > 0) & (product >= (cosine - 1e-6) * np.sqrt(square))
 
 
-def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str | None = None, templates: dict[str, list[str]] | None = None, line_cosine: float = LINE_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
-    """(key, path, line_license, line_score, file_license, file_score): the best line's and the whole text's licence."""
+def scan(
+    docs: DataFrame,
+    key_col: str,
+    text_col: str = "text",
+    path_col: str | None = None,
+    templates: dict[str, list[str]] | None = None,
+    line_cosine: float = LINE_COSINE,
+    file_cosine: float = FILE_COSINE,
+    passages: dict[str, list[str]] | None = None,
+    texts: dict[str, list[str]] | None = None,
+    block_cosine: float = BLOCK_COSINE,
+) -> DataFrame:
+    """(key, path, line_license, line_score, file_license, file_score): licence of the best line or block, and of the whole text.
+
+    Given ``templates`` stand alone, unless ``passages`` (headers) and ``texts`` (whole licences) are given too.
+    """
+    own_templates = templates is not None
     templates = TEMPLATES if templates is None else templates
-    words = vocabulary(templates)
+    passages = ({} if own_templates else PASSAGES) if passages is None else passages
+    texts = ({} if own_templates else TEXTS) if texts is None else texts
+    words = vocabulary(merged(templates, passages, texts), marks=True)
     n_docs, df = document_frequencies(docs, text_col, words)
-    matcher = Matcher(templates, n_docs, df)
+    matcher = Matcher(merged(templates, passages), n_docs, df, marks=True)
+    whole = Matcher(merged(templates, passages, texts), n_docs, df, marks=True)
     near = Matcher(templates, n_docs, df, COMMON)
+    copyright_hash = word_hashes([b"copyright"])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes(words)
@@ -198,19 +271,19 @@ def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str |
         known = hashes[order]
         most, least = matcher.bounds(words)
         rare = near.bounds(words)[0] > 0
-        seen: dict[bytes, tuple[str | None, float]] = {}
+        seen: dict[bytes, tuple[str | None, float, int]] = {}
 
-        def best_of(line: bytes, possible: bool) -> tuple[str | None, float]:
-            """Licence and score of a line; no licence below the threshold."""
+        def best_of(line: bytes, possible: bool) -> tuple[str | None, float, int]:
+            """Licence, score and size of the template of a line; no licence below the threshold."""
             if line not in seen:
                 if len(seen) > 50_000:
                     seen.clear()
-                name, score = matcher.best(line) if possible else (None, 0.0)
+                name, score, size = matcher.best_size(line) if possible else (None, 0.0, 0)
                 if score < line_cosine:
                     name = None
                     low = near.best(line)[1]
                     score = low if low < line_cosine else matcher.best(line)[1]
-                seen[line] = name, score
+                seen[line] = name, score, size
             return seen[line]
 
         for batch in batches:
@@ -218,7 +291,7 @@ def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str |
             out: list[tuple] = [(None, 0.0, None, 0.0)] * batch.num_rows
             for lo, hi in kernels.row_chunks(offsets):
                 own = offsets[lo : hi + 1]
-                place, word = chunk_words(data, own, known, order)
+                place, word, hashed = chunk_words(data, own, known, order)
                 if not len(place):
                     continue
                 starts = line_starts(data, own)
@@ -228,15 +301,30 @@ def scan(docs: DataFrame, key_col: str, text_col: str = "text", path_col: str |
                 looked = possible.copy()
                 looked[line_of[rare[word]]] = True
                 row_of = np.searchsorted(own - own[0], starts, "right") - 1
-                found: dict[int, tuple[str | None, float]] = {}
+                found: dict[int, tuple[str | None, float, int]] = {}
                 for i in np.flatnonzero(looked).tolist():
-                    name, score = best_of(data[own[0] + starts[i] : own[0] + ends[i]].tobytes(), bool(possible[i]))
+                    name, score, size = best_of(data[own[0] + starts[i] : own[0] + ends[i]].tobytes(), bool(possible[i]))
                     r = int(row_of[i])
                     if r not in found or (name is not None, score) > (found[r][0] is not None, found[r][1]):
-                        found[r] = name, score
+                        found[r] = name, score, size
+                opening = np.flatnonzero(np.append(True, line_of[1:] != line_of[:-1]))
+                copyright = np.zeros(len(starts), bool)
+                copyright[line_of[opening[hashed[opening] == copyright_hash]]] = True
+                blocks = block_lines(data[own[0] : own[-1]], starts, row_of, np.bincount(line_of, minlength=len(starts)), copyright)
+                sums = [np.append(0.0, np.cumsum(np.bincount(line_of, weights=x[word], minlength=len(starts)))) for x in (most, least)]
+                product, square = (x[blocks[:, 1]] - x[blocks[:, 0]] for x in sums)
+                widest: dict[int, tuple[int, float, str]] = {}
+                for a, b in blocks[product >= (block_cosine - 1e-6) * np.sqrt(np.maximum(square, 0.0)) - 1e-6].tolist():
+                    name, score, size = matcher.best_size(data[own[0] + starts[a] : own[0] + ends[b - 1]].tobytes())
+                    r = int(row_of[a])
+                    if score >= block_cosine and (r not in widest or (size, score) > widest[r][:2]):
+                        widest[r] = size, score, name
+                for r, (size, score, name) in widest.items():
+                    if found.get(r, (None, 0.0, 0))[0] is None or size > found[r][2]:
+                        found[r] = name, score, size
                 for r in np.unique(row_of[line_of[word >= 0]]).tolist():
-                    line_name, line_top = found.get(r, (None, 0.0))
-                    file_name, file_top = matcher.best(data[own[r] : own[r + 1]].tobytes())
+                    line_name, line_top, _ = found.get(r, (None, 0.0, 0))
+                    file_name, file_top = whole.best(data[own[r] : own[r + 1]].tobytes())
                     out[lo + r] = (line_name, round(line_top, 6), file_name if file_top >= file_cosine else None, round(file_top, 6))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64()) * 2, strict=True))], names=["key", "path", "line_license", "line_score", "file_license", "file_score"])

@@ -110,6 +110,40 @@ def test_no_line_that_reaches_the_threshold_is_left_out(line, share):
     assert license_scan.bounded(most[at], least[at], np.zeros(len(at), int), 1, score)[0] or score == 0
 
 
+GPL3_LINES = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+BSD_LINES = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions", "are met:"]
+BSD3_LINES = ["3. Neither the name of Frob Inc. nor the names of its contributors may be", "   used to endorse or promote products derived from this software without", "   specific prior written permission."]
+APACHE_LINES = ["Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "   http://www.apache.org/licenses/LICENSE-2.0"]
+
+
+def test_wrapped_headers_and_licence_texts_are_found(spark):
+    hashed = lambda lines: "\n".join(f"# {x}" for x in lines)
+    code = "import os\nvalue = os.getcwd()\n\n\ndef main():\n    return value\n"
+    owner = ["Copyright (C) 2021 Frob Inc.", ""]
+    mit = license_scan.TEXTS["MIT"][0]
+    units = {
+        "GPL-3.0": [hashed([*owner, *GPL3_LINES]) + "\n" + code, "/* frob.c\n\n   " + "\n   ".join(GPL3_LINES) + "  */\nint x;\n", "\n".join(f"REM {x}" for x in GPL3_LINES) + "\n" + code],
+        "GPL-2.0": [hashed([x.replace("version 3", "version 2") for x in GPL3_LINES]) + "\n" + code],
+        "BSD-2-Clause": ["/*\n" + "\n".join(f" * {x}" for x in BSD_LINES) + "\n */\nint x;\n"],
+        "BSD-3-Clause": [hashed([*owner, *BSD_LINES, "", *BSD3_LINES]) + "\n" + code],
+        "Apache-2.0": [hashed([*owner, *APACHE_LINES]) + "\n\n" + code],
+        "MIT": ["Copyright (c) 2020 Frob\n\n" + mit, hashed(mit.split("\n")) + "\n" + code],
+    }
+    rows, want = [], {}
+    for name, texts in units.items():
+        for text in texts:
+            want[len(rows)] = name
+            rows.append((len(rows), text))
+    first = len(rows)
+    rows += [(first + i, text) for i, (_, (text,)) in enumerate(sorted(license_scan.TEXTS.items()))]
+    rows += [(1000 + i, f"file {i} holds plain text\nand no notice for the {i}th of any such files\nin this or that program") for i in range(400)]
+    got = {r["key"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    assert {i: got[i]["line_license"] for i in want} == want
+    assert {i: got[i]["file_license"] for i in want if want[i] == "MIT"} == {i: "MIT" for i in want if want[i] == "MIT"}
+    assert [got[first + i]["file_license"] for i in range(len(license_scan.TEXTS))] == sorted(license_scan.TEXTS)
+    assert all(got[1000 + i]["line_license"] is None and got[1000 + i]["file_license"] is None for i in range(400))
+
+
 def test_licence_inheritance_takes_the_nearest_ancestor(spark):
     rows = [
         ("a/LICENSE", "MIT", 0.9, None, 0.1),
