@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, license_scan, line_dedup, minhash, mixing, packing, quality, scratch, suffix_dedup, warc, winnow
@@ -59,11 +59,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+def tree_path() -> Column:
+    """Path of a document: a quarter of each source lies at each of four depths, and of every 16 documents four are licence files.
+
+    Blocks are of 32,768 ids, so with 20 pairs of source and language some hundred
+    documents lie in each and its part; a source's own directory grows with the table.
+    """
+    block = F.format_string("b%d", F.expr("doc_id div 32768"))
+    depth = F.coalesce(F.col("doc_id") % 4, F.lit(3))
+    folders = [F.col("source"), *[F.when(depth >= i + 1, part) for i, part in enumerate([F.col("lang"), block, F.lit("part")])]]
+    name = F.when(F.expr("doc_id div 4") % 4 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return F.concat_ws("/", *folders, name)
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents stand for the files of a tree source/lang/block; every 64th is its block's LICENSE, every 1024th its source's."""
+    """Documents stand for the files of a tree source/lang/block/part; see ``tree_path``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    block = F.format_string("b%d", F.expr("doc_id div 64"))
-    path = F.when(F.col("doc_id") % 1024 == 0, F.concat_ws("/", "source", F.lit("LICENSE"))).when(F.col("doc_id") % 64 == 0, F.concat_ws("/", "source", "lang", block, F.lit("LICENSE"))).otherwise(F.concat_ws("/", "source", "lang", block, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    path = tree_path()
     found = license_scan.scan_tree(docs, "doc_id", path)
     return found.select(F.col("key").alias("doc_id"), "path", "line_license", "line_score", "file_license", "file_score", "license", "license_score", "license_from")
 

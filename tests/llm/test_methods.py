@@ -159,6 +159,29 @@ def test_licence_inheritance_takes_the_nearest_ancestor(spark):
     assert got == {"a/LICENSE": ("MIT", "header"), "a/b/x.txt": ("GPL-3.0", "inherited"), "a/b/LICENSE": ("GPL-3.0", "header"), "a/b/c/y.txt": ("GPL-3.0", "inherited"), "a/d/z.txt": ("BSD-2-Clause", "header"), "q/r.txt": (None, "none"), None: (None, "none")}
 
 
+def test_inheritance_carries_a_real_share_of_the_rows(spark):
+    rows = queries.op7_license_scan(spark, "/root/testdata/sf0.01").collect()
+    folders = Counter(r["path"].rpartition("/")[0] for r in rows)
+    assert len({x.count("/") for x in folders}) == 4
+    best = {}
+    for r in rows:
+        folder, _, name = r["path"].rpartition("/")
+        if r["file_license"] or (name == "LICENSE" and r["line_license"]):
+            score = max(r["file_score"], r["line_score"])
+            best[folder] = min(best.get(folder, (0, "", "")), (-score, r["path"], r["file_license"] or r["line_license"]))
+    inherited = 0
+    for r in rows:
+        folder = r["path"].rpartition("/")[0]
+        while folder and folder not in best:
+            folder = folder.rpartition("/")[0]
+        if not (r["line_license"] or r["file_license"]):
+            near = {(-max(x["file_score"], x["line_score"]), x["file_license"] or x["line_license"]) for x in rows if x["path"].rpartition("/")[0] == folder and (x["file_license"] or x["path"].endswith("LICENSE") and x["line_license"])}
+            want = {name for score, name in near if score == min(near)[0]} or {None}
+            assert r["license"] in want, r["path"]
+            inherited += r["license_from"] == "inherited"
+    assert inherited > len(rows) / 20
+
+
 # --- repeated substrings ---------------------------------------------------
 
 
