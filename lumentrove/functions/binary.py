@@ -53,7 +53,8 @@ def data_url_bytes(url: Column) -> Column:
 def jpeg_frame(content: Column) -> Column:
     """STRUCT(height, width, components) of a JPEG's first frame header; null if there is none.
 
-    The segments before it are skipped by their lengths, at most 64 of them.
+    The segments before it are skipped by their lengths: 64 at first, and where
+    these do not reach it, as many more as the content has room for.
     """
     start = F.struct(F.lit(2).alias("at"), F.lit(False).alias("done"))
     byte = lambda at: F.conv(F.hex(F.substring(content, at + 1, F.lit(1))), 16, 10).try_cast("int")
@@ -66,8 +67,11 @@ def jpeg_frame(content: Column) -> Column:
         stop = state["done"] | F.coalesce(frame, F.lit(True))
         return F.struct(F.when(stop, at).otherwise(at + 2 + F.coalesce(pair(at + 2), F.lit(0))).alias("at"), stop.alias("done"))
 
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)["at"]
-    whole = (F.hex(F.substring(content, 1, 2)) == "FFD8") & byte(at + 1).between(0xC0, 0xCF)
+    jpeg = F.coalesce(F.hex(F.substring(content, 1, 2)) == "FFD8", F.lit(False))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)
+    room = F.when(jpeg & ~first["done"], F.sequence(F.lit(1), (F.octet_length(content) / 2).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    at = F.aggregate(room, first, step)["at"]
+    whole = jpeg & byte(at + 1).between(0xC0, 0xCF)
     return F.when(whole, F.struct(pair(at + 5).alias("height"), pair(at + 7).alias("width"), byte(at + 9).alias("components")))
 
 

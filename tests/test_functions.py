@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from lumentrove.functions import scalars
+from lumentrove.functions import binary, scalars
 from lumentrove.functions import vectors as V
 from lumentrove.operators import poses, projection
 
@@ -40,3 +40,11 @@ def test_pose_axes_are_orthonormal(spark):
 def test_empty_pool(spark):
     empty = spark.createDataFrame([], "a double, b double")
     assert projection.with_pose(empty, F.col("a"), F.col("b"), F.lit(1.0)).count() == 0
+
+
+def test_jpeg_frame_lies_behind_any_number_of_segments(spark):
+    frame = bytes.fromhex("ffc0001108") + (300).to_bytes(2, "big") + (400).to_bytes(2, "big") + b"\x03" + bytes(9)
+    segment = bytes.fromhex("ffe20006") + b"icc!"
+    rows = [(n, b"\xff\xd8" + segment * n + frame) for n in (0, 1, 63, 64, 65, 300)] + [(1000, b"\xff\xd8" + segment * 300), (1001, segment * 300), (1002, None), (1003, b"")]
+    got = {r["n"]: r["f"] and tuple(r["f"]) for r in spark.createDataFrame(rows, "n int, content binary").select("n", binary.jpeg_frame(F.col("content")).alias("f")).collect()}
+    assert got == {n: (300, 400, 3) if n < 1000 else None for n, _ in rows}
