@@ -7,8 +7,8 @@ is retried or speculated writes another archive, and only the archives that
 committed index rows name are ever read.  Archives roll over at
 ``roll_bytes``.
 
-Reading: index rows are range-partitioned and sorted by (archive, offset);
-neighbouring byte ranges are joined into one read while the gap and the size
+Reading: index rows are range-partitioned and sorted by (archive, offset), into
+as many tasks as the bytes of the selected records call for; neighbouring byte ranges are joined into one read while the gap and the size
 stay within bounds, so selected records cost few sequential reads and a task
 holds one such range at most.
 
@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import scratch, sizing
 
 MIN_REVISIT = 100
 ROLL_BYTES = 256 << 20
@@ -170,4 +170,5 @@ def read_records(index: DataFrame, folder: str, gap_bytes: int = GAP_BYTES, rang
 
     schema = ", ".join(x for x in RECORD_SCHEMA.split(", ") if x.split()[0] in names)
     places = index.select("archive", "offset", "length")
-    return places.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
+    many = sizing.tasks(index.sparkSession, places.agg(F.sum("length")).first()[0])
+    return places.repartitionByRange(many, "archive", "offset").sortWithinPartitions("archive", "offset").mapInArrow(run, schema)
