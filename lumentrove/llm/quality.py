@@ -5,7 +5,8 @@ document is the mean of its features' vectors and a softmax layer turns it into
 class probabilities (the linear text classifier of Joulin et al., 2016).  It is
 trained with plain numpy stochastic gradient descent on a bounded sample of
 labelled rows (``max_rows``, chosen by a hash of the id, a documented
-parameter) in one task; only the model, whose size is fixed by ``BUCKETS`` and
+parameter) in one task, for a fixed number of steps (``steps``) at every size of
+the sample; only the model, whose size is fixed by ``BUCKETS`` and
 ``DIM``, reaches the driver.
 
 As the score is linear in the features before the softmax, scoring needs one
@@ -32,9 +33,8 @@ from .kernels import U64
 BUCKETS = 1 << 18
 DIM = 16
 GRAMS = (3, 4)
-EPOCHS = 5
-#: A small sample is read as often as makes this many steps.
-LEAST_STEPS = 2000
+#: Steps of the descent, whatever the number of samples: 5 passes over the largest sample.
+STEPS = 20_000
 RATE = 0.5
 CLIP = 5.0
 MAX_ROWS = 4000
@@ -85,7 +85,7 @@ def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield own, (count / max(1, count.sum())).astype(np.float32)
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, float]:
     """(weight per bucket, bias): the logit of class 1 against class 0 for a mean of features."""
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -94,10 +94,9 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim:
     bias = np.array([np.log(1 - share), np.log(share)], np.float64)
     if len(set(labels.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), float(bias[1] - bias[0])
-    epochs = max(epochs, -(-LEAST_STEPS // len(samples)))
-    steps, done = epochs * len(samples), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(samples)):
+    done = 0
+    while done < steps:
+        for i in rng.permutation(len(samples))[: steps - done]:
             own, part = samples[i]
             lr = rate * (1 - done / steps)
             done += 1
@@ -117,7 +116,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim:
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, max_rows: int = MAX_ROWS, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Trains on at most ``max_rows`` labelled rows of the folds that are not held out."""
     learn = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % folds != 0)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label"))
     # Ids alone are ranked; at most max_rows of them, so the join side is bounded at any input size.
@@ -131,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for lo, hi in kernels.row_chunks(offsets):
                 keyed += zip(batch.column(0)[lo:hi].to_pylist(), batch.column(1)[lo:hi].to_pylist(), bags(data, offsets[lo : hi + 1]), strict=True)
         keyed.sort(key=lambda x: (x[0], x[1], len(x[2][0])))  # the order in which rows arrive must not matter
-        weights, bias = train([x[2] for x in keyed], np.array([x[1] for x in keyed], int))
+        weights, bias = train([x[2] for x in keyed], np.array([x[1] for x in keyed], int), steps=steps)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
     # The join runs where the texts are; only the bounded sample meets in one task.
