@@ -18,11 +18,16 @@ also starts anywhere else in the corpus.  The result is exact.
    two ends.  Between samples the length of the longest match elsewhere falls by
    one per byte, so matching statistics stream from the samples alone, whose
    number is that of the runs: few in a repetitive corpus.
-4. *Wide anchors*, whose group would outgrow a block (a passage that very many
-   documents share in different surroundings), take another exact way: the
-   hashes of their windows are dealt by value, packed in arrays, and counted.
+4. *Wide anchors*, whose group would outgrow the memory of a block (a passage
+   that very many documents share in different surroundings), take another exact
+   way: the 128-bit hashes of their windows are counted, combined in the map
+   tasks, and hashes met twice are joined back to their places.  Rows are slim
+   and sorted with spilling, so one window in any number of contexts fits a task.
 5. Marked spans are joined to the texts and cut out.
 
+A longer k-gram makes unlike windows agree on an anchor less often and thus
+fewer contexts to index, a shorter one fewer runs; both are exact.
+
 Defined cases: null text is empty; texts shorter than ``length`` keep all;
 repeated rows repeat each other, so all their windows go; null ids are allowed.
 """
@@ -45,7 +50,6 @@ GRAM = 16
 PLACE_BITS = 31
 BLOCK_BYTES = 2 << 20
 WIDE_CONTEXTS = 4096
-WINDOWS_PER_DEAL = 2_000_000
 RUNS = "k1 long, k2 long, anchor long, s long, n int, c1 long, c2 long"
 
 
@@ -256,60 +260,41 @@ def index_marks(contexts: DataFrame, length: int) -> DataFrame:
 # --- wide anchors ----------------------------------------------------------
 
 
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("w", "<i4"), ("m", "<i4")])
 SWAP = np.roll(np.arange(256, dtype=np.uint8), 101) ^ np.uint8(0x5B)
+WINDOWS = "h1 long, h2 long, k1 long, k2 long, s long, w int, m long"
 
 
-def wide_marks(contexts: DataFrame, length: int, deals: int) -> DataFrame:
-    """Repeated spans of contexts of wide anchors: their windows' hashes are dealt by value, as packed arrays, and counted."""
+def wide_marks(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated spans of contexts of wide anchors, by counting the hashes of their windows."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(5))
-            number = batch.column(6).to_numpy()
-            ident = batch.column(7).to_numpy()
-            many = batch.column(4).to_numpy()
-            for lo, hi in kernels.row_chunks(offsets):
+            data, offsets = kernels.raw_text(batch.column(4))
+            many = batch.column(3).to_numpy()
+            for lo, hi in kernels.row_chunks(offsets, kernels.CHUNK_BYTES // 8):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 text = data[offsets[lo] : offsets[hi]]
                 count = many[lo:hi]
-                out = np.zeros(int(count.sum()), WINDOW)
-                w = np.arange(len(out)) - np.repeat(np.cumsum(count) - count, count)
+                w = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 at = np.repeat(own[:-1], count) + w
-                out["h1"] = kernels.spans_hash(kernels.prefix_sums(text), at, at + length)
-                out["h2"] = kernels.spans_hash(kernels.prefix_sums(SWAP[text]), at, at + length)
-                out["id"], out["w"], out["m"] = np.repeat(ident[lo:hi], count), w, np.repeat(number[lo:hi], count)
-                to = (out["h1"] % U64(deals)).astype(np.int64)
-                turn = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[turn], np.arange(deals + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_pydict({"deal": full.astype(np.int32), "windows": pa.array([out[turn[cuts[d] : cuts[d + 1]]].tobytes() for d in full], pa.binary())})
-
-    def count(group: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(group.column("windows").to_pylist()), WINDOW)
-        rows = rows[np.lexsort((rows["h2"], rows["h1"]))]
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])
-        twin = ~(new & np.append(new[1:], True))
-        mine = rows[twin & (rows["m"] == 1)]
-        mine = mine[np.argsort(mine["id"], kind="stable")]
-        cuts = np.flatnonzero(np.concatenate([[True], mine["id"][1:] != mine["id"][:-1]])) if len(mine) else np.zeros(0, np.int64)
-        return pa.table({"ctx": mine["id"][cuts].copy(), "places": pa.array([x["w"].astype("<i4").tobytes() for x in np.split(mine, cuts[1:])] if len(mine) else [], pa.binary())})
+                hashes = [kernels.spans_hash(kernels.prefix_sums(x), at, at + length).view(np.int64) for x in (text, SWAP[text])]
+                row = pa.array(np.repeat(np.arange(lo, hi), count))
+                k1, k2, s, m = (batch.column(c).take(row) for c in (0, 1, 2, 5))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), k1, k2, s, pa.array(w.astype(np.int32)), m], names=["h1", "h2", "k1", "k2", "s", "w", "m"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k1, k2, s, parts in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                w = np.sort(np.frombuffer(b"".join(parts), "<i4"))
+            for k1, k2, s, places in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                w = np.sort(np.array(places))
                 cut = np.flatnonzero(np.diff(w) > 1)
                 found += [(k1, k2, s + x, s + y + length) for x, y in zip(w[np.append(0, cut + 1)].tolist(), w[np.append(cut, len(w) - 1)].tolist(), strict=True)]
             yield _span_batch(found)
 
-    named = contexts.withColumn("ctx", F.xxhash64("anchor", "k1", "k2", "s"))
-    packed = named.select("anchor", "k1", "k2", "s", "n", "context", F.col("m").cast("int"), "ctx").mapInArrow(deal, "deal int, windows binary")
-    twins = packed.groupBy("deal").applyInArrow(count, "ctx long, places binary")
-    places = twins.groupBy("ctx").agg(F.collect_list("places").alias("parts"))  # at most one part per deal
-    return named.select("ctx", "k1", "k2", "s").join(places, "ctx").select("k1", "k2", "s", "parts").mapInArrow(spans, SPANS)
+    made = scratch.materialise(contexts.select("k1", "k2", "s", "n", "context", "m").mapInArrow(windows, WINDOWS), "suffix-windows")
+    twice = made.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h1", "h2")
+    hits = made.filter("m = 1").join(twice, ["h1", "h2"], "left_semi")
+    return hits.groupBy("k1", "k2", "s").agg(F.collect_list("w").alias("places")).mapInArrow(spans, SPANS)  # bounded by a context's length
 
 
 # --- the operator ----------------------------------------------------------
@@ -341,9 +326,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     once = rows.select("k1", "k2", "text")
     contexts = scratch.materialise(wanted.join(once, ["k1", "k2"]).select("k1", "k2", "wanted", "text").mapInArrow(cut, "anchor long, k1 long, k2 long, s long, n int, context binary, m long, nd long").dropDuplicates(["anchor", "k1", "k2", "s"]), "suffix-contexts")
     marked = index_marks(contexts.filter(F.col("nd") <= wide_contexts), length)
-    total = contexts.filter(F.col("nd") > wide_contexts).agg(F.sum("n")).first()[0]
-    if total:
-        marked = marked.union(wide_marks(contexts.filter(F.col("nd") > wide_contexts), length, -(-total // WINDOWS_PER_DEAL)))
+    wide = contexts.filter(F.col("nd") > wide_contexts)
+    if not wide.isEmpty():
+        marked = marked.union(wide_marks(wide, length))
     return whole.union(marked)
 
 
