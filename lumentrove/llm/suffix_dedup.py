@@ -46,7 +46,7 @@ from . import kernels, scratch
 from .kernels import U64
 
 LENGTH = 400
-GRAM = 16
+GRAM = 128
 PLACE_BITS = 31
 BLOCK_BYTES = 2 << 20
 WIDE_CONTEXTS = 4096
