@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import EPSILON, angle_key, finite
-from .projection import CORNERS, FOV, half_tangent, with_axes, with_pose
+from .projection import CORNERS, FOV, frame_corner, half_tangent, project_world, with_axes, with_pose
 
 POOL_COLUMNS = {"orbit_radius": "double", "pool_fov": "double", "image_aspect": "double", "target_x": "double", "target_y": "double", "target_z": "double", "active_camera_id": "string"}
 CAMERA_COLUMNS = {"ord": "long", "id": "string", "kind": "string", "pitch_degrees": "double", "yaw_degrees": "double", "multiplicity": "double", "camera_fov": "double"}
@@ -29,7 +29,10 @@ SNAPSHOT = "cameras array<struct<id: string, kind: string, pitch_degrees: double
 
 
 def explode_snapshots(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows per camera from rows per pool (the schema ``SNAPSHOT``); a target that has not three parts is the origin."""
+    """Rows per camera from rows per pool (the schema ``SNAPSHOT``); a target that has not three parts is the origin.
+
+    A pool without cameras has no rows here; ``pool_summary`` counts it with zeros.
+    """
     part = lambda i: F.when(F.size("target") == 3, finite(F.get("target", F.lit(i)))).otherwise(0.0)
     rows = snapshots.select(*keys, "orbit_radius", F.col("fov_degrees").alias("pool_fov"), "image_aspect", part(0).alias("target_x"), part(1).alias("target_y"), part(2).alias("target_z"), "active_camera_id", F.posexplode(F.coalesce("cameras", F.array())).alias("ord", "_c"))
     fields = [F.col("_c")[c].alias(c) for c in ("id", "kind", "pitch_degrees", "yaw_degrees", "multiplicity")]
@@ -161,6 +164,15 @@ def marker_summary(markers: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
+def pool_summary(snapshots: DataFrame, keys: list[str]) -> DataFrame:
+    """``marker_summary`` of every pool of ``snapshots``, those without cameras included, with its settings."""
+    found = marker_summary(dedupe_cameras(explode_snapshots(snapshots, keys), keys), keys)
+    settings = snapshots.select(*keys, F.coalesce("sampling_enabled", F.lit(False)).alias("sampling_enabled"), F.coalesce("active_camera_id", F.lit("")).alias("active_camera_id"))
+    numbers = [c for c in found.columns if c not in (*keys, "any_active")]
+    both = settings.join(found, keys, "left")
+    return both.select(*keys, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers], F.coalesce("any_active", F.lit(False)).alias("any_active"), "sampling_enabled", "active_camera_id")
+
+
 def view_parameters(df: DataFrame, overview: Column, pitch: Column, yaw: Column, orbit_radius: Column, fit_radius: Column, mode: Column) -> DataFrame:
     """Adds view_mode, viewer_radius, view_pitch, view_yaw and view_radius: what the viewer's camera shows.
 
@@ -177,3 +189,29 @@ def corner_error(expected: DataFrame, measured: DataFrame, keys: list[str]) -> D
     """Largest pixel distance, per key, of corners (keys, corner, x, y) of two projections; corners pair by number."""
     pairs = expected.select(*keys, "corner", "x", "y").join(measured.select(*keys, "corner", F.col("x").alias("_mx"), F.col("y").alias("_my")), [*keys, "corner"])
     return pairs.groupBy(*keys).agg(F.max(V.pixel_error(F.col("x"), F.col("y"), F.col("_mx"), F.col("_my"))).alias("corner_error_max_px"))
+
+
+#: What ``diagnostics`` asks of a session besides its keys.
+SESSION_COLUMNS = ("pitch", "yaw", "orbit_radius", "fit_radius", "radius_mode", "overview", "half_x", "half_y", "width", "height", "fov_degrees", "vertices", "content_digest", "camera_updates", "sorted_frames")
+
+
+def diagnostics(sessions: DataFrame, pools: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per session with its whole state as nested records: presentation, camera and camera_markers.
+
+    ``sessions`` has ``SESSION_COLUMNS``, ``pools`` is a ``pool_summary``; a
+    session without a pool has no markers.  The four corners are projected side
+    by side, so the only shuffle is that of the two tables' join.
+    """
+    seen = view_parameters(sessions.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in SESSION_COLUMNS]), F.col("_s_overview"), F.col("_s_pitch"), F.col("_s_yaw"), F.col("_s_orbit_radius"), F.col("_s_fit_radius"), F.col("_s_radius_mode"))
+    seen = with_pose(seen, F.col("view_pitch"), F.col("view_yaw"), F.col("view_radius"))
+    width, height, fov = F.col("_s_width"), F.col("_s_height"), F.col("_s_fov_degrees")
+    points = {"center": (F.lit(0.0), F.lit(0.0), F.lit(0.0))} | {f"corner{i}": frame_corner(F.col("_s_half_x"), F.col("_s_half_y"), i) for i in range(len(CORNERS))}
+    for name, point in points.items():
+        seen = project_world(seen, point, width, height, fov, f"_{name}_")
+    screen = lambda name: F.struct(*[F.col(f"_{name}_{c}").alias(c) for c in ("x", "y", "ndc_x", "ndc_y", "depth", "valid")])
+    vector = lambda name: F.struct(*[F.col(f"{name}_{c}").alias(c) for c in "xyz"])
+    camera = F.struct(F.col("view_mode"), F.col("pitch_degrees"), F.col("yaw_degrees"), F.col("radius"), vector("pos").alias("position"), vector("fwd").alias("forward"), vector("right").alias("right"), vector("up").alias("up"), screen("center").alias("center"), F.array(*[screen(f"corner{i}") for i in range(len(CORNERS))]).alias("corners"))
+    counts = ("marker_count", "sample_count", "front_count", "virtual_count", "front_samples", "virtual_samples")
+    markers = F.struct(F.col("_s_overview").alias("visible"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce("sampling_enabled", F.lit(False)).alias("sampling_enabled"), F.coalesce("active_camera_id", F.lit("")).alias("active_camera_id"), F.col("_s_orbit_radius").alias("training_orbit_radius"))
+    state = [F.col(f"_s_{c}").alias(c) for c in ("pitch", "yaw", "orbit_radius", "fit_radius", "radius_mode", "fov_degrees", "vertices", "content_digest")]
+    return seen.join(pools, keys, "left").select(*keys, *state, F.col("viewer_radius"), F.struct(F.col("_s_camera_updates").alias("camera_updates"), F.col("_s_sorted_frames").alias("sorted_frames")).alias("presentation"), camera.alias("camera"), markers.alias("camera_markers"))

@@ -50,6 +50,30 @@ def image_error(df: DataFrame, keys: list[str], expected: Column, measured: Colu
     return found.withColumn("psnr", F.when(F.col("mse") > 0, F.lit(10.0) * F.log10(F.lit(peak * peak) / F.col("mse"))))
 
 
+# The stabilising constants of the published index, and the usual block.
+SSIM_K1, SSIM_K2 = 0.01, 0.03
+SSIM_BLOCK, SSIM_STRIDE = 8, 4
+
+
+def ssim(df: DataFrame, keys: list[str], row: Column, column: Column, expected: Column, measured: Column, peak: float = 255.0, block: int = SSIM_BLOCK, stride: int = SSIM_STRIDE) -> DataFrame:
+    """(keys, blocks, ssim): the structural similarity index (Wang et al., 2004), averaged over square blocks.
+
+    Blocks of ``block`` pixels start at every ``stride`` rows and columns and lie
+    whole inside the image.  Each pixel adds its five moments to the blocks that
+    cover it, which the map tasks combine, so a block is one row in the shuffle.
+    """
+    pixels = df.select(*keys, row.cast("long").alias("_r"), column.cast("long").alias("_c"), expected.cast("double").alias("_x"), measured.cast("double").alias("_y"))
+    first = lambda at: F.greatest(F.lit(0), F.ceil((at - block + 1) / stride)).cast("long")
+    starts = lambda at: F.explode(F.sequence(first(at), F.floor(at / stride).cast("long")))
+    covered = pixels.withColumn("_br", starts(F.col("_r"))).withColumn("_bc", starts(F.col("_c")))
+    x, y = F.col("_x"), F.col("_y")
+    sums = covered.groupBy(*keys, "_br", "_bc").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(v).alias(n) for v, n in ((x, "_mx"), (y, "_my"), (x * x, "_mxx"), (y * y, "_myy"), (x * y, "_mxy"))]).filter(F.col("_n") == block * block)
+    mx, my = F.col("_mx"), F.col("_my")
+    c1, c2 = (SSIM_K1 * peak) ** 2, (SSIM_K2 * peak) ** 2
+    value = ((2 * mx * my + c1) * (2 * (F.col("_mxy") - mx * my) + c2)) / ((mx * mx + my * my + c1) * (F.col("_mxx") - mx * mx + F.col("_myy") - my * my + c2))
+    return sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.avg(value).alias("ssim"))
+
+
 def depth_order(df: DataFrame, keys: list[str], depth: Column, tie: str) -> DataFrame:
     """Adds ``draw_order`` (from 0, far to near) within each view."""
     return df.withColumn("draw_order", F.row_number().over(Window.partitionBy(*keys).orderBy(depth.desc(), F.col(tie))) - 1)

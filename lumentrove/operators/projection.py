@@ -96,26 +96,24 @@ def project_planar(df: DataFrame, px: Column, py: Column, z: Column) -> DataFram
 
 
 def unproject_planar(df: DataFrame, u: Column, v: Column, z: Column) -> DataFrame:
-    """Adds plane_x, plane_y and plane_valid: the point of the plane seen at (u, v), by Cramer's rule.
+    """Adds plane_x, plane_y and plane_valid: the point of the plane at height ``z`` seen at (u, v).
 
-    A singular system gives the origin and false; a z that is no number gives
-    no number and false.
+    The ray from the camera through (u, v) is followed to the plane.  A ray
+    along the plane (its slope against the plane, in units of the frame and the
+    lens, is below the tolerance) gives the origin and false; a z that is no
+    number gives no number and false.
     """
-    out = df.withColumns({"_u": finite(u), "_v": finite(v), "_z": F.coalesce(z, F.lit(0.0))})
-    lens_x = F.lit(1.0) / F.greatest(F.lit(EPSILON), F.col("tan_half_fov") * F.col("aspect"))
-    lens_y = F.lit(1.0) / F.greatest(F.lit(EPSILON), F.col("tan_half_fov"))
-    out = out.withColumns({"_lx": lens_x, "_ly": lens_y, "_base": F.col("radius") + F.col("fwd_z") * finite(F.col("_z"))})
-    coefficient = {}
-    for axis, scale in (("x", F.col("frame_x")), ("y", -F.col("frame_y"))):
-        coefficient[f"_0{axis}"] = F.col("_u") * scale * F.col(f"fwd_{axis}") - F.col("_lx") * scale * F.col(f"right_{axis}")
-        coefficient[f"_1{axis}"] = F.col("_v") * scale * F.col(f"fwd_{axis}") + F.col("_ly") * scale * F.col(f"up_{axis}")
-    out = out.withColumns(coefficient | {"_r0": F.col("_lx") * F.col("right_z") * F.col("_z") - F.col("_u") * F.col("_base"), "_r1": -F.col("_ly") * F.col("up_z") * F.col("_z") - F.col("_v") * F.col("_base")})
-    out = out.withColumn("_det", F.col("_0x") * F.col("_1y") - F.col("_0y") * F.col("_1x"))
-    bad = F.isnan("_det") | (F.abs("_det") == float("inf")) | (F.abs("_det") < EPSILON)
-    solve = lambda top: F.when(bad, F.lit(0.0)).otherwise(F.try_divide(top, F.col("_det")))
-    out = out.withColumns({"plane_x": solve(F.col("_r0") * F.col("_1y") - F.col("_0y") * F.col("_r1")), "plane_y": solve(F.col("_0x") * F.col("_r1") - F.col("_r0") * F.col("_1x"))})
+    across = F.greatest(F.lit(EPSILON), F.col("tan_half_fov") * F.col("aspect"))
+    upwards = F.greatest(F.lit(EPSILON), F.col("tan_half_fov"))
+    out = df.withColumns({"_a": finite(u) * across, "_b": finite(v) * upwards, "_z": F.coalesce(z, F.lit(0.0)), "_unit": F.col("frame_x") * F.col("frame_y") / (across * upwards)})
+    out = out.withColumns(V.named("_ray", tuple(f + F.col("_a") * r - F.col("_b") * t for f, r, t in zip(V.cols("fwd"), V.cols("right"), V.cols("up"), strict=True))))
+    slope = F.col("_ray_z") * F.col("_unit")
+    out = out.withColumn("_along", F.isnan(slope) | (F.abs(slope) == float("inf")) | (F.abs(slope) < EPSILON))
+    out = out.withColumn("_reach", F.try_divide(F.col("_z") - F.col("pos_z"), F.col("_ray_z")))
+    hit = lambda axis, unit: F.when(F.col("_along"), F.lit(0.0)).otherwise((F.col(f"pos_{axis}") + F.col("_reach") * F.col(f"_ray_{axis}")) / unit)
+    out = out.withColumns({"plane_x": hit("x", F.col("frame_x")), "plane_y": hit("y", -F.col("frame_y"))})
     total = F.col("plane_x") + F.col("plane_y")
-    return out.withColumn("plane_valid", ~bad & ~F.isnan(total) & (F.abs(total) < float("inf"))).drop("_u", "_v", "_z", "_lx", "_ly", "_base", "_0x", "_1x", "_0y", "_1y", "_r0", "_r1", "_det")
+    return out.withColumn("plane_valid", ~F.col("_along") & ~F.isnan(total) & (F.abs(total) < float("inf"))).drop("_a", "_b", "_z", "_unit", "_ray_x", "_ray_y", "_ray_z", "_along", "_reach")
 
 
 def project_world(df: DataFrame, point: V.Vec, width: Column, height: Column, fov: Column, prefix: str = "") -> DataFrame:
@@ -129,11 +127,17 @@ def project_world(df: DataFrame, point: V.Vec, width: Column, height: Column, fo
     return out.drop("_w", "_h", "_rel_x", "_rel_y", "_rel_z", "_hh")
 
 
+def frame_corner(half_x: Column, half_y: Column, corner: int) -> V.Vec:
+    """The world point of a frame's corner (0 to 3)."""
+    sx, sy = CORNERS[corner]
+    held = lambda x: F.greatest(F.lit(EPSILON), finite(x, 1.0))
+    return (held(half_x) * sx, held(half_y) * sy, F.lit(0.0))
+
+
 def explode_frame_corners(df: DataFrame, half_x: Column, half_y: Column) -> DataFrame:
     """Four rows per frame: corner (0 to 3) and corner_x, corner_y, corner_z = 0."""
-    out = df.withColumns({"_fx": F.greatest(F.lit(EPSILON), finite(half_x, 1.0)), "_fy": F.greatest(F.lit(EPSILON), finite(half_y, 1.0))})
-    rows = F.array(*[F.struct(F.lit(i).alias("corner"), (F.col("_fx") * sx).alias("corner_x"), (F.col("_fy") * sy).alias("corner_y"), F.lit(0.0).alias("corner_z")) for i, (sx, sy) in enumerate(CORNERS)])
-    return out.withColumn("_c", F.explode(rows)).select(*df.columns, "_c.*")
+    rows = F.array(*[F.struct(F.lit(i).alias("corner"), *[p.alias(f"corner_{c}") for p, c in zip(frame_corner(half_x, half_y, i), "xyz", strict=True)]) for i in range(len(CORNERS))])
+    return df.withColumn("_c", F.explode(rows)).select(*df.columns, "_c.*")
 
 
 def project_frame_corners(df: DataFrame, half_x: Column, half_y: Column, width: Column, height: Column, fov: Column) -> DataFrame:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..functions import binary, markup, scalars
 from ..functions import vectors as V
 from ..operators import cameras, compositing, poses, projection, rules
-from ..sources.files import ordered_values
 from ..streaming import sessions
 from . import sql
 
@@ -54,9 +53,20 @@ def event_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") == "view", "front").otherwise("virtual").alias("kind"), (F.col("value") - 100).alias("pitch_degrees"), (k - 50).alias("yaw_degrees"), (F.col("user_id") % 5).cast("double").alias("multiplicity"), F.lit("7").alias("active_camera_id"), F.lit(RADIUS).alias("orbit_radius"), F.lit(16 / 9).alias("image_aspect"))
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """(vec_id, label, piece, v0, v1, ...): every embedding in consecutive pieces of ``size`` numbers, the last filled with zeros."""
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[(e[i].cast("double")).alias(f"p_{c}") for i, c in enumerate("xyz")])
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.size(e) / size).cast("int") - 1), lambda i: F.struct(*[F.coalesce(F.get(e, i * size + j).cast("double"), F.lit(0.0)).alias(f"v{j}") for j in range(size)]))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(pieces).alias("piece", "_v")).select("vec_id", "label", "piece", "_v.*")
+
+
+def chunks_sql(size: int) -> str:
+    values = ", ".join(f"coalesce(embedding[{size} * piece + {j + 1}], 0)::DOUBLE AS v{j}" for j in range(size))
+    return f"(SELECT vec_id, label, piece::INTEGER AS piece, {values} FROM (SELECT *, unnest(range((len(embedding) + {size - 1}) // {size})) AS piece FROM embeddings) AS x)"
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(spark, sf_dir, 3).select("vec_id", "piece", *[F.col(f"v{i}").alias(f"p_{c}") for i, c in enumerate("xyz")])
 
 
 def part_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,15 +98,15 @@ def camera_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+WITH p AS (SELECT vec_id, piece, v0 AS x, v1 AS y, v2 AS z FROM {chunks_sql(3)} AS e),
 n AS (SELECT *, sqrt(x * x + y * y + z * z) AS len FROM p)
-SELECT vec_id, {sql.r6("len")}, {", ".join(f"round(CASE WHEN len < 1e-9 THEN 0 ELSE {c} / len END, 6) + 0.0 AS unit_{c}" for c in "xyz")} FROM n
+SELECT vec_id, piece, {sql.r6("len")}, {", ".join(f"round(CASE WHEN len < 1e-9 THEN 0 ELSE {c} / len END, 6) + 0.0 AS unit_{c}" for c in "xyz")} FROM n
 """)
 def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     p = p.withColumn("len", V.length(V.cols("p")))
     unit = V.normalize(V.cols("p"), F.col("len"))
-    return p.select("vec_id", r6("len").alias("len"), *[r6(x).alias(f"unit_{c}") for x, c in zip(unit, "xyz", strict=True)])
+    return p.select("vec_id", "piece", r6("len").alias("len"), *[r6(x).alias(f"unit_{c}") for x, c in zip(unit, "xyz", strict=True)])
 
 
 @query(f"""
@@ -112,25 +122,26 @@ def fib_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {sql.orbit("SELECT vec_id, embedding[1]::DOUBLE * 4 AS px, embedding[2]::DOUBLE * 4 AS py, embedding[3]::DOUBLE * 4 AS pz, 15.0 AS pitch, -30.0 AS yaw FROM embeddings", "89")},
+WITH {sql.orbit(f"SELECT vec_id, piece, v0 * 4 AS px, v1 * 4 AS py, v2 * 4 AS pz, 15.0 AS pitch, -30.0 AS yaw FROM {chunks_sql(3)} AS e", "89")},
 {sql.pose("1.5")},
 {sql.projected("px", "py", "pz", "1280.0", "720.0", "50.0")}
-SELECT vec_id, {sql.r6("ndc_x", "ndc_y", "depth", "x", "y")}, valid FROM projected
+SELECT vec_id, piece, {sql.r6("depth", *[f"CASE WHEN valid THEN {c} END AS {c}" for c in ("ndc_x", "ndc_y", "x", "y")])}, valid FROM projected
 """)
 def project_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on the screen of points before the camera; those behind it have none."""
     p = points(spark, sf_dir)
     posed = projection.with_pose(p, 15.0, -30.0, 1.5)
     out = projection.project_world(posed, tuple(x * 4 for x in V.cols("p")), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), F.lit(50.0))
-    return out.select("vec_id", *rounded_all(out, "ndc_x", "ndc_y", "depth", "x", "y"), "valid")
+    return out.select("vec_id", "piece", r6("depth").alias("depth"), *[r6(F.when(F.col("valid"), F.col(c))).alias(c) for c in ("ndc_x", "ndc_y", "x", "y")], "valid")
 
 
 @query(f"""
-WITH {sql.orbit("SELECT vec_id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py, embedding[3]::DOUBLE AS pz, vec_id % 60 - 30.0 AS pitch, vec_id % 80 - 40.0 AS yaw FROM embeddings", "89")},
+WITH {sql.orbit(f"SELECT vec_id, piece, v0 AS px, v1 AS py, v2 AS pz, vec_id % 60 - 30.0 AS pitch, vec_id % 80 - 40.0 AS yaw FROM {chunks_sql(3)} AS e", "89")},
 {sql.pose("2.0")},
 w AS (SELECT *, px AS wx, -0.5625 * py AS wy, pz AS wz, tan(radians(25.0)) AS t FROM pose),
 d AS (SELECT *, radius + (wx * fwd_x + wy * fwd_y + wz * fwd_z) AS depth FROM w),
 n AS (SELECT *, (wx * right_x + wy * right_y + wz * right_z) / greatest(1e-9, depth * t * (1280.0 / 720.0)) AS ndc_x, -(wx * up_x + wy * up_y + wz * up_z) / greatest(1e-9, depth * t) AS ndc_y FROM d)
-SELECT vec_id, {sql.r6("ndc_x", "ndc_y", "depth")}, depth > 1e-9 AS valid, round(px, 6) + 0.0 AS plane_x, round(py, 6) + 0.0 AS plane_y, true AS plane_valid FROM n
+SELECT vec_id, piece, {sql.r6("ndc_x", "ndc_y", "depth")}, depth > 1e-9 AS valid, round(px, 6) + 0.0 AS plane_x, round(py, 6) + 0.0 AS plane_y, true AS plane_valid FROM n
 """)
 def planar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points of a plane are projected and found again."""
@@ -138,7 +149,7 @@ def planar_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = projection.with_contract(p, F.lit(1280.0), F.lit(720.0), F.lit(VIEW_WIDTH), F.lit(VIEW_HEIGHT), (F.col("vec_id") % 60 - 30).cast("double"), (F.col("vec_id") % 80 - 40).cast("double"), F.lit(2.0), F.lit(50.0))
     seen = projection.project_planar(seen, F.col("p_x"), F.col("p_y"), F.col("p_z"))
     out = projection.unproject_planar(seen, F.col("ndc_x"), F.col("ndc_y"), F.col("p_z"))
-    return out.select("vec_id", *rounded_all(out, "ndc_x", "ndc_y", "depth"), "valid", *rounded_all(out, "plane_x", "plane_y"), "plane_valid")
+    return out.select("vec_id", "piece", *rounded_all(out, "ndc_x", "ndc_y", "depth"), "valid", *rounded_all(out, "plane_x", "plane_y"), "plane_valid")
 
 
 CORNER_SQL = "(VALUES (0, -1, 1), (1, 1, 1), (2, 1, -1), (3, -1, -1)) AS c(corner, sx, sy)"
@@ -269,6 +280,51 @@ def marker_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("first_ord", "segment", "part", "style", *rounded_all(out, "from_x", "from_y", "from_z", "to_x", "to_y", "to_z"))
 
 
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool per user, in the form in which viewers send it: its cameras are the user's clicks, so some pools are empty."""
+    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    camera = F.struct("event_id", F.struct(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, "front").otherwise("virtual").alias("kind"), (F.col("value") - 100).alias("pitch_degrees"), (F.col("k") - 50).alias("yaw_degrees"), (F.col("event_id") % 4).cast("double").alias("multiplicity")).alias("camera"))
+    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when((F.col("event_type") == "click") & (F.col("user_id") % 4 > 0), camera))), lambda x: F.struct(*[x["camera"][c].alias(c) for c in ("id", "kind", "pitch_degrees", "yaw_degrees", "multiplicity")], F.create_map(F.lit("fov_degrees"), F.lit("40")).alias("intrinsics"))).alias("cameras"), F.min("event_id").cast("string").alias("active_camera_id"))
+    return per.select("user_id", "cameras", F.lit(RADIUS).alias("orbit_radius"), F.lit(45.0).alias("fov_degrees"), F.lit(16 / 9).alias("image_aspect"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("target"), "active_camera_id", F.lit(70.0).alias("max_angle_degrees"), (F.col("user_id") % 2 == 0).alias("sampling_enabled"))
+
+
+POOLS_SQL = """
+pc AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'front' ELSE 'virtual' END AS kind, printf('%.6f:%.6f', value - 100 + 0.0, (props->>'$.k')::DOUBLE - 50 + 0.0) AS angle_key, greatest(1, event_id % 4) AS m FROM events WHERE event_type = 'click' AND user_id % 4 > 0),
+pm AS (SELECT user_id, angle_key, arg_min(kind, event_id) AS kind, sum(m)::BIGINT AS m FROM pc GROUP BY ALL),
+pu AS (SELECT user_id, min(event_id) AS first_id FROM events GROUP BY 1),
+pa AS (SELECT pu.user_id, first_id, bool_or(pc.event_id IS NOT NULL) AS active FROM pu LEFT JOIN pc ON pc.user_id = pu.user_id AND pc.event_id = first_id GROUP BY ALL),
+pools AS (SELECT pa.user_id, count(angle_key) AS marker_count, coalesce(sum(m), 0)::BIGINT AS sample_count, count(*) FILTER (WHERE kind = 'front') AS front_count, count(*) FILTER (WHERE kind <> 'front') AS virtual_count,
+          coalesce(sum(m) FILTER (WHERE kind = 'front'), 0)::BIGINT AS front_samples, coalesce(sum(m) FILTER (WHERE kind <> 'front'), 0)::BIGINT AS virtual_samples, any_value(active) AS any_active, pa.user_id % 2 = 0 AS sampling_enabled, any_value(first_id)::VARCHAR AS active_camera_id FROM pa LEFT JOIN pm USING (user_id) GROUP BY pa.user_id)"""
+
+
+@query(f"WITH {POOLS_SQL} SELECT * FROM pools")
+def pool_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cameras.pool_summary(snapshots(spark, sf_dir), ["user_id"])
+
+
+@query(f"""
+WITH {POOLS_SQL},
+se AS (SELECT user_id, arg_max(value - 100, event_id) AS pitch0, arg_max((props->>'$.k')::DOUBLE - 50, event_id) AS yaw0, count(*) FILTER (WHERE event_type = 'view') AS camera_updates, count(*) FILTER (WHERE event_type = 'purchase') AS sorted_frames FROM events GROUP BY 1),
+sv AS (SELECT *, user_id % 3 = 0 AS overview, CASE WHEN user_id % 2 = 0 THEN 4.5 ELSE 3.0 END::DOUBLE AS viewer_radius FROM se),
+{sql.orbit("SELECT *, CASE WHEN overview THEN 20 ELSE pitch0 END AS pitch, CASE WHEN overview THEN -42 ELSE yaw0 END AS yaw FROM sv", "89")},
+{sql.pose("CASE WHEN overview THEN greatest(3.0, viewer_radius) * 2.65 ELSE viewer_radius END")},
+d AS (SELECT *, radius * tan(radians(25.0)) AS hh, (-0.8 - pos_x) * fwd_x + (0.6 - pos_y) * fwd_y + (0 - pos_z) * fwd_z AS cd, (-0.8 - pos_x) * right_x + (0.6 - pos_y) * right_y + (0 - pos_z) * right_z AS cr, (-0.8 - pos_x) * up_x + (0.6 - pos_y) * up_y + (0 - pos_z) * up_z AS cu FROM pose)
+SELECT user_id, CASE WHEN overview THEN 'camera-pool-overview' ELSE 'center-orbit' END AS view_mode, {sql.r6("pitch0 AS pitch", "viewer_radius", "radius", "fwd_z", "radius AS center_depth")}, 640.0::DOUBLE AS center_x, 360.0::DOUBLE AS center_y,
+       round((cr / greatest(1e-9, cd * tan(radians(25.0)) * 1280 / 720) + 1) * 640, 6) + 0.0 AS corner_x, round((1 - cu / greatest(1e-9, cd * tan(radians(25.0)))) * 360, 6) + 0.0 AS corner_y, 4 AS corners, camera_updates, sorted_frames,
+       overview AS visible, marker_count, sample_count, front_count, virtual_count, front_samples, virtual_samples, sampling_enabled, active_camera_id FROM d JOIN pools USING (user_id)
+""")
+def viewer_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested record per session, of which this takes the parts."""
+    kind, latest = F.col("event_type"), lambda c: F.max_by(c, F.col("event_id"))
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(latest(F.col("value") - 100).alias("pitch"), latest(F.get_json_object("props", "$.k").cast("double") - 50).alias("yaw"), F.count_if(kind == "view").alias("camera_updates"), F.count_if(kind == "purchase").alias("sorted_frames"))
+    fixed = {"orbit_radius": RADIUS, "fit_radius": 4.5, "half_x": 0.8, "half_y": 0.6, "width": VIEW_WIDTH, "height": VIEW_HEIGHT, "fov_degrees": 50.0, "vertices": 1000.0, "content_digest": ""}
+    sessions_ = e.withColumns({c: F.lit(v) for c, v in fixed.items()} | {"radius_mode": F.when(F.col("user_id") % 2 == 0, "fit").otherwise("training"), "overview": F.col("user_id") % 3 == 0})
+    out = cameras.diagnostics(sessions_, cameras.pool_summary(snapshots(spark, sf_dir), ["user_id"]), ["user_id"])
+    c, first = F.col("camera"), F.col("camera")["corners"][0]
+    numbers = {"pitch": F.col("pitch"), "viewer_radius": F.col("viewer_radius"), "radius": c["radius"], "fwd_z": c["forward"]["z"], "center_depth": c["center"]["depth"], "center_x": c["center"]["x"], "center_y": c["center"]["y"], "corner_x": first["x"], "corner_y": first["y"]}
+    return out.select("user_id", c["view_mode"].alias("view_mode"), *[r6(x).alias(n) for n, x in numbers.items()], F.size(c["corners"]).alias("corners"), "presentation.*", "camera_markers.*").drop("training_orbit_radius")
+
+
 # --- viewer parameters and sessions ----------------------------------------
 
 
@@ -326,12 +382,12 @@ def ply_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, p_size::BIGINT AS width, (p_partkey % 100000)::BIGINT AS height, p_size = 1280 AND p_partkey = 720 AS is_screenshot FROM part
+SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN 1280 ELSE p_size END::BIGINT AS width, CASE WHEN p_partkey % 5 < 3 THEN 720 ELSE p_partkey % 100000 END::BIGINT AS height, p_partkey % 5 < 2 AS is_screenshot FROM part
 """)
 def png_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers made from the table: signature, first chunk, width and height."""
     number = lambda c: F.lpad(F.hex(c.cast("long")), 8, "0")
-    head = F.unhex(F.concat(F.lit(binary.PNG_SIGNATURE + "0000000D49484452"), number(F.col("p_size")), number(F.col("p_partkey") % 100000)))
+    head = F.unhex(F.concat(F.lit(binary.PNG_SIGNATURE + "0000000D49484452"), number(F.when(F.col("p_partkey") % 5 < 2, 1280).otherwise(F.col("p_size"))), number(F.when(F.col("p_partkey") % 5 < 3, 720).otherwise(F.col("p_partkey") % 100000))))
     return table(spark, sf_dir, "part").select("p_partkey", binary.png_width(head).alias("width"), binary.png_height(head).alias("height"), binary.is_screenshot(head).alias("is_screenshot"))
 
 
@@ -342,26 +398,46 @@ def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT doc_id FROM documents WHERE n_chars % 2 = 0), l AS (SELECT doc_id FROM labels)
-SELECT doc_id, 'unexpected' AS status FROM d WHERE doc_id NOT IN (SELECT doc_id FROM l)
-UNION ALL SELECT doc_id, 'missing' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM d)
+WITH d AS (SELECT CASE WHEN n_chars % 2 = 0 THEN 'd' ELSE 'moved/d' END || doc_id AS path FROM documents), l AS (SELECT 'd' || doc_id AS path FROM labels)
+SELECT path, 'unexpected' AS status FROM d WHERE path NOT IN (SELECT path FROM l)
+UNION ALL SELECT path, 'missing' FROM l WHERE path NOT IN (SELECT path FROM d)
 """)
 def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The manifest lists labelled documents; there are those whose length is even."""
-    there = table(spark, sf_dir, "documents").filter(F.col("n_chars") % 2 == 0)
-    return rules.manifest_difference(table(spark, sf_dir, "labels"), there, ["doc_id"])
+    """The manifest lists labelled documents; documents of odd length lie elsewhere."""
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    there = table(spark, sf_dir, "documents").select(F.when(F.col("n_chars") % 2 == 0, name).otherwise(F.concat(F.lit("moved/"), name)).alias("path"))
+    return rules.manifest_difference(table(spark, sf_dir, "labels").select(name.alias("path")), there, ["path"])
 
 
 @query("""
-WITH s AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'fr'),
-a AS (SELECT doc_id, sha256(CASE WHEN n_chars % 3 = 0 THEN upper(text) ELSE text END) AS h FROM documents WHERE lang <> 'de')
-SELECT coalesce(s.doc_id, a.doc_id) AS doc_id, s.doc_id IS NOT NULL AS source_file, a.doc_id IS NOT NULL AS artifact_file, coalesce(s.h = a.h, false) AS parity FROM s FULL OUTER JOIN a ON s.doc_id = a.doc_id
+WITH s AS (SELECT CASE WHEN lang = 'fr' THEN 'fr/' ELSE '' END || doc_id AS path, sha256(text) AS h FROM documents),
+a AS (SELECT CASE WHEN lang = 'de' THEN 'de/' ELSE '' END || doc_id AS path, sha256(CASE WHEN n_chars % 3 = 0 THEN upper(text) ELSE text END) AS h FROM documents)
+SELECT coalesce(s.path, a.path) AS path, s.path IS NOT NULL AS source_file, a.path IS NOT NULL AS artifact_file, coalesce(s.h = a.h, false) AS parity FROM s FULL OUTER JOIN a ON s.path = a.path
 """)
 def byte_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against copies of which some are altered and some absent."""
+    """Documents against copies, of which some are altered and some lie elsewhere."""
     d = table(spark, sf_dir, "documents")
-    altered = d.filter("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") % 3 == 0, F.upper("text")).otherwise(F.col("text")).cast("binary").alias("content"))
-    return rules.content_parity(d.filter("lang <> 'fr'").select("doc_id", F.col("text").cast("binary").alias("content")), altered, "doc_id")
+    side = lambda lang, text: d.select(F.concat(F.when(F.col("lang") == lang, f"{lang}/").otherwise(""), F.col("doc_id").cast("string")).alias("path"), text.cast("binary").alias("content"))
+    return rules.content_parity(side("fr", F.col("text")), side("de", F.when(F.col("n_chars") % 3 == 0, F.upper("text")).otherwise(F.col("text"))))
+
+
+@query("""
+WITH k AS (SELECT *, CASE doc_id % 7 WHEN 1 THEN 'link' ELSE 'file' END AS kind, 'site/' || doc_id AS path FROM documents),
+w AS (SELECT DISTINCT 'site/' || doc_id AS path FROM labels),
+c AS (SELECT w.path, k.kind = 'file' AS artifact_file, k.path IS NOT NULL AS source_file, k.kind = 'file' AND doc_id % 5 <> 2 AS same FROM w LEFT JOIN k USING (path)),
+r AS (SELECT path, unnest(['regular source file', 'regular artifact file', 'byte parity']) AS rule, unnest([source_file, artifact_file, same]) AS passed FROM c),
+l AS (SELECT CASE WHEN kind = 'file' THEN path ELSE path || ' (not a regular file)' END AS path FROM k)
+SELECT path, rule, coalesce(passed, false) AS passed FROM r
+UNION ALL SELECT path, 'missing', false FROM w WHERE path NOT IN (SELECT path FROM l)
+UNION ALL SELECT DISTINCT path, 'unexpected', false FROM l WHERE path NOT IN (SELECT path FROM w)
+""")
+def artifact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A site whose files are the documents: some are links there, some are altered, and those without a label are not asked for."""
+    path = F.concat(F.lit("site/"), F.col("doc_id").cast("string")).alias("path")
+    d, text = table(spark, sf_dir, "documents"), F.col("text")
+    source = d.select(path, F.lit("file").alias("kind"), text.cast("binary").alias("content"))
+    artifact = d.select(path, F.when(F.col("doc_id") % 7 == 1, "link").otherwise("file").alias("kind"), F.when(F.col("doc_id") % 5 == 2, F.concat(text, F.lit("!"))).otherwise(text).cast("binary").alias("content"))
+    return rules.artifact_rules(table(spark, sf_dir, "labels").select(path), source, artifact)
 
 
 # --- rules over texts ------------------------------------------------------
@@ -380,56 +456,6 @@ def html_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", markup.is_english_document(html).alias("english"), markup.meta_content(html, "description").alias("description"), F.size(markup.asset_references(html)).alias("assets"), markup.assets_are_local(html).alias("local_assets"), markup.css_is_local(html).alias("local_styles"))
 
 
-SELECT_HTML = '<p>x</p><select class="a" id="algorithmSelect"><option value="one">1</option>\n<option class="c" value=\'two\'>2</option></select><select id="other"><option value="three">3</option></select>'
-
-
-@query("SELECT * FROM (VALUES (0, 'one'), (1, 'two')) AS t(ord, value)")
-def option_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = ordered_values(spark, [SELECT_HTML], "html")
-    return html.select(F.posexplode(markup.option_values(F.col("html"), "algorithmSelect")).alias("ord", "value"))
-
-
-WORKFLOW = """permissions: {}
-jobs:
-  build:
-    permissions:
-      contents: write
-      pages: none # later lines win
-      contents: read
-    steps: []
-  deploy:
-    permissions:
-      pages: write
-      id-token: write
-"""
-
-
-@query("SELECT * FROM (VALUES ('build', 'contents', 'read'), ('build', 'pages', 'none'), ('deploy', 'pages', 'write'), ('deploy', 'id-token', 'write')) AS t(job, permission, access)")
-def permission_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = ordered_values(spark, [WORKFLOW], "workflow").select(F.explode(F.array(*[F.struct(F.lit(j).alias("job"), markup.permission_map(markup.job_block(F.col("workflow"), j, nxt)).alias("m")) for j, nxt in (("build", "deploy"), ("deploy", None))])).alias("j"))
-    return text.select("j.job", F.explode("j.m").alias("permission", "access"))
-
-
-@query(r"""
-WITH r AS (SELECT page_id, html, contains(html, '</') AS closes FROM pages),
-f AS (SELECT page_id, unnest([{'ord': 0, 'rule': 'closes its tags', 'ok': closes}, {'ord': 1, 'rule': 'has a title', 'ok': contains(html, '<title>')}, {'ord': 2, 'rule': 'loads nothing over plain http', 'ok': NOT contains(html, 'http://')}], recursive := true) FROM r)
-SELECT page_id, string_agg(rule, ', ' ORDER BY ord) AS failed FROM f WHERE NOT ok GROUP BY 1
-""")
-def rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.col("html")
-    checks = [("closes its tags", F.contains(html, F.lit("</"))), ("has a title", F.contains(html, F.lit("<title>"))), ("loads nothing over plain http", ~F.contains(html, F.lit("http://")))]
-    failed = rules.failures(rules.evaluate(table(spark, sf_dir, "pages"), checks, ["page_id"]), ["page_id"])
-    return failed.select("page_id", F.array_join("failed", ", ").alias("failed"))
-
-
-@query()
-def release_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All 24 rules, with every page in the place of a launcher and an app."""
-    empty = {c: F.lit("") for c in ("app_script", "styles", "readme")}
-    releases = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("launcher_html"), F.col("html").alias("app_html"), F.lit(WORKFLOW).alias("workflow"), F.lit(None).cast("binary").alias("screenshot")).withColumns(empty)
-    return rules.evaluate(releases, rules.release_rules(rules.Policy(options=("one", "two"))), ["page_id"])
-
-
 # --- compositing -----------------------------------------------------------
 
 
@@ -453,31 +479,48 @@ def opacity_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", value.alias("opacity"))  # not rounded: decimal ties fall differently in the two engines
 
 
-@query("""
-WITH e AS (SELECT label, abs(floor(embedding[1] * 3)::INTEGER) % 3 AS a, abs(floor(embedding[2] * 5)::INTEGER) % 4 AS p FROM embeddings),
+@query(f"""
+WITH e AS (SELECT label, abs(floor(v0 * 3)::INTEGER) % 3 AS a, abs(floor(v1 * 5)::INTEGER) % 4 AS p FROM {chunks_sql(2)} AS c),
 g AS (SELECT label, max(a) AS alpha_maximum, max(p) AS premultiplied_maximum FROM e GROUP BY 1)
 SELECT label, alpha_maximum, premultiplied_maximum, alpha_maximum <= 1 AND premultiplied_maximum <= CASE WHEN alpha_maximum > 0 THEN 2 ELSE 1 END AS parity FROM g
 """)
 def export_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    step = lambda i, by, most: F.abs(F.floor(e[i] * F.lit(by).cast("float")).cast("int")) % most
-    return compositing.export_parity(table(spark, sf_dir, "embeddings"), ["label"], step(0, 3, 3), step(1, 5, 4))
+    step = lambda name, by, most: F.abs(F.floor(F.col(name) * by).cast("int")) % most
+    return compositing.export_parity(chunks(spark, sf_dir, 2), ["label"], step("v0", 3, 3), step("v1", 5, 4))
 
 
-@query("""
-WITH e AS (SELECT label, round(embedding[1]::DOUBLE * 255) AS a, round(embedding[2]::DOUBLE * 255) AS b FROM embeddings),
+@query(f"""
+WITH e AS (SELECT label, round(v0 * 255) AS a, round(v1 * 255) AS b FROM {chunks_sql(2)} AS c),
 g AS (SELECT label, count(*) AS samples, avg(abs(a - b)) AS l1, avg((a - b) * (a - b)) AS mse FROM e GROUP BY 1)
 SELECT label, samples, round(l1, 6) + 0.0 AS l1, round(mse, 6) + 0.0 AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(255 * 255 / mse) END, 6) + 0.0 AS psnr FROM g
 """)
 def image_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    out = compositing.image_error(table(spark, sf_dir, "embeddings"), ["label"], F.round(e[0].cast("double") * 255), F.round(e[1].cast("double") * 255))
+    out = compositing.image_error(chunks(spark, sf_dir, 2), ["label"], F.round(F.col("v0") * 255), F.round(F.col("v1") * 255))
     return out.select("label", "samples", *rounded_all(out, "l1", "mse", "psnr"))
 
 
-@query("""
-SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY embedding[3] DESC, vec_id) - 1)::INTEGER AS draw_order FROM embeddings
+@query(f"""
+WITH p AS (SELECT vec_id // 64 AS image, vec_id % 64 AS r, piece AS c, round(v0 * 255) AS x, round(v0 * 255) + (vec_id * 7 + piece) % 5 - 2 AS y FROM {chunks_sql(1)} AS e),
+b AS (SELECT image, br, bc, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(x * x) AS mxx, avg(y * y) AS myy, avg(x * y) AS mxy
+      FROM p, (SELECT range * 4 AS br FROM range(16)) AS rows, (SELECT range * 4 AS bc FROM range(16)) AS cols WHERE r >= br AND r < br + 8 AND c >= bc AND c < bc + 8 GROUP BY ALL),
+s AS (SELECT image, (2 * mx * my + 6.5025) * (2 * (mxy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (mxx - mx * mx + myy - my * my + 58.5225)) AS v FROM b WHERE n = 64)
+SELECT image, count(*) AS blocks, round(avg(v), 6) + 0.0 AS ssim FROM s GROUP BY 1
+""")
+def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64 embeddings are the rows of an image; the other image has small errors."""
+    e = chunks(spark, sf_dir, 1).withColumn("image", F.expr("vec_id div 64"))
+    value = F.round(F.col("v0") * 255)
+    out = compositing.ssim(e, ["image"], F.col("vec_id") % 64, F.col("piece"), value, value + (F.col("vec_id") * 7 + F.col("piece")) % 5 - 2)
+    return out.select("image", "blocks", r6("ssim").alias("ssim"))
+
+
+@query(f"""
+SELECT label, piece, vec_id, (row_number() OVER (PARTITION BY label, piece ORDER BY v0 DESC, vec_id) - 1)::INTEGER AS draw_order FROM {chunks_sql(1)} AS e
 """)
 def depth_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compositing.depth_order(table(spark, sf_dir, "embeddings"), ["label"], F.col("embedding")[2], "vec_id")
-    return out.select("label", "vec_id", "draw_order")
+    """Each place of the embeddings is a view, in which its numbers are depths."""
+    out = compositing.depth_order(chunks(spark, sf_dir, 1), ["label", "piece"], F.col("v0"), "vec_id")
+    return out.select("label", "piece", "vec_id", "draw_order")
+
+
+from . import releases  # noqa: E402, F401  (registers its queries here)

@@ -18,7 +18,10 @@ def read_texts(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
 
 
 def read_binaries(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """(path, length, content) of every file below ``path``; the pattern (``*.ply``) is applied before files are opened."""
+    """(path, length, content) of every file below ``path``; the pattern (``*.ply``) is applied before files are opened.
+
+    Spark's reader gives no rows for empty files and for names that begin with a dot or an underscore.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
@@ -26,10 +29,18 @@ def read_binaries(spark: SparkSession, path: str, pattern: str | None = None) ->
 
 
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
-    """PLY files with the number of vertices that their headers announce; empty files are refused rows (``accepted`` false)."""
+    """(path, length, accepted, vertices, sha256) of PLY files, with the number of vertices that their headers announce.
+
+    Empty files are refused: below a mounted folder they are rows with
+    ``accepted`` false; other stores cannot be listed and have no rows for them.
+    """
     from ..functions.binary import digest, is_ply_payload, ply_vertex_count
+    from .listing import is_mounted, list_files
 
     rows = read_binaries(spark, path, "*.ply")
+    if is_mounted(path):
+        empty = list_files(spark, path).filter((F.col("kind") == "file") & (F.col("length") == 0) & F.endswith("path", F.lit(".ply")))
+        rows = rows.unionByName(empty.select(F.concat(F.lit(path.rstrip("/") + "/"), F.col("path")).alias("path"), "length", F.lit(b"").alias("content")))
     return rows.select("path", "length", is_ply_payload(F.col("content")).alias("accepted"), ply_vertex_count(F.col("content")).alias("vertices"), digest(F.col("content")).alias("sha256"))
 
 

@@ -2,10 +2,11 @@
 
 Spark's ``binaryFile`` source leaves out names that begin with a dot or an
 underscore and knows no kinds of entries, both of which a check of a file set
-needs.  The source makes one input partition per entry of the top folder and
-walks each of them in a task of its own, so a large tree is listed in
-parallel.  Contents are read only if asked for (option ``content``) and only
-for regular files.
+needs.  The driver opens folders from the top, breadth first, until there are
+``FOLDERS`` of them; each unopened one is then walked in a task of its own, and
+the entries of each opened one are dealt by name to ``SHARES`` tasks, so neither
+a deep tree nor one large folder is left to a single task.  Contents are read
+only if asked for (option ``content``) and only for regular files.
 
     spark.dataSource.register(FileListing)
     spark.read.format("file_listing").option("content", "true").load("/site")
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import stat
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -29,12 +31,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "path string, kind string, length long, content binary"
 ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 BATCH_BYTES = 8 << 20
+FOLDERS = 64
+SHARES = 4
 IRREGULAR = " (not a regular file)"
 
 
+def is_mounted(path: str) -> bool:
+    return urlparse(path).scheme in ("", "file")
+
+
 def local_folder(path: str) -> str:
     parsed = urlparse(path)
-    if parsed.scheme not in ("", "file"):
+    if not is_mounted(path):
         raise ValueError(f"the listing reads mounted folders, not {parsed.scheme}://")
     return os.path.normpath(unquote(parsed.path) if parsed.scheme else path)
 
@@ -43,22 +51,42 @@ def kind_of(mode: int) -> str:
     return "file" if stat.S_ISREG(mode) else "link" if stat.S_ISLNK(mode) else "other"
 
 
-class Entry(InputPartition):
-    def __init__(self, name: str) -> None:
-        self.name = name
+class Walk(InputPartition):
+    """All that lies below a folder."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+
+class Share(InputPartition):
+    """One share of a folder's own entries that are not folders."""
+
+    def __init__(self, folder: str, share: int) -> None:
+        self.folder, self.share = folder, share
 
 
 class ListingReader(DataSourceReader):
     def __init__(self, root: str, content: bool) -> None:
         self.root, self.content = root, content
 
+    def entries(self, folder: str) -> Iterator[tuple[str, bool]]:
+        """(path below the root, whether it is a folder) of a folder's own entries."""
+        with os.scandir(os.path.join(self.root, folder)) as found:
+            for x in found:
+                yield os.path.join(folder, x.name), x.is_dir(follow_symlinks=False)
+
     def partitions(self) -> list[InputPartition]:
-        return [Entry(x) for x in sorted(os.listdir(self.root))]
+        opened, waiting = [], [""]
+        while waiting and len(opened) + len(waiting) <= FOLDERS:
+            folder = waiting.pop(0)
+            opened.append(folder)
+            waiting += sorted(path for path, is_folder in self.entries(folder) if is_folder)
+        return [Share(folder, i) for folder in opened for i in range(SHARES)] + [Walk(folder) for folder in waiting]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for path in self.walk(partition.name):
+        for path in self.share(partition) if isinstance(partition, Share) else self.walk(partition.folder):
             full = os.path.join(self.root, path)
             info = os.lstat(full)
             kind, body = kind_of(info.st_mode), None
@@ -66,22 +94,22 @@ class ListingReader(DataSourceReader):
                 with open(full, "rb") as f:
                     body = f.read()
                 size += len(body)
-            rows.append((path, kind, info.st_size, body))
+            rows.append((path.replace(os.sep, "/"), kind, info.st_size, body))
             if size >= BATCH_BYTES or len(rows) >= 4096:
                 yield self.batch(rows)
                 rows, size = [], 0
         if rows:
             yield self.batch(rows)
 
-    def walk(self, name: str) -> Iterator[str]:
-        full = os.path.join(self.root, name)
-        if not os.path.isdir(full) or os.path.islink(full):
-            yield name
-            return
-        for top, dirs, files in os.walk(full):
-            links = [d for d in dirs if os.path.islink(os.path.join(top, d))]
-            for x in (*files, *links):
-                yield os.path.relpath(os.path.join(top, x), self.root).replace(os.sep, "/")
+    def share(self, part: Share) -> Iterator[str]:
+        return (path for path, is_folder in self.entries(part.folder) if not is_folder and zlib.crc32(path.encode("utf-8", "surrogateescape")) % SHARES == part.share)
+
+    def walk(self, folder: str) -> Iterator[str]:
+        for path, is_folder in self.entries(folder):
+            if is_folder:
+                yield from self.walk(path)
+            else:
+                yield path
 
     @staticmethod
     def batch(rows: list[tuple]) -> pa.RecordBatch:
