@@ -19,16 +19,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels, scratch
+from . import kernels, scratch, sizing
 from .kernels import U64
 
 GRAM = 24
 WINDOW = 16
 PLACE_BITS = 31
-ROWS_PER_TASK = 5000
 GROUP_CHARS = 1 << 20
 
 
@@ -114,19 +113,19 @@ def _report(texts: list[str], following: list[str], in_order: bool) -> dict[str,
     }
 
 
-def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", task_bytes: int = sizing.MOST_BYTES) -> DataFrame:
     """Each document's fingerprint against that of its edited text and of the next document.
 
     Next is the following row by descending id (nulls last, equal ids by text);
-    the first row follows the last.  Rows are range-partitioned by id once and
-    stream through in order.  Only the last row of a partition lacks its
+    the first row follows the last.  Rows are range-partitioned by id once, into as
+    many tasks as their bytes call for, and stream through in order.  Only the last row of a partition lacks its
     successor; those rows, one per partition, are completed in a second step
     from the partitions' first rows.
     """
     spark = docs.sparkSession
-    tasks = max(1, -(-docs.count() // rows_per_task))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange(tasks, F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
+    many = sizing.tasks(spark, slim.agg(F.sum(F.octet_length("text"))).first()[0], task_bytes)
+    ordered = slim.repartitionByRange(many, F.col("id").desc_nulls_last()).sortWithinPartitions(F.col("id").desc_nulls_last(), "text")
     columns = [c.split()[0] for c in REPORT.split(", ")]
     kinds = {"n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
     schema = pa.schema([("id", pa.int64()), *((c, kinds.get(c, pa.string())) for c in columns), ("part", pa.int32()), ("head", pa.bool_()), ("tail", pa.bool_()), ("text", pa.string())])
@@ -158,10 +157,12 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_pydict({f.name: pa.array([row[f.name]], f.type) for f in schema})
 
     made = scratch.materialise(ordered.mapInArrow(run, f"id long, {REPORT}, part int, head boolean, tail boolean, text string"), "winnow-report")
-    parts = sorted(r[0] for r in made.filter("head").select("part").collect())  # one row per partition
-    successor = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")
+    # One slim row per partition: its number, and that of the next partition with rows.
+    order = Window.orderBy("part")
+    following = F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    successor = made.filter("head").select("part", following.alias("next_part"))
     heads = made.filter("head").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-    tails = made.filter("tail").select("id", "part", "text").join(F.broadcast(successor), "part").join(heads, "next_part").select("id", "text", "following")
+    tails = made.filter("tail").select("id", "part", "text").join(successor, "part").join(heads, "next_part").select("id", "text", "following")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
