@@ -296,7 +296,7 @@ def test_mixing_stage(staged):
     docs, made = out["mixing sources to target weights"]
     con = oracle.duckdb.connect()
     con.register("documents", docs.toPandas())
-    assert ids(made) == sorted(r[0] for r in con.execute(mixing.oracle_sql(pipeline.MIX)).fetchall())
+    assert ids(made) == sorted(r[0] for r in con.execute(mixing.oracle_sql(pipeline.MIX, queries.SOURCE_DOMAIN_SQL)).fetchall())
 
 
 def test_packing_stage(staged):
