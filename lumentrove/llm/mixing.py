@@ -80,9 +80,14 @@ def shared(nodes: DataFrame, parent: list[str]) -> DataFrame:
     steps = ratios.join(bins, [*up, "__bin"]).withColumn("caps_before", caps_before).withColumn("weights_from", weights_from)
     # In whole numbers: caps / weights is the ratio of every child of this row.
     steps = steps.filter(F.col("caps").cast("decimal(38,0)") * F.col("weights_from") > F.col("weights").cast("decimal(38,0)") * (F.col("total") - F.col("caps_before")))
-    level = steps.groupBy(*up).agg(F.min("__ratio").alias("__level"), F.min("caps_before").alias("__caps"), F.max("weights_from").alias("__over"))
+    level = steps.groupBy(*up).agg(F.min("__ratio").alias("__level"), F.min("caps_before").alias("__caps"), F.max("weights_from").alias("__over")).drop("__one")
+    if parent:
+        told = live.join(level, parent, "left")
+    else:  # the root is one row
+        row = level.first()
+        told = live.withColumns({c: F.lit(row[c] if row else None).cast(level.schema[c].dataType) for c in ("__level", "__caps", "__over")})
     open_ = F.col("__ratio") >= F.col("__level")
-    return live.join(level, up, "left").withColumn("budget", F.when(open_, F.expr("(weight * (parent_budget - __caps)) div __over")).otherwise(F.col("cap"))).drop("__one", "__ratio", "__bin", "__level", "__caps", "__over")
+    return told.withColumn("budget", F.when(open_, F.expr("(weight * (parent_budget - __caps)) div __over")).otherwise(F.col("cap"))).drop("__one", "__ratio", "__bin", "__level", "__caps", "__over")
 
 
 def leaf_budgets(leaves: DataFrame, recipe: Recipe) -> DataFrame:

@@ -69,9 +69,12 @@ def release(*tables: DataFrame) -> None:
         remove(table.sparkSession, table.scratch_path)
 
 
-def sweep(spark: SparkSession, keep: Iterable[DataFrame] = ()) -> None:
-    """Deletes all that this application has left here, except the tables ``keep``; results that still read it are lost."""
-    held = {table.scratch_path for table in keep}
-    for path in list(_written.get(spark.sparkContext.applicationId, [])):
-        if path not in held:
-            remove(spark, path)
+def left(spark: SparkSession) -> set[str]:
+    """The folders that this application has left here up to now."""
+    return set(_written.get(spark.sparkContext.applicationId, []))
+
+
+def sweep(spark: SparkSession, keep: Iterable[DataFrame] = (), earlier: Iterable[str] = ()) -> None:
+    """Deletes what this application has left here, except the tables ``keep`` and the folders ``earlier``; results that still read it are lost."""
+    for path in left(spark) - {table.scratch_path for table in keep} - set(earlier):
+        remove(spark, path)
