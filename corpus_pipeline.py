@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumentrove.llm import line_dedup, minhash, mixing, packing, quality, scratch
+from lumentrove.llm import line_dedup, minhash, mixing, packing, quality, queries, scratch
 
 #: Every document fits once; the budget leaves out what the target weights have no place for.
 MIX = mixing.Recipe(percent=80, epochs=1)
@@ -30,14 +30,14 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
+    """The document with the smallest id of each group of near-duplicates stays; rows that share an id stay or go together."""
     found = minhash.near_components(docs, words=5)
     gone = scratch.materialise(found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct(), "pipeline-gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX).select(*docs.columns)
+    return mixing.mix(docs, MIX, domain=queries.source_domain()).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What a stage left in the shared folder goes as soon as its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = scratch.left(spark)
         docs = scratch.materialise(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+        scratch.sweep(spark, keep=[docs], earlier=before)
     return docs
