@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.scalars import EPSILON, angle_key, finite
-from .projection import CORNERS, FOV, frame_corner, half_tangent, project_world, with_axes, with_pose
+from .projection import CORNERS, FOV, frame_corner, half_tangent, project_world, with_axes, with_pose, with_position
 
 POOL_COLUMNS = {"orbit_radius": "double", "pool_fov": "double", "image_aspect": "double", "target_x": "double", "target_y": "double", "target_z": "double", "active_camera_id": "string"}
 CAMERA_COLUMNS = {"ord": "long", "id": "string", "kind": "string", "pitch_degrees": "double", "yaw_degrees": "double", "multiplicity": "double", "camera_fov": "double"}
@@ -105,9 +105,10 @@ def marker_members(cameras: DataFrame, keys: list[str] | None = None) -> DataFra
 
 def with_frustum(markers: DataFrame) -> DataFrame:
     """Adds the marker's pose, seen from its position towards its target, and corner{0..3}_{x,y,z} of its frustum's far side."""
-    posed = with_pose(markers, F.col("raw_pitch"), F.col("raw_yaw"), F.col("orbit_radius")).drop(*[f"{a}_{c}" for a in ("fwd", "right", "up") for c in "xyz"])
-    posed = with_axes(posed, tuple(F.col(f"target_{c}") - F.col(f"pos_{c}") for c in "xyz"))
-    posed = posed.withColumn("_depth", F.col("orbit_radius") * FRUSTUM_DEPTH).withColumn("_hh", F.col("_depth") * half_tangent(F.col("fov_degrees"))).withColumn("_hw", F.col("_hh") * F.col("image_aspect"))
+    posed = with_axes(with_position(markers, F.col("raw_pitch"), F.col("raw_yaw"), F.col("orbit_radius")), tuple(F.col(f"target_{c}") - F.col(f"pos_{c}") for c in "xyz"))
+    depth = F.col("orbit_radius") * FRUSTUM_DEPTH
+    rise = depth * half_tangent(F.col("fov_degrees"))
+    posed = posed.withColumns({"_depth": depth, "_hh": rise, "_hw": rise * F.col("image_aspect")})
     corners = {}
     for i, (x, y) in enumerate(CORNERS):
         for c in "xyz":

@@ -49,10 +49,14 @@ def with_pose(df: DataFrame, pitch: Column | float, yaw: Column | float, radius:
         posed = with_pose(camera, F.col("_cp"), F.col("_cy"), F.col("_cr")).drop("_cp", "_cy", "_cr")
         return df.crossJoin(F.broadcast(posed))  # one row by construction
     pitch, yaw, radius = (x if isinstance(x, Column) else F.lit(float(x)) for x in (pitch, yaw, radius))
+    return with_axes(with_position(df, pitch, yaw, radius), tuple(-x for x in V.cols("pos")))
+
+
+def with_position(df: DataFrame, pitch: Column, yaw: Column, radius: Column) -> DataFrame:
+    """Adds the clamped angles, radius and pos_* of a camera in orbit around the origin."""
     out = with_orbit_angles(df, pitch, yaw).drop("dir_x", "dir_y", "dir_z")
     out = out.withColumns({"radius": F.greatest(F.lit(0.01), finite(radius, 1.0)), "_p": to_radians(F.col("pitch_degrees")), "_y": to_radians(F.col("yaw_degrees"))})
-    out = out.withColumns(V.named("pos", tuple(F.col("radius") * x for x in direction_of(F.col("_p"), F.col("_y")))))
-    return with_axes(out, tuple(-x for x in V.cols("pos"))).drop("_p", "_y")
+    return out.withColumns(V.named("pos", tuple(F.col("radius") * x for x in direction_of(F.col("_p"), F.col("_y"))))).drop("_p", "_y")
 
 
 def with_axes(df: DataFrame, towards: V.Vec) -> DataFrame:
