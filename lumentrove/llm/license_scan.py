@@ -9,15 +9,14 @@ any template and a repeated word as distinct ones, so no unit that reaches the
 threshold is left out.  Both passes are scans of whole texts; what is gathered is
 one count per template word.
 
-Where no line reaches the threshold there is no licence, and the score only tells
-how near the best line came by its rarer words: in it, words that more than
-``COMMON`` of the documents contain weigh nothing.
+Where no line or block reaches the threshold there is no licence and its score is 0.
 
 Blocks are the runs of lines in which a header may stand (see ``block_lines``);
 comment marks are no words, so they weigh nothing.  Notices, headers and licence
 texts are compared with lines and blocks, licence texts also with whole texts.
 
-A file's own licence is that of its best line; or of the block whose template has
+A file's own licence is that of its best line (``FALLBACK`` only if no other line or
+block names a licence); or of the block whose template has
 most words, if these are more than the line's template has; or of its whole text
 if it is a licence file.  Directories take the licence of the licence file in them (best
 score, then least path); a file without a licence of its own inherits from the
@@ -59,7 +58,8 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved."],
 }
-COMMON = 0.2
+#: Says least, so it is a file's licence only where no line or block names another.
+FALLBACK = "Proprietary"
 LINE_COSINE = 0.75
 BLOCK_COSINE = 0.75
 FILE_COSINE = 0.6
@@ -172,16 +172,13 @@ def document_frequencies(docs: DataFrame, text_col: str, words: list[bytes]) ->
 
 
 class Matcher:
-    """Cosines of units of text to the templates under given document frequencies.
+    """Cosines of units of text to the templates under given document frequencies."""
 
-    Words that more than ``common`` of the documents contain weigh nothing.
-    """
-
-    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int], common: float = 1.0, marks: bool = False) -> None:
+    def __init__(self, templates: dict[str, list[str]], n_docs: int, df: dict[bytes, int], marks: bool = False) -> None:
         self.unknown = math.log(n_docs + 1) + 1
         self.words = vocabulary(templates, marks)
         self.number = {w: i for i, w in enumerate(self.words)}
-        self.idf = np.array([0.0 if n_docs and df[w] / n_docs > common else math.log((n_docs + 1) / (df[w] + 1)) + 1 for w in self.words])
+        self.idf = np.array([math.log((n_docs + 1) / (df[w] + 1)) + 1 for w in self.words])
         self.idf[[self.number[w] for w in MARKS if w in self.number]] = 0.0
         self.names, self.sizes, vectors = [], [], []
         for name in sorted(templates):
@@ -262,7 +259,6 @@ def scan(
     n_docs, df = document_frequencies(docs, text_col, words)
     matcher = Matcher(merged(templates, passages), n_docs, df, marks=True)
     whole = Matcher(merged(templates, passages, texts), n_docs, df, marks=True)
-    near = Matcher(templates, n_docs, df, COMMON)
     copyright_hash = word_hashes([b"copyright"])[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,20 +266,15 @@ def scan(
         order = np.argsort(hashes)
         known = hashes[order]
         most, least = matcher.bounds(words)
-        rare = near.bounds(words)[0] > 0
         seen: dict[bytes, tuple[str | None, float, int]] = {}
 
-        def best_of(line: bytes, possible: bool) -> tuple[str | None, float, int]:
-            """Licence, score and size of the template of a line; no licence below the threshold."""
+        def best_of(line: bytes) -> tuple[str | None, float, int]:
+            """Licence, score and size of the template of a line; none below the threshold."""
             if line not in seen:
                 if len(seen) > 50_000:
                     seen.clear()
-                name, score, size = matcher.best_size(line) if possible else (None, 0.0, 0)
-                if score < line_cosine:
-                    name = None
-                    low = near.best(line)[1]
-                    score = low if low < line_cosine else matcher.best(line)[1]
-                seen[line] = name, score, size
+                found = matcher.best_size(line)
+                seen[line] = found if found[1] >= line_cosine else (None, 0.0, 0)
             return seen[line]
 
         for batch in batches:
@@ -298,14 +289,12 @@ def scan(
                 ends = np.append(starts[1:], own[-1] - own[0])
                 line_of = np.searchsorted(starts, place, "right") - 1
                 possible = bounded(most[word], least[word], line_of, len(starts), line_cosine)
-                looked = possible.copy()
-                looked[line_of[rare[word]]] = True
                 row_of = np.searchsorted(own - own[0], starts, "right") - 1
                 found: dict[int, tuple[str | None, float, int]] = {}
-                for i in np.flatnonzero(looked).tolist():
-                    name, score, size = best_of(data[own[0] + starts[i] : own[0] + ends[i]].tobytes(), bool(possible[i]))
+                for i in np.flatnonzero(possible).tolist():
+                    name, score, size = best_of(data[own[0] + starts[i] : own[0] + ends[i]].tobytes())
                     r = int(row_of[i])
-                    if r not in found or (name is not None, score) > (found[r][0] is not None, found[r][1]):
+                    if name is not None and (r not in found or (name != FALLBACK, score) > (found[r][0] != FALLBACK, found[r][1])):
                         found[r] = name, score, size
                 opening = np.flatnonzero(np.append(True, line_of[1:] != line_of[:-1]))
                 copyright = np.zeros(len(starts), bool)
@@ -313,14 +302,14 @@ def scan(
                 blocks = block_lines(data[own[0] : own[-1]], starts, row_of, np.bincount(line_of, minlength=len(starts)), copyright)
                 sums = [np.append(0.0, np.cumsum(np.bincount(line_of, weights=x[word], minlength=len(starts)))) for x in (most, least)]
                 product, square = (x[blocks[:, 1]] - x[blocks[:, 0]] for x in sums)
-                widest: dict[int, tuple[int, float, str]] = {}
+                widest: dict[int, tuple[bool, int, float, str]] = {}
                 for a, b in blocks[product >= (block_cosine - 1e-6) * np.sqrt(np.maximum(square, 0.0)) - 1e-6].tolist():
                     name, score, size = matcher.best_size(data[own[0] + starts[a] : own[0] + ends[b - 1]].tobytes())
                     r = int(row_of[a])
-                    if score >= block_cosine and (r not in widest or (size, score) > widest[r][:2]):
-                        widest[r] = size, score, name
-                for r, (size, score, name) in widest.items():
-                    if found.get(r, (None, 0.0, 0))[0] is None or size > found[r][2]:
+                    if score >= block_cosine and (r not in widest or (name != FALLBACK, size, score) > widest[r][:3]):
+                        widest[r] = name != FALLBACK, size, score, name
+                for r, (told, size, score, name) in widest.items():
+                    if r not in found or (told, size) > (found[r][0] != FALLBACK, found[r][2]):
                         found[r] = name, score, size
                 for r in np.unique(row_of[line_of[word >= 0]]).tolist():
                     line_name, line_top, _ = found.get(r, (None, 0.0, 0))
