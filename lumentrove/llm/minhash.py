@@ -11,14 +11,25 @@ into classes; (3) bands of the class sketches make buckets, in which members
 are tied to two hubs only, the smallest and the largest id, so a bucket of any
 size makes candidates in proportion to it; (4) the full sets of candidates are
 compared, members of a hub being split over several tasks; (5) links give
-components; (6) components that still share a bucket are completed: their
-documents are compared on the full sets across components, in blocks, wherever
-the sketches could agree at the threshold (by the concentration bound).  Pairs
-inside one component need no test, as they cannot change it.
+components.  Pairs inside one component need no test, as they cannot change it.
+
+(6) Members of buckets that hold several components get finer sketches of
+``FINE_BINS`` bins and ``FINE_KEYS`` keys of ``FINE_ROWS`` bins each, which
+split such a bucket: two documents at the threshold still share a key with a
+probability of 1 - 1e-5, unlike ones hardly ever.  In the finer buckets hubs are
+tried once more, as pairs of ids, of which those whose fine sketches may agree
+at the threshold (by the concentration bound) are compared on their full sets.
+(7) What then still shares a finer bucket across components is a family of
+texts just below the threshold, in which every pair has to be looked at.  Its
+documents are compared in tasks, in blocks bounded by bytes and rows: first by
+fine sketches, then on full sets, skipping pairs that are connected by then; a
+block returns links, fewer than it has documents, and never its pairs.  A
+family of one block travels once, and one of b blocks b times.
 
 Defined cases: null text is an empty set and linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are their own
-component and link nothing; repeated rows fall into one class.
+component and link nothing; repeated rows fall into one class; rows that share
+an id count as one document in links, whatever their texts.
 """
 
 from __future__ import annotations
@@ -39,7 +50,11 @@ BANDS = 32
 #: 4.5 deviations of the match count of two sketches at the threshold.
 SLACK = 4.5
 HUB_SHARE = 1000
-BLOCK = 512
+FINE_BINS = 1024
+FINE_ROWS = 16
+FINE_KEYS = 480
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,11 +118,11 @@ def sketches(sets: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
     return table.reshape(n_docs, bins)
 
 
-PROFILE = "id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
+PROFILE = "id long, n_shingles long, set_hash binary, bands array<long>"
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int, bands: int) -> DataFrame:
-    """A row per document: set size, digest of the set, band keys and an 8-bit sketch."""
+    """A row per document: set size, digest of the set and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,25 +141,30 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int,
                         pa.array(size),
                         pa.array([xxhash.xxh3_128_digest(sets[at[i] : at[i + 1]]) if size[i] else None for i in range(hi - lo)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel())),
-                        pa.array([x.tobytes() for x in (table & U64(0xFF)).astype(np.uint8)], pa.binary()),
                     ],
-                    names=["id", "n_shingles", "set_hash", "bands", "sketch"],
+                    names=["id", "n_shingles", "set_hash", "bands"],
                 )
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, PROFILE)
 
 
-def wanted_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """The full sets that verifying ``pairs`` (a, b) needs: (hub, share, member, id, shingles), written to the shared folder.
+def meetings(pairs: DataFrame, hub_share: int) -> DataFrame:
+    """(id, hub, share, member): where the sets of ``pairs`` (a, b) meet.
 
-    b plays the hub: its set is there once for each share of about
-    ``HUB_SHARE`` partners, each a's set once for every hub it has.  A text is
-    read and joined once, whatever the number of its pairs.
+    b plays the hub: its set is there once for each share of about ``hub_share``
+    partners, each a's set once for every hub it has.
     """
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_SHARE).cast("int").alias("shares"))
+    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / hub_share).cast("int").alias("shares"))
     members = pairs.join(shares, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"))
-    hubs = shares.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
-    uses = members.unionByName(hubs).groupBy("id").agg(F.collect_list(F.struct("hub", "share", "member")).alias("uses"))  # bounded by bands and shares
+    return members.unionByName(shares.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member")))
+
+
+def wanted_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, hub_share: int) -> DataFrame:
+    """The full sets that verifying ``pairs`` needs: (hub, share, member, id, shingles), written to the shared folder.
+
+    A text is read and joined once, whatever the number of its pairs.
+    """
+    uses = meetings(pairs, hub_share).groupBy("id").agg(F.collect_list(F.struct("hub", "share", "member")).alias("uses"))  # bounded by bands and shares
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +190,7 @@ def overlap(own: np.ndarray, other: np.ndarray) -> int:
 
 
 def verified(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``wanted_sets`` with den * |A and B| >= num * |A or B|."""
+    """The pairs (a, b) whose ``sets`` meet and have den * |A and B| >= num * |A or B|."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hub_set = None, np.zeros(0, U64)
@@ -193,38 +213,95 @@ def verified(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.repartition("hub", "share").sortWithinPartitions("hub", "share", "member").mapInArrow(compare, "a long, b long")
 
 
-def across(members: DataFrame, bins: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components of one cluster.
+FINE = "id long, keys array<long>, marks binary"
+
 
-    ``members``: (cluster, n, id, component, sketch, shingles).  A cluster is cut
-    into blocks of about ``BLOCK`` rows and each pair of blocks is a group.
-    There, documents whose sketches may agree at the threshold and that no link
-    connects yet are compared on their full sets, the likeliest first; a group
-    returns fewer links than it has documents, however many pairs it holds.
+def fine_sketches(full: DataFrame, bins: int = FINE_BINS, rows: int = FINE_ROWS, keys: int = FINE_KEYS) -> DataFrame:
+    """(id, keys, marks) from (id, shingles): each key is of ``rows`` bins, drawn once for all documents."""
+    rng = np.random.default_rng(29)
+    drawn = np.stack([rng.choice(bins, rows, replace=False) for _ in range(keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = kernels.raw_text(batch.column(1))
+            for lo, hi in kernels.row_chunks(offsets):
+                own = offsets[lo : hi + 1]
+                table = sketches(np.frombuffer(data[own[0] : own[-1]].tobytes(), U64), (own - own[0]) // 8, bins)
+                found = np.zeros((hi - lo, keys), U64)
+                for j in range(rows):
+                    found = kernels.mix(found + table[:, drawn[:, j]] + U64(j + 1))
+                found = kernels.mix(found + np.arange(1, keys + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * keys, keys, dtype=np.int32)), pa.array(found.ravel())), pa.array([x.tobytes() for x in (table & U64(0xFF)).astype(np.uint8)], pa.binary())], names=["id", "keys", "marks"])
+
+    return full.mapInArrow(run, FINE)
+
+
+def likely(pairs: DataFrame, fine: DataFrame, bins: int, num: int, den: int) -> DataFrame:
+    """The ``pairs`` whose fine sketches agree as often as those at the threshold may."""
+    level = num / den
+    least = bins * level - SLACK * (bins * level * (1 - level)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in (2, 3))
+            ok = pa.array((x == y).sum(axis=1) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    left, right = fine.select(F.col("id").alias("a"), F.col("marks").alias("x")), fine.select(F.col("id").alias("b"), F.col("marks").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def mixed_keys(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (key, id, label) in buckets of more than one label."""
+    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return placed.select("key", "id", "label").join(mixed, "key", "left_semi")
+
+
+def mixed_buckets(members: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, id, label) of the buckets of ``members`` (key, id) that hold more than one component of ``named``."""
+    return mixed_keys(members.join(named, members["id"] == named["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+
+
+def families(members: DataFrame) -> DataFrame:
+    """(id, label, family): components that share a bucket of ``members`` (key, id, label), directly or through others, are one family."""
+    least = members.groupBy("key").agg(F.min("label").alias("x"))
+    touching = members.select("key", "label").distinct().join(least, "key").select(F.col("label").alias("a"), F.col("x").alias("b")).distinct()
+    named = components.connected_components(touching)
+    return members.select("id", "label").distinct().join(named, F.col("label") == named["node"]).select("id", "label", F.col("component").alias("family"))
+
+
+def family_links(rows: DataFrame, bins: int, num: int, den: int, block_bytes: int, block_rows: int) -> DataFrame:
+    """Links (a, b) between components of one family, from ``rows`` (family, id, label, marks, shingles).
+
+    A family is cut into blocks, and each pair of blocks is a group.  A group
+    takes documents in turn and compares each with the earlier ones of other
+    components, the likeliest first, until it is connected to them.
     """
     level = num / den
     least = bins * level - SLACK * (bins * level * (1 - level)) ** 0.5
-    placed = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "sketch", "shingles")
+    bytes_ = F.sum(F.octet_length("shingles") + F.lit(bins))
+    sizes = rows.groupBy("family").agg(F.ceil(F.greatest(bytes_ / block_bytes, F.count(F.lit(1)) / block_rows)).cast("int").alias("blocks"))
+    placed = rows.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "marks", "shingles")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, label, block = (group.column(c).to_numpy().copy() for c in ("id", "component", "block"))
-        marks = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(ids), bins)
+        ids, label, block = (group.column(c).to_numpy().copy() for c in ("id", "label", "block"))
+        marks = np.frombuffer(b"".join(group.column("marks").to_pylist()), np.uint8).reshape(len(ids), bins)
         sets = [np.frombuffer(x, U64) for x in group.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
-        split = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        apart = group.column("i")[0].as_py() != group.column("j")[0].as_py()
         found: list[tuple[int, int]] = []
         for x in range(1, len(ids)):
-            open_ = label[:x] != label[x]
-            if split:
+            open_ = (label[:x] != label[x]) & (np.minimum(size[:x], size[x]) * den >= num * np.maximum(size[:x], size[x]))
+            if apart:
                 open_ &= block[:x] != block[x]
-            rest = np.flatnonzero(open_ & (np.minimum(size[:x], size[x]) * den >= num * np.maximum(size[:x], size[x])))
+            rest = np.flatnonzero(open_)
             if not len(rest):
                 continue
             agree = (marks[rest] == marks[x]).sum(axis=1)
-            rest = rest[agree >= least][np.argsort(-agree[agree >= least], kind="stable")]
-            for y in rest.tolist():
+            near = agree >= least
+            for y in rest[near][np.argsort(-agree[near], kind="stable")].tolist():
                 if label[y] == label[x]:
                     continue
                 both = overlap(sets[y], sets[x])
@@ -233,30 +310,49 @@ def across(members: DataFrame, bins: int, num: int, den: int) -> DataFrame:
                     label[label == label[y]] = label[x]
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
-    return spread.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return spread.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def hub_ties(buckets: DataFrame) -> DataFrame:
+    """(a, b): every member of a bucket (key, id, label) with the bucket's smallest and largest id, where these have other labels."""
+    own = F.struct("id", "label")
+    hubs = buckets.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).filter("low <> high")
+    ties = buckets.join(hubs, "key").select("id", "label", F.explode(F.array("low", "high")).alias("hub")).filter("label <> hub.label")
+    return ties.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
+
+
+def completed(links: DataFrame, named: DataFrame, loose: DataFrame, sets: DataFrame, num: int, den: int, hub_share: int, block_bytes: int, block_rows: int) -> DataFrame:
+    """``named`` (node, component) after linking what the documents of mixed buckets, ``loose`` (id), have in common."""
+    full = scratch.materialise(sets.join(loose.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "minhash-full")
+    fine = scratch.materialise(fine_sketches(full), "minhash-fine")
+    # Keys that members of one component share among themselves go in the aggregation, before any join.
+    keyed = fine.join(named, fine["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("label"), F.explode("keys").alias("key"))
+    members = scratch.materialise(mixed_keys(keyed), "minhash-fine-keys")
+    pairs = likely(hub_ties(members), fine, FINE_BINS, num, den)
+    met = meetings(scratch.materialise(pairs, "minhash-pairs"), hub_share).join(full, "id").select("hub", "share", "member", "id", "shingles")
+    links = scratch.materialise(links.union(verified(met, num, den)), "minhash-links")
+    named = scratch.materialise(components.connected_components(links), "minhash-components")
+    members = scratch.materialise(mixed_buckets(members.select("key", "id"), named), "minhash-fine-keys")
+    if members.isEmpty():
+        return named
+    rows = families(members).join(full, "id").join(fine.select("id", "marks"), "id").select("family", "id", "label", "marks", "shingles")
+    more = family_links(scratch.materialise(rows, "minhash-families"), FINE_BINS, num, den, block_bytes, block_rows)
+    return scratch.materialise(components.connected_components(links.union(more)), "minhash-components")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, bands: int = BANDS) -> DataFrame:
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, bands: int = BANDS, hub_share: int = HUB_SHARE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, n_shingles, component) per row; links have Jaccard similarity of num/den or more."""
     made = scratch.materialise(profile(docs, id_col, text_col, words, bins, bands), "minhash-profile")
     live = made.filter("set_hash is not null and id is not null")
-    classes = scratch.materialise(live.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-classes")
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = scratch.materialise(banded.join(hubs, "key"), "minhash-buckets")
-    ties = shared.select(F.col("rep").alias("a"), F.explode(F.array("low", "high")).alias("b")).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    sets = wanted_sets(ties, docs, id_col, text_col, words)
+    classes = scratch.materialise(live.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "minhash-classes")
+    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    crowds = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = scratch.materialise(banded.join(crowds, "key"), "minhash-buckets")
+    sets = wanted_sets(hub_ties(shared.withColumn("label", F.col("id"))), docs, id_col, text_col, words, hub_share)
     links = scratch.materialise(verified(sets, num, den), "minhash-links")
     named = scratch.materialise(components.connected_components(links), "minhash-components")
-    placed = shared.filter("n > 2").join(named, shared["rep"] == named["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key", "x")
-    loose = scratch.materialise(placed.join(mixed, "key").select("rep", "component", "x").distinct(), "minhash-loose")
-    if loose.limit(1).count():
-        clusters = components.connected_components(loose.select(F.col("component").alias("a"), F.col("x").alias("b")))
-        members = loose.select("rep", "component").distinct().join(clusters, loose["component"] == clusters["node"]).select("rep", loose["component"].alias("label"), clusters["component"].alias("cluster"))
-        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        full = sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
-        rows = members.join(sizes, "cluster").join(classes.select("rep", "sketch"), "rep").join(full, F.col("rep") == F.col("id")).select("cluster", "n", "id", F.col("label").alias("component"), "sketch", "shingles")
-        named = scratch.materialise(components.connected_components(links.union(across(rows, bins, num, den))), "minhash-components")
+    loose = scratch.materialise(mixed_buckets(shared.filter("n > 2").select("key", "id"), named).select("id").distinct(), "minhash-loose")
+    if not loose.isEmpty():
+        named = completed(links, named, loose, sets, num, den, hub_share, block_bytes, block_rows)
     labels = classes.select("set_hash", "rep").join(named, classes["rep"] == named["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    return made.join(labels, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))
+    return made.select("id", "n_shingles", "set_hash").join(labels, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))

@@ -169,11 +169,11 @@ def variants(seed: int, many: int, most: int) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize("hub_share", [7, 1000])
-def test_clusters_of_unlike_variants(spark, hub_share):
+@pytest.mark.parametrize(("hub_share", "block_bytes", "block_rows"), [(7, 60_000, 4096), (1000, 32 << 20, 70), (1000, 32 << 20, 4096)])
+def test_clusters_of_unlike_variants(spark, hub_share, block_bytes, block_rows):
     rows = variants(5, 250, 9)
     want = brute_components(word_sets(dict(rows), 4))
-    got = {r["id"]: r["component"] for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, hub_share=hub_share).collect()}
+    got = {r["id"]: r["component"] for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), words=4, hub_share=hub_share, block_bytes=block_bytes, block_rows=block_rows).collect()}
     assert got == want and 20 < len(set(want.values())) < 240
 
 
@@ -185,13 +185,6 @@ def test_a_chain_of_near_duplicates_is_one_component(spark):
     assert got == want and sum(c == 0 for c in got.values()) > 50
 
 
-def test_pairs_outside_the_largest_component(spark):
-    rows = [("k", 1, 1), ("k", 2, 1), ("k", 3, 1), ("k", 8, 8), ("k", 9, 9)]
-    df = spark.createDataFrame(rows, "key string, id long, label long")
-    got = {tuple(r) for r in minhash.outer_pairs(df).collect()}
-    assert got == {(8, 1), (8, 2), (8, 3), (9, 1), (9, 2), (9, 3), (9, 8)}
-
-
 # --- values of odd rows ----------------------------------------------------
 
 
