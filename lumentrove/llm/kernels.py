@@ -41,6 +41,13 @@ def row_chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[i
         first = last
 
 
+def word_starts(text: np.ndarray) -> np.ndarray:
+    """Places at which words (runs without ASCII white space) start."""
+    solid = ~SPACES[text]
+    solid[1:] &= SPACES[text[:-1]]
+    return np.flatnonzero(solid)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (finaliser of splitmix64)."""
     x = x ^ (x >> U64(30))

@@ -93,6 +93,23 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return out[: at[-1]], at
 
 
+def row_sets(data: np.ndarray, offsets: np.ndarray, words: int, most: int = kernels.CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_sets``; one very long text is taken in overlapping pieces of about ``most`` bytes, so that its hashes never stand side by side."""
+    if len(offsets) != 2 or offsets[1] - offsets[0] <= 2 * most:
+        return shingle_sets(data, offsets, words)
+    text = data[offsets[0] : offsets[1]]
+    starts = kernels.word_starts(text)
+    if len(starts) <= words:
+        return shingle_sets(data, offsets, words)
+    ends, step, found, at = np.append(starts, len(text)), max(1, int(most * len(starts) / len(text))), [], 0
+    while at <= len(starts) - words:
+        last = min(at + step + words - 1, len(starts))
+        found.append(shingle_sets(text, np.array([ends[at], ends[last]]), words)[0])
+        at += step
+    own = np.unique(np.concatenate(found))
+    return own, np.array([0, len(own)])
+
+
 def sketches(sets: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
     """Fast similarity sketches, a row per document; rows of empty sets are undefined."""
     n_docs = len(at) - 1
@@ -128,7 +145,7 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int,
         for batch in batches:
             data, offsets = kernels.raw_text(batch.column(1))
             for lo, hi in kernels.row_chunks(offsets):
-                sets, at = shingle_sets(data, offsets[lo : hi + 1], words)
+                sets, at = row_sets(data, offsets[lo : hi + 1], words)
                 table = sketches(sets, at, bins)
                 keys = np.zeros((hi - lo, bands), U64)
                 for j in range(bins // bands):
@@ -171,7 +188,7 @@ def wanted_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, w
         for batch in batches:
             data, offsets = kernels.raw_text(batch.column(2))
             for lo, hi in kernels.row_chunks(offsets):
-                own, at = shingle_sets(data, offsets[lo : hi + 1], words)
+                own, at = row_sets(data, offsets[lo : hi + 1], words)
                 lists = batch.column(1).slice(lo, hi - lo)
                 flat, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(hi - lo), many)

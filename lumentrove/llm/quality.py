@@ -77,11 +77,43 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     return found
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int = kernels.CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray]]:
+    """(sign, offsets) of parts whose signed features add up to those of the rows.
+
+    All rows are one part, but for a single very long text: its parts begin at
+    words and overlap the part before by a word and by the longest gram, and
+    what the overlap holds by itself is taken off again.
+    """
+    if len(offsets) != 2 or offsets[1] - offsets[0] <= 2 * most:
+        yield 1, offsets
+        return
+    base, end = int(offsets[0]), int(offsets[1])
+    starts = kernels.word_starts(data[base:end]) + base
+    cut = base
+    while cut < end:
+        last = int(np.searchsorted(starts, cut + most))
+        following = int(starts[last]) if last < len(starts) else end
+        first = cut
+        if cut > base:
+            before = int(np.searchsorted(starts, cut - max(GRAMS), "right")) - 1
+            first = int(starts[min(before, int(np.searchsorted(starts, cut)) - 1)]) if before >= 0 else base
+            yield -1, np.array([first, cut])
+        yield 1, np.array([first, following])
+        cut = following
+
+
 def bags(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Per document: its distinct buckets and their shares."""
-    kinds = features(data, offsets)
+    parts = [(sign, features(data, part)) for sign, part in pieces(data, offsets)]
     for i in range(len(offsets) - 1):
-        own, count = np.unique(np.concatenate([b[at[i] : at[i + 1]] for b, at in kinds]), return_counts=True)
+        counts = [(sign, *np.unique(np.concatenate([b[at[i] : at[i + 1]] for b, at in kinds]), return_counts=True)) for sign, kinds in parts]
+        own, count = counts[0][1:]
+        if len(counts) > 1:
+            total = np.zeros(BUCKETS, np.int64)
+            for sign, bucket, n in counts:
+                total[bucket] += sign * n
+            own = np.flatnonzero(total).astype(np.int32)
+            count = total[own]
         yield own, (count / max(1, count.sum())).astype(np.float32)
 
 
@@ -152,10 +184,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
             found = []
             for lo, hi in kernels.row_chunks(offsets):
                 total, count = np.zeros(hi - lo), np.zeros(hi - lo)
-                for buckets, at in features(data, offsets[lo : hi + 1]):
-                    sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
-                    total += np.round(sums[at[1:]] - sums[at[:-1]], 6)
-                    count += np.diff(at)
+                for sign, part in pieces(data, offsets[lo : hi + 1]):
+                    for buckets, at in features(data, part):
+                        sums = np.concatenate([[0.0], np.cumsum(weights[buckets], dtype=np.float64)])
+                        total += sign * np.round(sums[at[1:]] - sums[at[:-1]], 6)
+                        count += sign * np.diff(at)
                 found.append(np.round(1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60))), 6))
             values = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*rest, out_col])

@@ -31,8 +31,10 @@ PLACE_BITS = 31
 GROUP_CHARS = 1 << 20
 
 
-def winnow(texts: list[str], k: int = GRAM, w: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, places) of each text, in the order of places."""
+def winnow(texts: list[str], k: int = GRAM, w: int = WINDOW, most: int = 2 * GROUP_CHARS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) of each text, in the order of places; texts over ``most`` code points are taken in pieces."""
+    if any(len(t) > most for t in texts):
+        return [winnow_long(t, k, w, most) if len(t) > most else winnow([t], k, w, most)[0] for t in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
@@ -58,6 +60,22 @@ def winnow(texts: list[str], k: int = GRAM, w: int = WINDOW) -> list[tuple[np.nd
     return found
 
 
+def winnow_long(text: str, k: int, w: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """``winnow`` of one text in pieces whose windows follow one another without a gap."""
+    step = max(1, most - k - w + 2)  # windows of a piece
+    hashes, places = [], []
+    for at in range(0, len(text) - k - w + 2, step):
+        h, p = winnow([text[at : at + step + k + w - 2]], k, w, most)[0]
+        p = p + at
+        again = int(bool(places) and places[-1][-1] == p[0])  # the window before has the same minimum
+        hashes.append(h[again:])
+        places.append(p[again:])
+        if not len(places[-1]):
+            hashes.pop()
+            places.pop()
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def digest(fingerprint: tuple[np.ndarray, np.ndarray]) -> str:
     hashes, places = fingerprint
     return hashlib.blake2b(hashes.astype("<u8").tobytes() + places.astype("<i8").tobytes(), digest_size=16).hexdigest()

@@ -185,6 +185,38 @@ def test_a_chain_of_near_duplicates_is_one_component(spark):
     assert got == want and sum(c == 0 for c in got.values()) > 50
 
 
+# --- very long texts -------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def long_text():
+    rng = random.Random(8)
+    return "".join(rng.choice(["ab", "c", "déf", "ghij", "k"]) + rng.choice([" ", "  ", "\n", "\t "]) for _ in range(3000))
+
+
+@pytest.mark.parametrize("most", [64, 301, 5000])
+def test_pieces_of_a_long_text_have_its_shingles_and_features(long_text, most):
+    for text in (long_text, "x" * 2000, " " * 2000, "a " * 700):
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        for words in (1, 5):
+            whole, cut = minhash.shingle_sets(data, offsets, words), minhash.row_sets(data, offsets, words, most)
+            assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+        want = np.bincount(np.concatenate([b for b, _ in quality.features(data, offsets)]), minlength=quality.BUCKETS)
+        got = np.zeros(quality.BUCKETS, np.int64)
+        for sign, part in quality.pieces(data, offsets, most):
+            for buckets, _ in quality.features(data, part):
+                got += sign * np.bincount(buckets, minlength=quality.BUCKETS)
+        assert (got == want).all()
+
+
+@pytest.mark.parametrize("most", [40, 301, 5000])
+def test_pieces_of_a_long_text_have_its_fingerprint(long_text, most):
+    for text in (long_text, "x" * 2000, "ab" * 1000):
+        (want, at), (got, there) = winnow.winnow([text])[0], winnow.winnow([text, "short"], most=most)[0]
+        assert (at == there).all() and (want == got).all()
+
+
 # --- values of odd rows ----------------------------------------------------
 
 
