@@ -12,6 +12,8 @@ from ..functions.scalars import EPSILON, MAX_ANGLE, clamp, finite, padded_id, to
 from .projection import CORNERS, FOV, half_tangent, with_pose
 
 COUNT = 49
+#: Most poses that are broadcast to all frames.
+MOST_POSES = 10_000
 GOLDEN_ANGLE = math.pi * (3 - math.sqrt(5))
 
 
@@ -35,13 +37,17 @@ def fit_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Colum
     the radius and its depth grows by one with it, so every pose and corner
     bounds the radius from below by a closed expression; the fit is the
     largest bound, held between 1.001 and 32 half diagonals.  ``poses``
-    (pitch_degrees, yaw_degrees) is a small fixed table (49 rows by default),
-    whatever the number of frames, and is therefore broadcast.
+    (pitch_degrees, yaw_degrees) is a small table (49 rows by default), whatever
+    the number of frames, and is therefore broadcast; one of more than
+    ``MOST_POSES`` rows is refused.
 
     Holds where both half extents are positive, the half diagonal is at least
     0.01 and the field of view is below 180 degrees.
     """
-    poses = fibonacci_poses(frames.sparkSession) if poses is None else poses
+    if poses is None:
+        poses = fibonacci_poses(frames.sparkSession)
+    elif poses.limit(MOST_POSES + 1).count() > MOST_POSES:
+        raise ValueError(f"more than {MOST_POSES} poses")
     axes = with_pose(poses.select(F.col("pitch_degrees").alias("_in_p"), F.col("yaw_degrees").alias("_in_y")), F.col("_in_p"), F.col("_in_y"), F.lit(1.0)).select("fwd_x", "fwd_y", "right_x", "right_y", "up_x", "up_y")
     field = F.greatest(F.lit(1.0), finite(fov, FOV)) if fov is not None else F.lit(FOV)
     out = frames.select(

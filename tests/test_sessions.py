@@ -140,3 +140,24 @@ def test_orbit_angles_under_a_narrow_cone(spark):
 def test_text_numbers(spark):
     rows = spark.createDataFrame([("5",), ("x",)], "t string")
     assert [r[0] for r in rows.select(scalars.finite_text(F.col("t"))).collect()] == [5.0, 0.0]
+
+
+def test_other_poses_and_their_bound(spark, monkeypatch):
+    frames = spark.createDataFrame([(1, 0.8, 0.6)], "k int, x double, y double")
+    fit = lambda p: poses.fit_radius(frames, ["k"], F.col("x"), F.col("y"), F.lit(1280.0), F.lit(720.0), poses=p)
+    all_poses = poses.fibonacci_poses(spark)
+    assert fit(all_poses).first()["fit_radius"] == fit(None).first()["fit_radius"] > fit(all_poses.filter("index = 0")).first()["fit_radius"]
+    monkeypatch.setattr(poses, "MOST_POSES", 48)
+    with pytest.raises(ValueError):
+        fit(all_poses)
+
+
+def test_event_counters_of_a_stream_match_the_batch(spark, tmp_path):
+    rows = [("a", "view"), ("a", "sort"), ("b", "view"), ("a", "view")]
+    spark.createDataFrame(rows, "session string, kind string").write.parquet(f"{tmp_path}/in")
+    counters = {"views": F.col("kind") == "view", "sorts": F.col("kind") == "sort"}
+    found = []
+    source = spark.readStream.schema("session string, kind string").parquet(f"{tmp_path}/in")
+    query = sessions.event_counters(source, "session", counters).writeStream.outputMode("complete").foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert {tuple(r) for r in found} == {("a", 2, 1), ("b", 1, 0)} == {tuple(r) for r in sessions.event_counters(spark.read.parquet(f"{tmp_path}/in"), "session", counters).collect()}
