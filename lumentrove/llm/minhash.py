@@ -13,18 +13,13 @@ size makes candidates in proportion to it; (4) the full sets of candidates are
 compared, members of a hub being split over several tasks; (5) links give
 components.  Pairs inside one component need no test, as they cannot change it.
 
-(6) Members of buckets that hold several components get finer sketches of
-``FINE_BINS`` bins and ``FINE_KEYS`` keys of ``FINE_ROWS`` bins each, which
-split such a bucket: two documents at the threshold still share a key with a
-probability of 1 - 1e-5, unlike ones hardly ever.  In the finer buckets hubs are
-tried once more, as pairs of ids, of which those whose fine sketches may agree
-at the threshold (by the concentration bound) are compared on their full sets.
-(7) What then still shares a finer bucket across components is a family of
-texts just below the threshold, in which every pair has to be looked at.  Its
-documents are compared in tasks, in blocks bounded by bytes and rows: first by
-fine sketches, then on full sets, skipping pairs that are connected by then; a
-block returns links, fewer than it has documents, and never its pairs.  A
-family of one block travels once, and one of b blocks b times.
+(6) Components that still share a bucket are a family: texts that are alike, but
+mostly below the threshold, so that every pair of them has to be looked at.  A
+family's documents are compared inside tasks, in blocks bounded by bytes and
+rows: first by finer sketches (``FINE_BINS`` bins, by the concentration bound),
+then on full sets, skipping pairs that are connected by then.  A block returns
+links, fewer than it has documents, and never its pairs.  A family of one block
+travels once, and one of b blocks b times.
 
 Defined cases: null text is an empty set and linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are their own
@@ -51,8 +46,6 @@ BANDS = 32
 SLACK = 4.5
 HUB_SHARE = 1000
 FINE_BINS = 1024
-FINE_ROWS = 16
-FINE_KEYS = 480
 BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 4096
 
@@ -230,13 +223,8 @@ def verified(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.repartition("hub", "share").sortWithinPartitions("hub", "share", "member").mapInArrow(compare, "a long, b long")
 
 
-FINE = "id long, keys array<long>, marks binary"
-
-
-def fine_sketches(full: DataFrame, bins: int = FINE_BINS, rows: int = FINE_ROWS, keys: int = FINE_KEYS) -> DataFrame:
-    """(id, keys, marks) from (id, shingles): each key is of ``rows`` bins, drawn once for all documents."""
-    rng = np.random.default_rng(29)
-    drawn = np.stack([rng.choice(bins, rows, replace=False) for _ in range(keys)])
+def fine_sketches(full: DataFrame, bins: int = FINE_BINS) -> DataFrame:
+    """(id, marks, shingles) from (id, shingles): eight bits of each bin of a finer sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,39 +232,17 @@ def fine_sketches(full: DataFrame, bins: int = FINE_BINS, rows: int = FINE_ROWS,
             for lo, hi in kernels.row_chunks(offsets):
                 own = offsets[lo : hi + 1]
                 table = sketches(np.frombuffer(data[own[0] : own[-1]].tobytes(), U64), (own - own[0]) // 8, bins)
-                found = np.zeros((hi - lo, keys), U64)
-                for j in range(rows):
-                    found = kernels.mix(found + table[:, drawn[:, j]] + U64(j + 1))
-                found = kernels.mix(found + np.arange(1, keys + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * keys, keys, dtype=np.int32)), pa.array(found.ravel())), pa.array([x.tobytes() for x in (table & U64(0xFF)).astype(np.uint8)], pa.binary())], names=["id", "keys", "marks"])
-
-    return full.mapInArrow(run, FINE)
-
+                marks = pa.array([x.tobytes() for x in (table & U64(0xFF)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), marks, batch.column(1).slice(lo, hi - lo)], names=["id", "marks", "shingles"])
 
-def likely(pairs: DataFrame, fine: DataFrame, bins: int, num: int, den: int) -> DataFrame:
-    """The ``pairs`` whose fine sketches agree as often as those at the threshold may."""
-    level = num / den
-    least = bins * level - SLACK * (bins * level * (1 - level)) ** 0.5
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in (2, 3))
-            ok = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
-
-    left, right = fine.select(F.col("id").alias("a"), F.col("marks").alias("x")), fine.select(F.col("id").alias("b"), F.col("marks").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def mixed_keys(placed: DataFrame) -> DataFrame:
-    """The rows of ``placed`` (key, id, label) in buckets of more than one label."""
-    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    return placed.select("key", "id", "label").join(mixed, "key", "left_semi")
+    return full.select("id", "shingles").mapInArrow(run, "id long, marks binary, shingles binary")
 
 
 def mixed_buckets(members: DataFrame, named: DataFrame) -> DataFrame:
     """(key, id, label) of the buckets of ``members`` (key, id) that hold more than one component of ``named``."""
-    return mixed_keys(members.join(named, members["id"] == named["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    placed = members.join(named, members["id"] == named["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+    return placed.join(mixed, "key", "left_semi")
 
 
 def families(members: DataFrame) -> DataFrame:
@@ -338,22 +304,12 @@ def hub_ties(buckets: DataFrame) -> DataFrame:
     return ties.select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
 
 
-def completed(links: DataFrame, named: DataFrame, loose: DataFrame, sets: DataFrame, num: int, den: int, hub_share: int, block_bytes: int, block_rows: int) -> DataFrame:
-    """``named`` (node, component) after linking what the documents of mixed buckets, ``loose`` (id), have in common."""
-    full = scratch.materialise(sets.join(loose.hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "minhash-full")
-    fine = scratch.materialise(fine_sketches(full), "minhash-fine")
-    # Keys that members of one component share among themselves go in the aggregation, before any join.
-    keyed = fine.join(named, fine["id"] == named["node"], "left").select("id", F.coalesce("component", "id").alias("label"), F.explode("keys").alias("key"))
-    members = scratch.materialise(mixed_keys(keyed), "minhash-fine-keys")
-    pairs = likely(hub_ties(members), fine, FINE_BINS, num, den)
-    met = meetings(scratch.materialise(pairs, "minhash-pairs"), hub_share).join(full, "id").select("hub", "share", "member", "id", "shingles")
-    links = scratch.materialise(links.union(verified(met, num, den)), "minhash-links")
-    named = scratch.materialise(components.connected_components(links), "minhash-components")
-    members = scratch.materialise(mixed_buckets(members.select("key", "id"), named), "minhash-fine-keys")
-    if members.isEmpty():
-        return named
-    rows = families(members).join(full, "id").join(fine.select("id", "marks"), "id").select("family", "id", "label", "marks", "shingles")
-    more = family_links(scratch.materialise(rows, "minhash-families"), FINE_BINS, num, den, block_bytes, block_rows)
+def completed(links: DataFrame, members: DataFrame, sets: DataFrame, num: int, den: int, block_bytes: int, block_rows: int) -> DataFrame:
+    """(node, component) after linking what the documents of mixed buckets, ``members`` (key, id, label), have in common."""
+    placed = scratch.materialise(families(members), "minhash-families")
+    full = sets.join(placed.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    rows = scratch.materialise(fine_sketches(full).join(placed, "id").select("family", "id", "label", "marks", "shingles"), "minhash-members")
+    more = family_links(rows, FINE_BINS, num, den, block_bytes, block_rows)
     return scratch.materialise(components.connected_components(links.union(more)), "minhash-components")
 
 
@@ -368,8 +324,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = wanted_sets(hub_ties(shared.withColumn("label", F.col("id"))), docs, id_col, text_col, words, hub_share)
     links = scratch.materialise(verified(sets, num, den), "minhash-links")
     named = scratch.materialise(components.connected_components(links), "minhash-components")
-    loose = scratch.materialise(mixed_buckets(shared.filter("n > 2").select("key", "id"), named).select("id").distinct(), "minhash-loose")
-    if not loose.isEmpty():
-        named = completed(links, named, loose, sets, num, den, hub_share, block_bytes, block_rows)
+    members = scratch.materialise(mixed_buckets(shared.filter("n > 2").select("key", "id"), named), "minhash-mixed")
+    if not members.isEmpty():
+        named = completed(links, members, sets, num, den, block_bytes, block_rows)
     labels = classes.select("set_hash", "rep").join(named, classes["rep"] == named["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     return made.select("id", "n_shingles", "set_hash").join(labels, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))
