@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, minhash, mixing, packing, quality, scratch, suffix_dedup, warc, winnow
+from . import audit, exact_dedup, language, license_scan, line_dedup, minhash, mixing, packing, quality, scratch, spelling, suffix_dedup, warc, winnow
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,21 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs), carry=["doc_id"])
+    held_out = F.coalesce(language.fold(F.col("doc_id")) == language.HELD_OUT, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_winnowing": op2_winnowing,
@@ -124,10 +139,15 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
+    "op11_language_id": op11_language_id,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {
     "op1_warc": OP1_SQL,
     "op4_line_dedup": line_dedup.oracle_sql(),
     "op5_mixing": mixing.oracle_sql(mixing.Recipe(), SOURCE_DOMAIN_SQL),
     "op6_exact_dedup": OP6_SQL,
+    "op12_spelling_variants": spelling.oracle_sql(),
+    "op13_filter_audit": audit.oracle_sql(),
 }
