@@ -8,9 +8,10 @@ longer learned text has longer matches, a phrase counts as log2 of that text's
 length, which makes the sum an estimate of the cross entropy in bits.  The
 language of fewest bits wins, and the score is its share of 2**-bits among all.
 
-Learning is bounded: of each language the ``rows`` labelled documents of the
-smallest hashes give at most ``row_bytes`` each, cut at ``language_bytes`` (all three
-documented parameters).  These few kilobytes per language are all that passes the
+Learning is bounded: of each language some ``rows`` labelled documents, drawn by a
+hash of the id, give at most ``row_bytes`` each, cut at ``language_bytes`` (all three
+documented parameters).  A language's rows are counted first, so that about
+``OVERSAMPLING`` times the wanted ones are read and sorted at any size.  These few kilobytes per language are all that passes the
 driver; tasks build the automata from them in a fraction of a second, once per
 worker, and complete them with the restart after a failed match, so that a byte
 costs one table look-up per language.  Predicting is one scan without a shuffle
@@ -24,8 +25,7 @@ marks as one space.
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is
 every text when nothing was learned; null languages, null ids and held-out rows
 are not learned from; equal bits: the first language in code-point order; repeated
-rows are predicted alike, and count as one document in learning if they share
-text and id; an empty table gives no rows.  Columns of the caller are carried in
+rows are predicted alike, and equal learned texts count once; an empty table gives no rows.  Columns of the caller are carried in
 one struct, so that no name clashes; result columns replace those of their name.
 """
 
@@ -44,6 +44,7 @@ FOLDS, HELD_OUT = 4, 2
 ROWS = 128
 ROW_BYTES = 512
 LANGUAGE_BYTES = 32 << 10
+OVERSAMPLING = 8
 PIECE = 2048
 UNKNOWN = "und"
 #: Parts two learned texts, so that no match runs over the border.
@@ -61,11 +62,13 @@ def fold(ident: Column, folds: int = FOLDS) -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = FOLDS, held_out: int = HELD_OUT, rows: int = ROWS, row_bytes: int = ROW_BYTES, language_bytes: int = LANGUAGE_BYTES) -> dict[str, bytes]:
     """Per language the learned text, of at most ``language_bytes``."""
-    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(F.col("lang").isNotNull() & (fold(F.col("id"), folds) != held_out))
-    named = known.select("lang", F.encode(F.substring(letters(F.substring("text", 1, 2 * row_bytes)), 1, row_bytes), "utf-8").alias("learned"), F.xxhash64("id", "lang").alias("rank")).filter(F.octet_length("learned") > 0)
-    # The limit of each language is taken in the map tasks too, so no task gets more than ``rows`` of each from any other.
-    order = Window.partitionBy("lang").orderBy("rank", "learned")
-    few = named.distinct().withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= rows)
+    known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(F.col("lang").isNotNull() & (fold(F.col("id"), folds) != held_out)).withColumn("rank", F.xxhash64("id", "lang"))
+    # Of a language's rows, some OVERSAMPLING times as many as are wanted, whatever the size of the table.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
+    drawn = known.join(counts, "lang").filter(F.pmod("rank", F.lit(1 << 40)) * F.col("many") < OVERSAMPLING * rows * float(1 << 40))
+    named = drawn.select("lang", F.encode(F.substring(letters(F.substring("text", 1, 2 * row_bytes)), 1, row_bytes), "utf-8").alias("learned"), "rank").filter(F.octet_length("learned") > 0)
+    distinct = named.groupBy("lang", "learned").agg(F.min("rank").alias("rank"))
+    few = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "learned"))).filter(F.col("nth") <= rows)
     found = few.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("nth", "learned"))).alias("parts")).collect()
     return {r["lang"]: BORDER.encode().join(bytes(p["learned"]) for p in r["parts"])[:language_bytes] for r in found}
 
