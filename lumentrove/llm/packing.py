@@ -12,12 +12,16 @@ are dealt to shares of about ``SHARE_ROWS`` rows, counts per (share, length)
 give each share its first rank, and the row number inside the share gives the
 rest, so a length that a third of all pieces have is ranked by many tasks.
 
-Token ids are those of the byte-level BPE vocabulary, by the faster of the two
-libraries that carry it (tests hold the ids against the other one).
+Token ids are those of the ``tokenizers`` file.  ``tiktoken`` gives the same ids from
+the same vocabulary several times faster, but its pattern refuses texts with
+very long runs of white space; these are encoded by ``tokenizers`` itself.
 
 Defined cases: null or empty texts are the end id alone; equal rows are packed
 each on its own; ties in a length are broken by (id, piece) only through the
-share's order, which is fixed by the hash of the row.
+share's order, which is fixed by the hash of the row; an empty table gives no
+rows; a very long text is encoded whole by one task, in memory of some tens of
+bytes per character, and cut into pieces; only id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -38,18 +42,31 @@ CAPACITY = 2048
 END_ID = 0
 SHARE_ROWS = 200_000
 SPECIAL = "<|endoftext|>"
+EXACT = "byte_bpe_50k.json"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(vocabulary: str) -> Callable[[str], bytes]:
-    """text -> little-endian 32-bit ids, equal to those of the tokenizer file without added special tokens."""
+def encoder(vocabulary: str, exact: str = EXACT) -> Callable[[str], bytes]:
+    """text -> little-endian 32-bit ids, equal to those of the tokenizer file ``exact`` without added special tokens."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
-    return lambda text: np.array(bpe.encode(text, allowed_special="all"), "<u4").tobytes()
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> bytes:
+        try:
+            ids = bpe.encode(text, allowed_special="all")
+        except ValueError:  # its pattern's search ran out of stack
+            if not slow:
+                slow.append(Tokenizer.from_file(public_tokenizers.path(exact)))
+            ids = slow[0].encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    return encode
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
