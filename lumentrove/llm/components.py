@@ -18,14 +18,17 @@ def table_digest(links: DataFrame) -> tuple[int, ...]:
     return tuple(links.agg(F.count(F.lit(1)), *[F.coalesce(F.bit_xor(F.xxhash64(F.lit(salt), "u", "v")), F.lit(0)) for salt in (1, 2)]).first())
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``; a component is named by its smallest node.
 
-    Null ends and self-links are ignored; repeated links count once.
+    Null ends and self-links are ignored; repeated links count once.  A round
+    that changes the links moves some node to a smaller one and none to a larger
+    one, so the rounds come to an end; there are about as many as the logarithm
+    of the longest path.
     """
     now = scratch.materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "links")
     last = table_digest(now)
-    for _ in range(most_rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
@@ -38,4 +41,3 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         now, last = new, told
         if not changed:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

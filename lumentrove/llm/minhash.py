@@ -21,10 +21,15 @@ then on full sets, skipping pairs that are connected by then.  A block returns
 links, fewer than it has documents, and never its pairs.  A family of one block
 travels once, and one of b blocks b times.
 
+Classes are numbered when they are written, and links and components are between
+these numbers, so rows that share an id are linked by their own texts.
+
 Defined cases: null text is an empty set and linked with nothing; a text with
 fewer words than a shingle is one shingle; rows with a null id are their own
-component and link nothing; repeated rows fall into one class; rows that share
-an id count as one document in links, whatever their texts.
+component and link nothing; repeated rows fall into one class, and unlike texts
+of one id into several; an empty table gives no rows; a very long text is taken in
+pieces, its set of shingles whole; only id and text are read, so other columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -33,8 +38,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import components, kernels, scratch
@@ -45,6 +51,8 @@ BANDS = 32
 #: 4.5 deviations of the match count of two sketches at the threshold.
 SLACK = 4.5
 HUB_SHARE = 1000
+#: Most bytes of sets that a task hands on at once, beyond a single set.
+COPY_BYTES = 16 << 20
 FINE_BINS = 1024
 BLOCK_BYTES = 32 << 20
 BLOCK_ROWS = 4096
@@ -128,15 +136,26 @@ def sketches(sets: np.ndarray, at: np.ndarray, bins: int = BINS) -> np.ndarray:
     return table.reshape(n_docs, bins)
 
 
-PROFILE = "id long, n_shingles long, set_hash binary, bands array<long>"
+def set_digests(sets: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Digest of each set; null for an empty one."""
+    return pa.array([xxhash.xxh3_128_digest(sets[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """Two hashes of a text, h1 and h2, which with the id name a row."""
+    own = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(own).alias("h1"), F.xxhash64(F.lit(0x726F77), own).alias("h2")]
+
+
+PROFILE = "id long, h1 long, h2 long, n_shingles long, set_hash binary, bands array<long>"
 
 
 def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int, bands: int) -> DataFrame:
-    """A row per document: set size, digest of the set and band keys."""
+    """A row per document: two hashes of its text, set size, digest of the set and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(1))
+            data, offsets = kernels.raw_text(batch.column(3))
             for lo, hi in kernels.row_chunks(offsets):
                 sets, at = row_sets(data, offsets[lo : hi + 1], words)
                 table = sketches(sets, at, bins)
@@ -147,15 +166,15 @@ def profile(docs: DataFrame, id_col: str, text_col: str, words: int, bins: int,
                 size = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo).cast(pa.int64()),
+                        *[batch.column(c).slice(lo, hi - lo) for c in range(3)],
                         pa.array(size),
-                        pa.array([xxhash.xxh3_128_digest(sets[at[i] : at[i + 1]]) if size[i] else None for i in range(hi - lo)], pa.binary()),
+                        set_digests(sets, at),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * bands, bands, dtype=np.int32)), pa.array(keys.ravel())),
                     ],
-                    names=["id", "n_shingles", "set_hash", "bands"],
+                    names=["id", "h1", "h2", "n_shingles", "set_hash", "bands"],
                 )
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, PROFILE)
+    return docs.select(F.col(id_col).cast("long").alias("id"), *text_hashes(F.col(text_col)), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PROFILE)
 
 
 def meetings(pairs: DataFrame, hub_share: int) -> DataFrame:
@@ -169,27 +188,36 @@ def meetings(pairs: DataFrame, hub_share: int) -> DataFrame:
     return members.unionByName(shares.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member")))
 
 
-def wanted_sets(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, hub_share: int) -> DataFrame:
-    """The full sets that verifying ``pairs`` needs: (hub, share, member, id, shingles), written to the shared folder.
+def wanted_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, hub_share: int, copy_bytes: int = COPY_BYTES) -> DataFrame:
+    """The full sets that verifying ``pairs`` of class numbers needs: (hub, share, member, id, shingles), written to the shared folder.
 
-    A text is read and joined once, whatever the number of its pairs.
+    A text is read and joined once, whatever the number of its pairs, and the
+    copies of a hub's set leave its task in batches of at most ``copy_bytes``.
     """
-    uses = meetings(pairs, hub_share).groupBy("id").agg(F.collect_list(F.struct("hub", "share", "member")).alias("uses"))  # bounded by bands and shares
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    uses = meetings(pairs, hub_share).groupBy("id").agg(F.collect_list(F.struct("hub", "share", "member")).alias("uses"))  # a place for each band and share, no set
+    named = uses.join(classes.select(F.col("node").alias("id"), "rep", "set_hash"), "id")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(2))
+            data, offsets = kernels.raw_text(batch.column(3))
             for lo, hi in kernels.row_chunks(offsets):
                 own, at = row_sets(data, offsets[lo : hi + 1], words)
+                # Another text of the same id is not meant.
+                meant = pc.equal(set_digests(own, at), batch.column(2).slice(lo, hi - lo)).fill_null(False).to_numpy(zero_copy_only=False)
                 lists = batch.column(1).slice(lo, hi - lo)
                 flat, many = lists.flatten(), np.diff(lists.offsets.to_numpy())
                 row = np.repeat(np.arange(hi - lo), many)
-                each = pa.array([own[at[i] : at[i + 1]].tobytes() for i in range(hi - lo)], pa.binary())
-                yield pa.RecordBatch.from_arrays([flat.field("hub"), flat.field("share"), flat.field("member"), batch.column(0).slice(lo, hi - lo).take(pa.array(row)), each.take(pa.array(row))], names=["hub", "share", "member", "id", "shingles"])
+                use = np.flatnonzero(meant[row])
+                step = np.cumsum(np.diff(at)[row[use]] * 8) // copy_bytes
+                each = pa.array([own[at[i] : at[i + 1]].tobytes() if meant[i] else b"" for i in range(hi - lo)], pa.binary())
+                ids = batch.column(0).slice(lo, hi - lo)
+                for part in np.split(use, np.flatnonzero(np.diff(step)) + 1) if len(use) else []:
+                    chosen, owner = flat.take(pa.array(part)), pa.array(row[part])
+                    yield pa.RecordBatch.from_arrays([*[chosen.field(c) for c in ("hub", "share", "member")], ids.take(owner), each.take(owner)], names=["hub", "share", "member", "id", "shingles"])
 
     # Merged rather than broadcast at any size: the candidates grow with the corpus.
-    rows = uses.hint("merge").join(texts.hint("merge"), "id").select("id", "uses", "text")
+    rows = named.hint("merge").join(texts.hint("merge"), "rep").select("id", "uses", "set_hash", "text")
     return scratch.materialise(rows.mapInArrow(sets, "hub long, share int, member int, id long, shingles binary"), "minhash-sets")
 
 
@@ -314,18 +342,28 @@ def completed(links: DataFrame, members: DataFrame, sets: DataFrame, num: int, d
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100, bins: int = BINS, bands: int = BANDS, hub_share: int = HUB_SHARE, block_bytes: int = BLOCK_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, n_shingles, component) per row; links have Jaccard similarity of num/den or more."""
+    """(id, h1, h2, n_shingles, component, group) per row; links have Jaccard similarity of num/den or more.
+
+    ``component`` is the smallest id of the row's component; ``group`` tells components
+    apart even where ids repeat, and is null for rows that link nothing.  h1
+    and h2 are the ``text_hashes`` of the row's text.
+    """
     made = scratch.materialise(profile(docs, id_col, text_col, words, bins, bands), "minhash-profile")
     live = made.filter("set_hash is not null and id is not null")
-    classes = scratch.materialise(live.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "minhash-classes")
-    banded = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    numbered = live.groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+    classes = scratch.materialise(numbered, "minhash-classes")  # numbers are given once, in this table
+    banded = classes.select(F.col("node").alias("id"), F.explode("bands").alias("key"))
     crowds = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = scratch.materialise(banded.join(crowds, "key"), "minhash-buckets")
-    sets = wanted_sets(hub_ties(shared.withColumn("label", F.col("id"))), docs, id_col, text_col, words, hub_share)
+    sets = wanted_sets(hub_ties(shared.withColumn("label", F.col("id"))), classes, docs, id_col, text_col, words, hub_share)
     links = scratch.materialise(verified(sets, num, den), "minhash-links")
     named = scratch.materialise(components.connected_components(links), "minhash-components")
     members = scratch.materialise(mixed_buckets(shared.filter("n > 2").select("key", "id"), named), "minhash-mixed")
     if not members.isEmpty():
         named = completed(links, members, sets, num, den, block_bytes, block_rows)
-    labels = classes.select("set_hash", "rep").join(named, classes["rep"] == named["node"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    return made.select("id", "n_shingles", "set_hash").join(labels, "set_hash", "left").select("id", "n_shingles", F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component"))
+    linked = scratch.materialise(named.join(classes.select("node", "set_hash", "rep"), "node"), "minhash-linked")
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))
+    labels = classes.select("set_hash", "node", "rep").join(linked.join(lowest, "component").select("set_hash", "component", "lowest"), "set_hash", "left").select("set_hash", F.coalesce("component", "node").alias("group"), F.coalesce("lowest", "rep").alias("component"))
+    placed = made.select("id", "h1", "h2", "n_shingles", "set_hash").join(labels, "set_hash", "left")
+    known = lambda c: F.when(F.col("id").isNotNull(), F.col(c))
+    return placed.select("id", "h1", "h2", "n_shingles", F.coalesce(known("component"), "id").alias("component"), known("group").alias("group"))
