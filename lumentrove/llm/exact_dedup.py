@@ -14,8 +14,10 @@ full content only in rows that the first two steps leave.
 
 Defined cases: a null text counts as empty; empty texts are equal to each
 other; a null id is never the smallest of a group (a group of null ids only
-keeps every row); repeated rows with one id all stay if that id is the smallest.
-Columns of the input are kept; result columns that clash replace them.
+keeps every row); repeated rows with one id all stay if that id is the smallest;
+an empty table gives no rows; a very long text is normalised and hashed in one
+row's memory.  Columns of the input are kept, whatever their names; result columns
+replace those of their name.
 """
 
 from __future__ import annotations
@@ -69,19 +71,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     read once and no text is shuffled.
     """
     made = ("keep_id", "group_size", "kept", "text_sha256")
-    rest = [c for c in docs.columns if c not in made and c != text_col]
-    texts = [text_col] if carry_text else []
-    held = docs.select(*rest, F.col(id_col).alias("__id"), *texts, normalised(F.col(text_col)).alias("__text"))
-    slim = scratch.materialise(held.select(*rest, "__id", *texts, *step_keys("__text", prefix_chars), F.sha2("__text", 256).alias("digest"), (F.rand(11) * SALTS).cast("int").alias("__salt")), "exact-rows")
+    rest = [c for c in docs.columns if c not in made and (carry_text or c != text_col)]
+    # The caller's columns travel in one struct, whatever their names.
+    held = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("__id"), normalised(F.col(text_col)).alias("__text"))
+    slim = scratch.materialise(held.select("row", "__id", *step_keys("__text", prefix_chars), F.sha2("__text", 256).alias("digest"), (F.rand(11) * SALTS).cast("int").alias("__salt")), "exact-rows")
     keyed = slim.select("__id", "digest", "__len", "__prefix")
     groups = equal_rows(keyed.join(shared_keys(keyed), ["__len", "__prefix"], "left_semi"))
     spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     labelled = slim.join(spread, ["digest", "__salt"], "left")
     keep = F.coalesce("keep_id", "__id")
-    return labelled.select(
-        *[F.col(c) for c in docs.columns if c in rest or c in texts],
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("__id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
-    )
+    return labelled.select("row.*", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("__id")).alias("kept"), F.col("digest").alias("text_sha256"))

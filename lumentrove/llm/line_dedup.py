@@ -5,7 +5,9 @@ of its sites is kept per hash; sketches are built in the map tasks and merged by
 the aggregation, so a line that all pages carry is one row per task in the
 shuffle.  Lines whose estimate lies clearly at or above ``min_sites`` are
 boilerplate; lines within the sketch's error band of the threshold get exact
-distinct counts.  All copies of a boilerplate line go.
+distinct counts.  A line is judged wrongly only if its sketch is off by more than
+``BAND`` standard errors; below some hundred sites a sketch of ``LG_K`` bits is
+nearly always exact.  All copies of a boilerplate line go.
 
 Defined cases: null text is an empty line and stays null; blank lines (ASCII white space only) stay; a
 null site counts as no site; a text of boilerplate alone becomes empty, its row
@@ -61,16 +63,17 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str =
     """``docs`` with boilerplate lines cut from the text, and ``lines_removed``; a clashing column is replaced."""
     boiler = boilerplate_lines(docs, site_col, text_col, min_sites, lg_k)
     columns = [c for c in docs.columns if c != "lines_removed"]
+    rest = F.struct(*[c for c in columns if c != text_col]).alias("row")  # whatever the names, none meets ours
     keyed = docs.select(*row_key(id_col, text_col), F.posexplode(text_lines(F.col(text_col))).alias("place", "line")).filter(solid(F.col("line"))).select("__k1", "__k2", "place", line_key(F.col("line")).alias("key"))
     found = keyed.select("__k1", "__k2", "place", "key.h1", "key.h2").join(boiler, ["h1", "h2"])
     gone = found.groupBy("__k1", "__k2").agg(F.collect_set("place").alias("__gone"))  # bounded by a text's lines
     # The lines are split before the join, so that taking them by place costs one step each.
-    split = docs.select(*[F.split(c, "\n").alias("__lines") if c == text_col else F.col(c) for c in columns], *row_key(id_col, text_col))
+    split = docs.select(rest, F.split(text_col, "\n").alias("__lines"), *row_key(id_col, text_col))
     # Merged rather than broadcast at any size: documents with boilerplate grow with the corpus.
     joined = split.join(gone.hint("merge"), ["__k1", "__k2"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.array_join("__lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda at: F.get(F.col("__lines"), at)), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def oracle_sql(min_sites: int = MIN_SITES) -> str:

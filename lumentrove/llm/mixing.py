@@ -23,7 +23,9 @@ documents is one row per leaf: whole epochs and the last hash.
 Defined cases: null text has no tokens; null domain, language or source is the
 empty name; weights of 0 or less, or of unknown names where ``other`` is 0, take
 nothing; a leaf without budget gives nothing; documents without tokens cost
-nothing and follow their hash; rows that repeat an id are chosen together.
+nothing and follow their hash; rows that repeat an id are chosen together; an
+empty table gives no rows; a very long text is one row, of which only words are
+counted; columns of the caller keep their names, the three result columns excepted.
 """
 
 from __future__ import annotations
@@ -128,20 +130,21 @@ def mix(docs: DataFrame, recipe: Recipe, id_col: str = "doc_id", text_col: str =
     """
     made = ("epoch", "mix_domain", "mix_tokens")
     columns = [c for c in docs.columns if c not in made]
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
+    words = lambda text: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     top = F.lit("") if domain is None else F.coalesce(domain.cast("string"), F.lit(""))
     parts = [top.alias("domain"), name(lang_col).alias("lang"), name(source_col).alias("source")]
-    slim = scratch.materialise(docs.select(F.col(id_col).cast("string").alias("id"), *parts, tokens.alias("tokens")), "mixing-rows")
-    cuts = scratch.materialise(cut_points(slim, recipe), "mixing-cuts").select(*[F.col(c).alias(f"__{c}") for c in (*LEVELS, "whole", "last_bucket", "last_key")])
-    rows = docs.select(*columns, *[p.alias(f"__{c}") for p, c in zip(parts, LEVELS, strict=True)]).join(cuts, [f"__{c}" for c in LEVELS])
-    key = order_key(recipe.seed, F.col("__whole"), F.col(id_col))
-    bucket = F.substring(F.col("__key"), 1, BUCKET_DIGITS)
-    chosen = F.col("__last_bucket").isNull() | (bucket < F.col("__last_bucket")) | ((bucket == F.col("__last_bucket")) & (F.col("__key") <= F.coalesce("__last_key", F.lit(""))))
+    ident = F.col(id_col).cast("string").alias("id")
+    slim = scratch.materialise(docs.select(ident, *parts, words(F.col(text_col)).alias("tokens")), "mixing-rows")
+    cuts = scratch.materialise(cut_points(slim, recipe), "mixing-cuts")
+    # The caller's columns travel in one struct, whatever their names.
+    rows = docs.select(F.struct(*columns).alias("row"), ident, *parts).join(cuts, list(LEVELS)).withColumn("key", order_key(recipe.seed, F.col("whole"), F.col("id")))
+    bucket = F.substring("key", 1, BUCKET_DIGITS)
+    chosen = F.col("last_bucket").isNull() | (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("key") <= F.coalesce("last_key", F.lit(""))))
     # A stream that its own end never reaches has no partial epoch beyond the last allowed one.
-    times = F.col("__whole") + F.when(chosen & (F.col("__whole") < recipe.epochs), 1).otherwise(0)
-    taken = rows.withColumn("__key", key).withColumn("__times", times.cast("int")).filter("__times > 0")
-    return taken.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__times") - 1)).alias("epoch"), F.col("__domain").alias("mix_domain"), tokens.alias("mix_tokens"))
+    times = F.col("whole") + F.when(chosen & (F.col("whole") < recipe.epochs), 1).otherwise(0)
+    taken = rows.withColumn("times", times.cast("int")).filter("times > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("epoch"), F.col("domain").alias("mix_domain"), words(F.col("row").getField(text_col)).alias("mix_tokens"))
 
 
 def oracle_sql(recipe: Recipe, domain: str = "''") -> str:

@@ -1,6 +1,7 @@
 """Document quality by supervised subword embeddings.
 
-Hashed word, word-pair and byte n-gram features have learned vectors; a
+Hashed word, word-pair and byte n-gram features (n-grams of the UTF-8 form, so that
+a letter beyond ASCII is two or more of their places) have learned vectors; a
 document is the mean of its features' vectors and a softmax layer turns it into
 class probabilities (the linear text classifier of Joulin et al., 2016).  It is
 trained with plain numpy stochastic gradient descent on a bounded sample of
@@ -15,7 +16,9 @@ is a scan without a shuffle over whole texts.
 
 Defined cases: null or empty text has no features and gets the bias-only
 score; labels that are null are ignored; without any label, or with one class
-only, the bias is the smoothed class share; repeated rows score alike.
+only, the bias is the smoothed class share; repeated rows score alike; an empty
+table gives no rows; a very long text is taken in pieces; columns of the caller
+keep their names, the score's excepted.
 """
 
 from __future__ import annotations
@@ -176,11 +179,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
     """The columns ``carry`` (all by default) with the probability of class 1."""
     weights, bias = model
     rest = [c for c in (docs.columns if carry is None else carry) if c != out_col]
-    source = docs.select(*rest, F.col(text_col).cast("string").alias("__scored"))
+    source = docs.select(F.struct(*rest).alias("row"), F.col(text_col).cast("string").alias("text"))  # whatever the names, none meets ours
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(len(rest)))
+            data, offsets = kernels.raw_text(batch.column(1))
             found = []
             for lo, hi in kernels.row_chunks(offsets):
                 total, count = np.zeros(hi - lo), np.zeros(hi - lo)
@@ -191,7 +194,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "tex
                         count += sign * np.diff(at)
                 found.append(np.round(1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + bias, -60, 60))), 6))
             values = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values)], names=[*rest, out_col])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["row", "score"])
 
-    schema = docs.select(*rest).schema.add(out_col, "double")
-    return source.mapInArrow(run, schema)
+    schema = source.select("row").schema.add("score", "double")
+    return source.mapInArrow(run, schema).select("row.*", F.col("score").alias(out_col))

@@ -284,3 +284,86 @@ def test_shared_folders_are_asked_for_on_a_cluster(spark, tmp_path):
     assert (one.count(), two.count()) == (3, 3) and three.scratch_path not in scratch.left(spark)
     scratch.release(one)
     assert one.scratch_path not in scratch.left(spark)
+
+
+# --- repeated ids, clashing names, texts that a tokenizer refuses ------------
+
+
+def test_unlike_texts_of_one_id_are_kept(spark, tmp_path):
+    """(1, A), (2, near-copy of A), (2, unlike text): the unlike text is no copy of anything."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    a = " ".join(f"word{i}" for i in range(100))
+    near, other = a.replace("word99", "end"), " ".join(f"other{i}" for i in range(100))
+    rows = [(1, a), (2, near), (2, other), (3, other + " more"), (3, other + " more"), (4, ""), (4, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"row": F.lit(1), "id": F.lit(2), "h1": F.lit(3)})
+    found = {(r["id"], r["h1"]): (r["component"], r["group"]) for r in minhash.near_components(docs, words=5).collect()}
+    names = {r["text"]: r["h1"] for r in docs.select("text", minhash.text_hashes(F.col("text"))[0].alias("h1")).collect()}
+    assert found[2, names[near]] == found[1, names[a]] and found[2, names[near]][0] == 1
+    assert found[2, names[other]] == found[3, names[other + " more"]] and found[2, names[other]][0] == 2
+    assert found[2, names[other]][1] != found[2, names[near]][1] and found[None, names[a]] == (None, None)
+    kept = pipeline.near_deduplication(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == sorted([(1, a), (2, other), (4, ""), (4, ""), (0, a)])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_against_all_pairs(spark, seed):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(seed)
+    stems = [[f"s{j}w{i}" for i in range(40)] for j in range(12)]
+    rows = []
+    for _ in range(150):
+        words = list(rng.choice(stems))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((rng.randrange(25), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = sorted(set(rows))
+    component = brute_components(word_sets({n: t for n, (_, t) in enumerate(texts)}, 5))
+    groups = defaultdict(set)
+    for n, c in component.items():
+        groups[c].add(texts[n])
+    low = {row: min(i for i, _ in g) for g in groups.values() for row in g}
+    got = minhash.near_components(docs, words=5).collect()
+    hashes = {r["text"]: r["h1"] for r in docs.select("text", minhash.text_hashes(F.col("text"))[0].alias("h1")).collect()}
+    assert sorted((r["id"], r["h1"], r["component"]) for r in got) == sorted((i, hashes[t], low[i, t]) for i, t in rows)
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.near_deduplication(spark, docs, "").collect()]
+    assert len(kept) == len(set(kept)) == len(groups)
+    assert all(sum(row in g for row in kept) == 1 for g in groups.values()) and all(low[row] == row[0] for row in kept)
+
+
+def test_a_hub_of_many_partners_is_handed_on_in_bounded_batches(spark):
+    """One long text with 50,000 partners: its set leaves the task in small batches, and all its uses are there."""
+    text = " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(0, text), (7, "another")], "doc_id long, text string")
+    classes = minhash.profile(docs, "doc_id", "text", 5, 128, 32).select("set_hash", F.col("id").alias("rep"), F.when(F.col("id") == 0, -1).otherwise(-2).cast("long").alias("node"))
+    pairs = spark.range(50_000).select(F.col("id").alias("a"), F.lit(-1).cast("long").alias("b"))
+    sets = minhash.wanted_sets(pairs, classes, docs, "doc_id", "text", 5, 100, copy_bytes=1 << 20)
+    assert sets.agg(F.count("*"), F.count_distinct("share"), F.min(F.octet_length("shingles"))).first()[:] == (500, 500, 8 * 19_996)
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n\t\r", " ", "a \n"])
+def test_long_runs_of_white_space_are_packed(spark, unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "start" + unit * (2_000_000 // len(unit)) + "<|endoftext|> end"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids + [0]
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = sorted((r for r in packing.pack(docs).collect() if r["doc_id"] == 1), key=lambda r: r["piece"])
+    ids = np.array(want, "<u4")
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["length"] for r in got])[:-1].tolist()] and sum(r["length"] for r in got) == len(ids)
+    assert [r["ids_crc32"] for r in got] == [__import__("zlib").crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in got]
+
+
+CLASHES = ["__k1", "__k2", "__domain", "__lang", "__source", "__id", "__text", "__scored", "__gone", "__lines", "row", "id", "domain", "key", "digest", "times", "whole", "line", "site"]
+
+
+def test_columns_of_any_name_are_carried(spark):
+    rows = [(1, "a b c\nshared line", "en", "s1"), (2, None, None, None), (3, "a b c\nshared line", "de", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(c) for c in CLASHES})
+    model = (np.zeros(quality.BUCKETS, np.float32), 0.0)
+    for made, new in ((line_dedup.remove_boilerplate(docs, min_sites=2), ["lines_removed"]), (mixing.mix(docs, mixing.Recipe(percent=100, epochs=1)), ["epoch", "mix_domain", "mix_tokens"]), (exact_dedup.exact_dedup(docs), ["keep_id", "group_size", "kept", "text_sha256"]), (quality.score(docs, model), ["score"])):
+        assert made.columns == docs.columns + new
+        assert all(r[c] == c for r in made.collect() for c in CLASHES)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(docs, min_sites=2).collect()} == {1: "", 2: None, 3: ""}
