@@ -3,11 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's documents.  All stages but the last
 return the columns of ``documents``.
+
+Defined cases: null and empty texts pass the stages by the rules of their
+operators (scored by the bias, no lines, no duplicates, no tokens but the end
+id); null labels are not learned from; columns of any other name are carried
+along untouched; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumentrove.llm import line_dedup, minhash, mixing, packing, quality, queries, scratch
@@ -30,10 +35,25 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays; rows that share an id stay or go together."""
+    """One document of each group of near-duplicates stays, the one with the smallest id; of rows with that id and one text exactly one.
+
+    Rows are told apart by id and text, so unlike texts that share an id are
+    judged each on its own.  Rows with a null id, or without words, stay.
+    """
     found = minhash.near_components(docs, words=5)
-    gone = scratch.materialise(found.filter(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct(), "pipeline-gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    key = ["id", "h1", "h2"]
+    rows = scratch.materialise(found.filter(F.col("group").isNotNull()).groupBy("group", "component", *key).agg(F.count(F.lit(1)).alias("rows")), "pipeline-near")
+    # Few rows of a group have its smallest id: one, unless ids repeat.
+    first = rows.filter(F.col("id") == F.col("component")).withColumn("nth", F.row_number().over(Window.partitionBy("group").orderBy("h1", "h2")))
+    gone = rows.filter(F.col("id") != F.col("component")).select(*key).union(first.filter("nth > 1").select(*key))
+    repeated = scratch.materialise(first.filter("nth = 1 and rows > 1").select(*key), "pipeline-repeated")
+    gone = scratch.materialise(gone.union(repeated), "pipeline-gone")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), *minhash.text_hashes(F.col("text")))
+    kept = named.join(gone.hint("merge"), key, "left_anti").select("row")
+    if not repeated.isEmpty():
+        one = named.join(repeated, key).groupBy(*key).agg(F.first("row").alias("row"))
+        kept = kept.union(one.select("row"))
+    return kept.select("row.*")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
