@@ -8,63 +8,118 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.scalars import EPSILON, MAX_ANGLE, clamp, finite, padded_id, to_degrees
-from .projection import CORNERS, FOV, half_tangent, with_pose
+from ..functions.scalars import EPSILON, MAX_ANGLE, clamp, finite, padded_id, to_degrees, to_radians
+from .projection import FOV, half_tangent, with_pose
 
 COUNT = 49
-#: Most poses that are broadcast to all frames.
-MOST_POSES = 10_000
+#: Poses of a caller's table that one row of the block table holds.
+POSE_BLOCK = 1024
+LEAST_RADIUS = 0.01
 GOLDEN_ANGLE = math.pi * (3 - math.sqrt(5))
 
 
-def fibonacci_poses(spark: SparkSession, count: float | None = COUNT, max_polar: float | None = MAX_ANGLE) -> DataFrame:
-    """``count`` poses of equal area on the cap of ``max_polar`` degrees, in a golden-angle spiral."""
-    usable = lambda x, back: x if x is not None and math.isfinite(x) else back
-    n = max(2, math.floor(usable(count, COUNT) + 0.5))
-    least = math.cos(max(0.0, min(MAX_ANGLE, usable(max_polar, MAX_ANGLE))) * math.pi / 180)
-    out = spark.range(n).select(F.col("id").cast("int").alias("index"))
-    out = out.withColumns({"id": padded_id(F.col("index")), "fraction": F.col("index") / F.lit(float(n - 1))})
-    out = out.withColumn("_cos", F.lit(1.0) - F.col("fraction") * F.lit(1 - least))
+def explode_poses(df: DataFrame, count: Column, max_polar: Column) -> DataFrame:
+    """Each row of ``df`` with its own spiral: ``count`` poses of equal area on the cap of ``max_polar`` degrees, by golden angles.
+
+    A count or an angle that is no finite number is 49 or 89; there are two poses at least.
+    """
+    least = F.cos(to_radians(clamp(finite(max_polar, MAX_ANGLE), 0.0, MAX_ANGLE)))
+    n = F.greatest(F.lit(2), F.floor(finite(count, float(COUNT)) + 0.5).cast("int"))
+    out = df.withColumns({"_n": n, "_least": least}).withColumn("index", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    out = out.withColumns({"id": padded_id(F.col("index")), "fraction": F.col("index") / (F.col("_n") - 1).cast("double")})
+    out = out.withColumn("_cos", F.lit(1.0) - F.col("fraction") * (F.lit(1.0) - F.col("_least")))
     out = out.withColumns({"_polar": F.acos(clamp(F.col("_cos"), -1.0, 1.0)), "_az": F.when(F.col("index") == 0, 0.0).otherwise((F.col("index") * F.lit(GOLDEN_ANGLE)) % F.lit(2 * math.pi))})
     out = out.withColumns({"dir_x": F.sin("_polar") * F.cos("_az"), "dir_y": F.sin("_polar") * F.sin("_az"), "dir_z": F.col("_cos")})
-    return out.select("index", "id", "fraction", to_degrees(F.col("_polar")).alias("polar_degrees"), to_degrees(F.col("_az")).alias("azimuth_degrees"), to_degrees(F.asin(clamp(F.col("dir_y"), -1.0, 1.0))).alias("pitch_degrees"), to_degrees(F.atan2("dir_x", "dir_z")).alias("yaw_degrees"), "dir_x", "dir_y", "dir_z")
+    return out.select(*df.columns, "index", "id", "fraction", to_degrees(F.col("_polar")).alias("polar_degrees"), to_degrees(F.col("_az")).alias("azimuth_degrees"), to_degrees(F.asin(clamp(F.col("dir_y"), -1.0, 1.0))).alias("pitch_degrees"), to_degrees(F.atan2("dir_x", "dir_z")).alias("yaw_degrees"), "dir_x", "dir_y", "dir_z")
+
+
+def fibonacci_poses(spark: SparkSession, count: float | None = COUNT, max_polar: float | None = MAX_ANGLE) -> DataFrame:
+    """One spiral as a table of its own."""
+    one = spark.range(1).select(F.lit(count).cast("double").alias("_count"), F.lit(max_polar).cast("double").alias("_cap"))
+    return explode_poses(one, F.col("_count"), F.col("_cap")).drop("_count", "_cap")
+
+
+def spiral() -> Column:
+    """The default poses as a literal array: share of the cap's depth, and cosine and sine of the azimuth."""
+    turns = [0.0 if i == 0 else (i * GOLDEN_ANGLE) % (2 * math.pi) for i in range(COUNT)]
+    return F.array(*[F.struct(F.lit(i / (COUNT - 1)).alias("share"), F.lit(math.cos(t)).alias("c"), F.lit(math.sin(t)).alias("s")) for i, t in enumerate(turns)])
+
+
+def spiral_directions(least: Column) -> Column:
+    """Directions (x, y, z) of the default poses on a cap whose smallest cosine is ``least``."""
+
+    def one(p: Column) -> Column:
+        z = F.lit(1.0) - p["share"] * (F.lit(1.0) - least)
+        flat = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - z * z))
+        return F.struct((flat * p["c"]).alias("x"), (flat * p["s"]).alias("y"), z.alias("z"))
 
+    return F.transform(spiral(), one)
 
-def fit_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Column, width: Column, height: Column, fov: Column | None = None, margin: Column | None = None, poses: DataFrame | None = None) -> DataFrame:
-    """One row per key with ``fit_radius``.
+
+def least_bound(directions: Column) -> Column:
+    """The radius below which a corner of the frame (_fx, _fy) leaves the margin in some direction.
+
+    Of the four corners the one that comes nearest the camera decides for each sign of
+    the offset along the up axis, and all four have one offset along the right axis.
+    """
+
+    def step(most: Column, d: Column) -> Column:
+        level = F.sqrt(d["x"] * d["x"] + d["z"] * d["z"])
+        across = F.col("_fx") * F.abs(d["z"]) / (level * F.col("_reach_x"))
+        near_x, near_y = F.col("_fx") * d["x"], F.col("_fy") * d["y"]
+        lean, rise = F.col("_fx") * d["x"] * d["y"] / level, F.col("_fy") * level
+        same, other = F.abs(rise - lean) / F.col("_reach_y"), F.abs(rise + lean) / F.col("_reach_y")
+        return F.greatest(most, F.greatest(across, same) + F.abs(near_x + near_y), F.greatest(across, other) + F.abs(near_x - near_y))
+
+    return F.aggregate(directions, F.lit(float("-inf")), step)
+
+
+def pose_blocks(poses: DataFrame, blocks: int) -> DataFrame:
+    """(directions): the caller's poses (pitch_degrees, yaw_degrees), held in the front cone, in ``blocks`` arrays."""
+    posed = with_pose(poses.select(F.col("pitch_degrees").alias("_in_p"), F.col("yaw_degrees").alias("_in_y")), F.col("_in_p"), F.col("_in_y"), F.lit(1.0))
+    rows = posed.select(F.struct((-F.col("fwd_x")).alias("x"), (-F.col("fwd_y")).alias("y"), (-F.col("fwd_z")).alias("z")).alias("d"))
+    return rows.groupBy(F.pmod(F.xxhash64("d"), F.lit(blocks)).alias("block")).agg(F.collect_list("d").alias("directions")).select("directions")
+
+
+def fit_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Column, width: Column, height: Column, fov: Column | None = None, margin: Column | None = None, max_angle: Column | None = None, poses: DataFrame | None = None) -> DataFrame:
+    """Each frame's ``keys`` with ``fit_radius``; rows with equal keys stay apart.
 
     A corner's offset along the camera's right and up axes does not depend on
     the radius and its depth grows by one with it, so every pose and corner
     bounds the radius from below by a closed expression; the fit is the
-    largest bound, held between 1.001 and 32 half diagonals.  ``poses``
-    (pitch_degrees, yaw_degrees) is a small table (49 rows by default), whatever
-    the number of frames, and is therefore broadcast; one of more than
-    ``MOST_POSES`` rows is refused.
+    largest bound, held between 1.001 and 32 half diagonals.  The default poses
+    are a literal array, bent for each row by its ``max_angle``, so a frame is
+    fitted where it is read, without join or shuffle.
+
+    ``poses`` (pitch_degrees, yaw_degrees) replaces them; an empty table counts
+    as none given.  Tables of up to ``POSE_BLOCK`` poses reach the frames as one row;
+    larger ones as several, whose bounds are then folded by their maximum.
 
-    Holds where both half extents are positive, the half diagonal is at least
-    0.01 and the field of view is below 180 degrees.
+    A camera is never nearer than 0.01, so a smaller bound leaves the lower end of
+    the range; where the field of view has no positive tangent nothing fits, and
+    the upper end is the result.
     """
-    if poses is None:
-        poses = fibonacci_poses(frames.sparkSession)
-    elif poses.limit(MOST_POSES + 1).count() > MOST_POSES:
-        raise ValueError(f"more than {MOST_POSES} poses")
-    axes = with_pose(poses.select(F.col("pitch_degrees").alias("_in_p"), F.col("yaw_degrees").alias("_in_y")), F.col("_in_p"), F.col("_in_y"), F.lit(1.0)).select("fwd_x", "fwd_y", "right_x", "right_y", "up_x", "up_y")
+    held = lambda c, low, high, back: clamp(finite(c, back), low, high) if c is not None else F.lit(back)
     field = F.greatest(F.lit(1.0), finite(fov, FOV)) if fov is not None else F.lit(FOV)
-    out = frames.select(
-        *keys,
-        F.greatest(F.lit(EPSILON), finite(half_x, 1.0)).alias("_fx"),
-        F.greatest(F.lit(EPSILON), finite(half_y, 1.0)).alias("_fy"),
-        F.greatest(F.lit(EPSILON), F.hypot(finite(half_x, 1.0), finite(half_y, 1.0))).alias("_s"),
-        (F.greatest(F.lit(1.0), finite(width, 1.0)) / F.greatest(F.lit(1.0), finite(height, 1.0))).alias("_aspect"),
-        half_tangent(field).alias("_tan"),
-        (clamp(finite(margin, 0.9), 0.5, 0.98) if margin is not None else F.lit(0.9)).alias("_margin"),
-    ).crossJoin(F.broadcast(axes))
-    bounds = []
-    for sx, sy in CORNERS:
-        along = lambda axis, sx=sx, sy=sy: F.col("_fx") * sx * F.col(f"{axis}_x") + F.col("_fy") * sy * F.col(f"{axis}_y")
-        bounds.append(F.greatest(F.abs(along("right")) / (F.col("_margin") * F.col("_tan") * F.col("_aspect")), F.abs(along("up")) / (F.col("_margin") * F.col("_tan"))) - along("fwd"))
-    grouped = out.groupBy(*keys).agg(F.max(F.greatest(*bounds)).alias("_r"), F.first("_s").alias("_s"))
-    return grouped.select(*keys, clamp(F.col("_r"), F.col("_s") * 1.001, F.col("_s") * 32.0).alias("fit_radius"))
+    x, y = finite(half_x, 1.0), finite(half_y, 1.0)
+    out = frames.select(*keys, x.alias("_x"), y.alias("_y"), (F.greatest(F.lit(1.0), finite(width, 1.0)) / F.greatest(F.lit(1.0), finite(height, 1.0))).alias("_aspect"), half_tangent(field).alias("_tan"), held(margin, 0.5, 0.98, 0.9).alias("_margin"), F.cos(to_radians(held(max_angle, 0.0, MAX_ANGLE, MAX_ANGLE))).alias("_least"))
+    out = out.withColumns({"_fx": F.greatest(F.lit(EPSILON), F.col("_x")), "_fy": F.greatest(F.lit(EPSILON), F.col("_y")), "_s": F.greatest(F.lit(EPSILON), F.hypot("_x", "_y")), "_reach_y": F.greatest(F.lit(EPSILON), F.col("_margin") * F.col("_tan"))})
+    out = out.withColumn("_reach_x", F.col("_reach_y") * F.col("_aspect"))
+    given = 0 if poses is None else poses.count()
+    if not given:
+        bounded = out.withColumn("_r", least_bound(spiral_directions(F.col("_least"))))
+    else:
+        blocks = -(-given // POSE_BLOCK)
+        table = pose_blocks(poses, blocks)
+        if blocks == 1:
+            bounded = out.crossJoin(F.broadcast(table)).withColumn("_r", least_bound(F.col("directions")))  # one row of bounded size
+        else:
+            # Equal rows have equal bounds, so they are folded together and written out again.
+            many = table.count()
+            folded = out.crossJoin(table).withColumn("_r", least_bound(F.col("directions"))).groupBy(*out.columns).agg(F.max("_r").alias("_r"), F.count(F.lit(1)).alias("_rows"))
+            bounded = folded.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr(f"_rows div {many}"))))
+    low, high = F.col("_s") * 1.001, F.col("_s") * 32.0
+    return bounded.select(*keys, F.when(F.col("_tan") <= 0, high).when(F.col("_r") <= LEAST_RADIUS, low).otherwise(clamp(F.col("_r"), low, high)).alias("fit_radius"))
 
 
 def canonical_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Column, **options: Column) -> DataFrame:

@@ -110,12 +110,15 @@ def vector_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {sql.fibonacci(49, 89)}
-SELECT index, id, {sql.r6("fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z")} FROM fib
+WITH {sql.spirals("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey % 60 END AS count, s_suppkey % 100 AS cap FROM supplier")}
+SELECT s_suppkey, index, id, {sql.r6("fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z")} FROM fib
 """)
 def fib_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = poses.fibonacci_poses(spark)
-    return out.select("index", "id", *rounded_all(out, "fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z"))
+    """A spiral for each supplier, of a size and a cap of its own; every fifth has the default size."""
+    key = F.col("s_suppkey")
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(key % 5 != 0, key % 60).cast("double").alias("count"), (key % 100).cast("double").alias("cap"))
+    out = poses.explode_poses(suppliers, F.col("count"), F.col("cap"))
+    return out.select("s_suppkey", "index", "id", *rounded_all(out, "fraction", "polar_degrees", "azimuth_degrees", "pitch_degrees", "yaw_degrees", "dir_x", "dir_y", "dir_z"))
 
 
 # --- projections -----------------------------------------------------------
@@ -190,6 +193,24 @@ def fit_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", r6("fit_radius").alias("fit_radius"))
 
 
+def view_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as frames of viewers that differ in field of view, largest angle and margin; every third is tiny."""
+    key = F.col("p_partkey")
+    scale = F.when(key % 3 == 0, 0.0005).otherwise(1.0)
+    options = {"fov": (key % 70).cast("double"), "angle": (key % 95).cast("double"), "margin": (key % 110).cast("double") / 100}
+    return part_frames(spark, sf_dir).withColumns({"half_x": F.col("half_x") * scale, "half_y": F.col("half_y") * scale} | options)
+
+
+@query(sql.fit_views("""
+SELECT p_partkey, p_size / 20.0::DOUBLE * k AS fx, p_retailprice / 1000.0::DOUBLE * k AS fy, (800.0 / 600.0)::DOUBLE AS aspect, greatest(25, least(55, CASE WHEN p_partkey % 70 = 0 THEN 50 ELSE p_partkey % 70 END)) AS fov,
+       CASE WHEN p_partkey % 95 = 0 THEN 89 ELSE least(89, p_partkey % 95) END AS cap, greatest(0.5, least(0.98, p_partkey % 110 / 100.0::DOUBLE)) AS margin FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 0.0005 ELSE 1 END::DOUBLE AS k FROM part) AS p
+"""))
+def fit_radius_of_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = view_frames(spark, sf_dir)
+    out = poses.fit_radius(frames, ["p_partkey"], F.col("half_x"), F.col("half_y"), F.lit(800.0), F.lit(600.0), fov=scalars.shared_fov(F.col("fov")), max_angle=scalars.max_camera_angle(F.col("angle")), margin=F.col("margin"))
+    return out.select("p_partkey", r6("fit_radius").alias("fit_radius"))
+
+
 @query(sql.fit(FRAMES_SQL.format(view="greatest(1, p_size / 20.0::DOUBLE * 1024 / greatest(p_size / 20.0::DOUBLE, p_retailprice / 1000.0::DOUBLE)) / greatest(1, p_retailprice / 1000.0::DOUBLE * 1024 / greatest(p_size / 20.0::DOUBLE, p_retailprice / 1000.0::DOUBLE)) AS aspect")))
 def canonical_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = part_frames(spark, sf_dir)

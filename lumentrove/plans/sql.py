@@ -67,3 +67,27 @@ b AS (SELECT p_partkey, fx, fy, greatest(abs({along("right")}) / (0.9 * tan(radi
 m AS (SELECT p_partkey, max(r) AS r, any_value(sqrt(fx * fx + fy * fy)) AS s FROM b GROUP BY 1)
 SELECT p_partkey, round(least(32 * s, greatest(1.001 * s, r)), 6) + 0.0 AS fit_radius FROM m
 """
+
+
+def spirals(source: str) -> str:
+    """``fib``: the spirals of rows (any columns, count, cap)."""
+    return f"""
+f0 AS (SELECT *, unnest(range(n)) AS i FROM (SELECT *, greatest(2, coalesce(count, 49))::BIGINT AS n, cos(radians(greatest(0, least(89, coalesce(cap, 89)))::DOUBLE)) AS least_cos FROM ({source}) AS src) AS x),
+f1 AS (SELECT *, i::INTEGER AS index, i / (n - 1)::DOUBLE AS fraction, 1 - i / (n - 1)::DOUBLE * (1 - least_cos) AS dir_z, CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE fmod(i::DOUBLE * (pi() * (3 - sqrt(5::DOUBLE))), 2 * pi()) END AS _az FROM f0),
+f2 AS (SELECT *, acos(greatest(-1, least(1, dir_z))) AS _po FROM f1),
+f3 AS (SELECT *, sin(_po) * cos(_az) AS dir_x, sin(_po) * sin(_az) AS dir_y FROM f2),
+fib AS (SELECT *, printf('fib-%02d', index) AS id, degrees(_po) AS polar_degrees, degrees(_az) AS azimuth_degrees, degrees(asin(dir_y)) AS pitch_degrees, degrees(atan2(dir_x, dir_z)) AS yaw_degrees FROM f3)"""
+
+
+def fit_views(frames: str) -> str:
+    """The least radius for frames (p_partkey, fx, fy, aspect, fov, cap, margin), each seen from its own spiral."""
+    along = lambda axis: f"(fx * sx * {axis}_x + fy * sy * {axis}_y)"
+    return f"""
+WITH {spirals(f"SELECT *, NULL::BIGINT AS count FROM ({frames}) AS fr")},
+{orbit("SELECT p_partkey, fx, fy, aspect, fov, margin, pitch_degrees AS pitch, yaw_degrees AS yaw FROM fib", "89")},
+{pose("1.0")},
+b AS (SELECT p_partkey, fx, fy, greatest(abs({along("right")}) / (margin * tan(radians(fov / 2::DOUBLE)) * aspect), abs({along("up")}) / (margin * tan(radians(fov / 2::DOUBLE)))) - {along("fwd")} AS r
+      FROM pose, (VALUES (-1, 1), (1, 1), (1, -1), (-1, -1)) AS c(sx, sy)),
+m AS (SELECT p_partkey, max(r) AS r, any_value(sqrt(fx * fx + fy * fy)) AS s FROM b GROUP BY 1)
+SELECT p_partkey, round(CASE WHEN r <= 0.01 THEN 1.001 * s ELSE least(32 * s, greatest(1.001 * s, r)) END, 6) + 0.0 AS fit_radius FROM m
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import max_camera_angle, shared_fov
 from ..operators.poses import fit_radius
 
 
@@ -36,8 +37,14 @@ def windowed_counters(events: DataFrame, time: str, width: str, late: str, sessi
 
 
 def refit(viewports: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, half_x, half_y, width, height) of resize events with the radius that fits each."""
-    return fit_radius(viewports, keys, F.col("half_x"), F.col("half_y"), F.col("width"), F.col("height"))
+    """The resize events (keys, half_x, half_y, width, height) with the radius that fits each, a row per event.
+
+    Columns ``fov_degrees`` and ``max_angle_degrees``, where the events have them, are the
+    viewer's own field of view and largest angle, held as it holds them.
+    """
+    own = {"fov": ("fov_degrees", shared_fov), "max_angle": ("max_angle_degrees", max_camera_angle)}
+    options = {name: hold(F.col(c).cast("double")) for name, (c, hold) in own.items() if c in viewports.columns}
+    return fit_radius(viewports, keys, F.col("half_x"), F.col("half_y"), F.col("width"), F.col("height"), **options)
 
 
 def refit_stream(viewports: DataFrame, keys: list[str], on_change: Callable[[DataFrame], None], checkpoint: str, trigger: Mapping[str, object] | None = None) -> StreamingQuery:

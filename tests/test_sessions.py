@@ -2,6 +2,8 @@
 
 import datetime
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,14 +144,77 @@ def test_text_numbers(spark):
     assert [r[0] for r in rows.select(scalars.finite_text(F.col("t"))).collect()] == [5.0, 0.0]
 
 
-def test_other_poses_and_their_bound(spark, monkeypatch):
-    frames = spark.createDataFrame([(1, 0.8, 0.6)], "k int, x double, y double")
-    fit = lambda p: poses.fit_radius(frames, ["k"], F.col("x"), F.col("y"), F.lit(1280.0), F.lit(720.0), poses=p)
+def bisected(row: dict, angles: list[tuple[float, float]]) -> float:
+    """The least radius by 40 halvings, projecting every corner from every pose."""
+    unit = lambda v: [c / math.sqrt(sum(x * x for x in v)) for c in v]
+    cross = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    tan, aspect, margin = math.tan(math.radians(max(1, row["fov"]) / 2)), max(1, row["w"]) / max(1, row["h"]), min(0.98, max(0.5, row["margin"]))
+    x, y, s = max(1e-9, row["x"]), max(1e-9, row["y"]), max(1e-9, math.hypot(row["x"], row["y"]))
+
+    def fits(radius: float) -> bool:
+        for pitch, yaw in angles:
+            p, q = math.radians(pitch), math.radians(yaw)
+            at = [max(0.01, radius) * c for c in (math.sin(q) * math.cos(p), math.sin(p), math.cos(q) * math.cos(p))]
+            fwd = unit([-c for c in at])
+            right = unit(cross(fwd, [0, 1, 0]))
+            up = cross(right, fwd)
+            for corner in ([-x, y, 0], [x, y, 0], [x, -y, 0], [-x, -y, 0]):
+                rel = [c - a for c, a in zip(corner, at, strict=True)]
+                depth = dot(rel, fwd)
+                high = depth * tan
+                if not depth > 1e-9 or abs(dot(rel, right) / max(1e-9, high * aspect)) > margin or abs(dot(rel, up) / max(1e-9, high)) > margin:
+                    return False
+        return True
+
+    low, high = 1.001 * s, 32 * s
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
+
+
+def test_fits_are_those_of_bisection(spark):
+    """Own fields of view, angles and margins; tiny, flat and negative frames; a field without a positive tangent; repeated keys."""
+    rng = random.Random(4)
+    rows = [(i % 5, rng.uniform(0.05, 3), rng.uniform(0.05, 3), rng.uniform(300, 2000), rng.uniform(300, 2000), rng.uniform(10, 120), rng.uniform(0, 89), rng.uniform(0.3, 1.2)) for i in range(12)]
+    rows += [(0, 0.001, 0.001, 800.0, 600.0, 50.0, 89.0, 0.9), (0, 0.004, 0.002, 800.0, 600.0, 30.0, 40.0, 0.9), (1, 2.0, 1e-7, 10.0, 900.0, 50.0, 0.0, 0.9), (2, -1.0, 0.5, 800.0, 600.0, 50.0, 60.0, 0.9), (3, 1.0, 1.0, 800.0, 600.0, 200.0, 60.0, 0.9), (4, 1.0, 1.0, 800.0, 600.0, 2.0, 89.0, 0.5)]
+    names = ("k", "x", "y", "w", "h", "fov", "angle", "margin")
+    frames = spark.createDataFrame(rows, "k int, x double, y double, w double, h double, fov double, angle double, margin double")
+    args = {"fov": F.col("fov"), "margin": F.col("margin")}
+    fit = lambda **more: poses.fit_radius(frames, list(names), *[F.col(c) for c in "xywh"], **args, **more)
+    own = fit(max_angle=F.col("angle"))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = own.collect()
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(rows)
+    for r in got:
+        angles = [(p["pitch_degrees"], p["yaw_degrees"]) for p in poses.fibonacci_poses(spark, 49, r["angle"]).collect()]
+        assert math.isclose(r["fit_radius"], bisected(r.asDict(), angles), rel_tol=1e-8), r
+    few = spark.createDataFrame([(10.0, 20.0), (-40.0, 5.0), (0.0, -70.0)], "pitch_degrees double, yaw_degrees double")
+    for r in fit(poses=few).collect():
+        assert math.isclose(r["fit_radius"], bisected(r.asDict(), [tuple(p) for p in few.collect()]), rel_tol=1e-8), r
+
+
+def test_pose_tables_of_any_size(spark, monkeypatch):
+    frames = spark.createDataFrame([(1, 0.8, 0.6), (1, 0.8, 0.6), (1, 0.3, 0.6)], "k int, x double, y double")
+    fit = lambda p: sorted(r["fit_radius"] for r in poses.fit_radius(frames, ["k"], F.col("x"), F.col("y"), F.lit(1280.0), F.lit(720.0), poses=p).collect())
+    close = lambda a, b: len(a) == len(b) and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b, strict=True))
     all_poses = poses.fibonacci_poses(spark)
-    assert fit(all_poses).first()["fit_radius"] == fit(None).first()["fit_radius"] > fit(all_poses.filter("index = 0")).first()["fit_radius"]
-    monkeypatch.setattr(poses, "MOST_POSES", 48)
-    with pytest.raises(ValueError):
-        fit(all_poses)
+    whole = fit(None)
+    assert len(whole) == 3 and close(fit(all_poses), whole) and close(fit(all_poses.filter("false")), whole)
+    assert fit(all_poses.filter("index = 0"))[0] < whole[0]
+    monkeypatch.setattr(poses, "POSE_BLOCK", 10)
+    assert close(fit(all_poses), whole)
+
+
+def test_two_resizes_of_one_session_are_two_rows(spark):
+    rows = [("a", 1.0, 0.5, 1280.0, 720.0, 40.0, 30.0), ("a", 1.0, 0.5, 300.0, 900.0, 40.0, 30.0), ("a", 1.0, 0.5, 300.0, 900.0, None, None)]
+    events = spark.createDataFrame(rows, VIEWPORT + ", fov_degrees double, max_angle_degrees double")
+    got = [r["fit_radius"] for r in sessions.refit(events, ["session"]).collect()]
+    assert len(set(got)) == 3
+    alone = [sessions.refit(spark.createDataFrame([r], events.schema), ["session"]).first()["fit_radius"] for r in rows]
+    assert got == alone and alone[2] == sessions.refit(events.drop("fov_degrees", "max_angle_degrees"), ["session"]).collect()[2]["fit_radius"]
 
 
 def test_event_counters_of_a_stream_match_the_batch(spark, tmp_path):
