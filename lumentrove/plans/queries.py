@@ -8,6 +8,7 @@ sides, as sums and trigonometric functions may differ in the last bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import binary, markup, scalars
 from ..functions import vectors as V
 from ..operators import cameras, compositing, poses, projection, rules
+from ..sources import ply, stores
 from ..streaming import sessions
 from . import sql
 
@@ -376,6 +378,33 @@ def session_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.last_settings(table(spark, sf_dir, "events"), "user_id", F.col("event_id"), {"pitch": (kind == "click", F.col("value")), "mode": (kind.isin("view", "error"), kind), "active_camera": (kind == "signup", F.col("event_id"))})
 
 
+SESSION_GAP, SESSION_LATE = "2 DAYS", "1 HOUR"
+
+
+@query("""
+WITH s AS (SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type = 'click') AS pitch, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('view', 'error')) AS mode, max(ts) AS last_seen FROM events GROUP BY 1)
+SELECT user_id, pitch, mode, last_seen + INTERVAL 2 DAYS < (SELECT max(ts) - INTERVAL 1 HOUR FROM events) AS closed FROM s
+""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that is read to its end; each session's last row, which says whether it had fallen silent by then."""
+    out = f"{stores.shared_folder(spark)}/session-stream-{uuid.uuid4().hex}"
+    kind = F.col("event_type")
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*").withColumn("ts", F.col("ts").cast("timestamp"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    sessions.use_rocksdb(spark)
+    try:
+        stream = sessions.session_stream(events, "user_id", "ts", F.col("event_id"), {"pitch": (kind == "click", F.col("value")), "mode": (kind.isin("view", "error"), kind)}, SESSION_GAP, SESSION_LATE)
+        save = lambda batch, n: batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{out}/rows/batch={n}")
+        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    rows = spark.read.option("basePath", f"{out}/rows").parquet(f"{out}/rows/*")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("pitch", "mode", "closed"), F.struct("batch", F.col("closed").cast("int"))).alias("last"))
+    return last.select("user_id", "last.*")
+
+
 @query("""
 SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS camera_updates, count(*) FILTER (WHERE event_type = 'purchase') AS sorted_frames FROM events GROUP BY 1
 """)
@@ -402,6 +431,28 @@ def ply_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", binary.ply_vertex_count(header).alias("vertices"), F.octet_length(header).cast("long").alias("bytes"))
 
 
+@query(f"""
+SELECT vec_id::INTEGER AS vec_id, piece, {sql.r6("v0::FLOAT::DOUBLE AS x", "v1::FLOAT::DOUBLE AS y", "v2::FLOAT::DOUBLE AS z")} FROM {chunks_sql(3)} AS e
+""")
+def ply_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as PLY files by tasks, and read back in ranges of records."""
+    folder = f"{stores.shared_folder(spark)}/ply-{uuid.uuid4().hex}"
+    p = points(spark, sf_dir)
+    ply.write_points(p.select(F.col("vec_id").cast("int"), F.col("piece").cast("int"), *[F.col(f"p_{c}").cast("float").alias(c) for c in "xyz"]), folder)
+    return ply.read_points(spark, folder).select("vec_id", "piece", *[r6(F.col(c).cast("double")).alias(c) for c in "xyz"])
+
+
+@query("""
+WITH n AS (SELECT label, count(*) AS vectors, sum(((len(embedding) + 2) // 3))::BIGINT AS n FROM embeddings GROUP BY 1)
+SELECT sum(n)::BIGINT AS announced, sum(n)::BIGINT AS present, count(*) FILTER (WHERE false) AS problems FROM n
+""")
+def ply_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of written files announce, and how many records are there."""
+    folder = f"{stores.shared_folder(spark)}/ply-{uuid.uuid4().hex}"
+    ply.write_points(points(spark, sf_dir).select(F.col("p_x").alias("x"), F.col("p_y").alias("y"), F.col("p_z").alias("z")), folder)
+    return ply.point_files(spark, folder).agg(F.sum("announced").alias("announced"), F.sum("present").alias("present"), F.count("problem").alias("problems"))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 5 < 2 THEN 1280 ELSE p_size END::BIGINT AS width, CASE WHEN p_partkey % 5 < 3 THEN 720 ELSE p_partkey % 100000 END::BIGINT AS height, p_partkey % 5 < 2 AS is_screenshot FROM part
 """)

@@ -226,3 +226,35 @@ def test_event_counters_of_a_stream_match_the_batch(spark, tmp_path):
     query = sessions.event_counters(source, "session", counters).writeStream.outputMode("complete").foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert {tuple(r) for r in found} == {("a", 2, 1), ("b", 1, 0)} == {tuple(r) for r in sessions.event_counters(spark.read.parquet(f"{tmp_path}/in"), "session", counters).collect()}
+
+
+def test_session_stream_matches_the_batch_and_forgets_old_sessions(spark, tmp_path):
+    """Late, repeated and disordered events over several batches; sessions that fall silent are closed and leave the state."""
+    rng = random.Random(2)
+    at = lambda minute: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)
+    schema = "session string, ts timestamp, seq long, kind string, value double"
+    old = [(f"old{i}", at(i), i, rng.choice(["tilt", "mode"]), float(i)) for i in range(8)]
+    live = [(f"live{i % 5}", at(2000 + i), 100 + i, rng.choice(["tilt", "mode", "other"]), float(i)) for i in range(60)]
+    rng.shuffle(live)
+    live += rng.sample(live, 20) + [("live0", None, None, "tilt", 5.0), ("live1", at(2001), 1, "tilt", -1.0)]
+    end = [("live2", at(2100), 500, "mode", 7.0)]
+    too_late = [("old1", at(5), 900, "tilt", 99.0)]
+    settings = {"tilt": (F.col("kind") == "tilt", F.col("value")), "mode": (F.col("kind").isin("mode"), F.concat(F.lit("m"), F.col("value").cast("string")))}
+    sessions.use_rocksdb(spark)
+    found, states = [], []
+    for rows in (old, live[:40], live[40:], end, too_late):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = sessions.session_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "session", "ts", F.col("seq"), settings, "30 MINUTES", "2 hours")
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: found.extend((n, *r) for r in df.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    last = {}
+    for r in found:
+        last[r[1]] = (r[2], r[3], r[5])
+    batch = {r["session"]: (r["tilt"], r["mode"]) for r in sessions.last_settings(spark.read.parquet(f"{tmp_path}/in").filter("seq is null or seq <> 900"), "session", F.col("seq"), settings).collect()}
+    assert {k: v[:2] for k, v in last.items()} == batch and len(batch) == 13
+    assert {k for k, v in last.items() if v[2]} >= {f"old{i}" for i in range(8)} and not last["live2"][2]
+    assert states[-1] < max(states)
+    closed = [r for r in found if r[5]]
+    assert len(closed) == len({r[1] for r in closed})
