@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Signatures and the prefix that is searched for a header.
@@ -75,6 +75,67 @@ def jpeg_frame(content: Column) -> Column:
     return F.when(whole, F.struct(pair(at + 5).alias("height"), pair(at + 7).alias("width"), byte(at + 9).alias("components")))
 
 
+# The name of the segment that holds a picture's orientation, and the turns by a quarter.
+EXIF_NAME = "457869660000"
+QUARTER_TURNS = (5, 6, 7, 8)
+
+
+def with_exif_orientation(df: DataFrame, content: Column, out: str = "orientation") -> DataFrame:
+    """Adds the orientation (1 to 8) of JPEG content: the tag in the first directory of the first Exif segment, of either byte order.
+
+    Null where there is no such segment or tag, where an offset or length leads out of
+    the segment, or where the value is none of the eight.  Segments are passed over
+    by their lengths, up to the first scan: 32 at first, and where these do not
+    reach it, as many more as the content has room for.
+    """
+    c = F.col("_c")
+    byte = lambda at: F.conv(F.hex(F.substring(c, at + 1, F.lit(1))), 16, 10).try_cast("int")
+    pair = lambda at: F.conv(F.hex(F.substring(c, at + 1, F.lit(2))), 16, 10).try_cast("int")
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        head = F.hex(F.substring(c, at + 1, F.lit(2)))
+        exif = (head == "FFE1") & (F.hex(F.substring(c, at + 5, F.lit(6))) == EXIF_NAME)
+        stop = state["done"] | exif | ~F.startswith(head, F.lit("FF")) | head.isin("FFDA", "FFD9") | (F.length(head) < 4)
+        return F.struct(F.when(stop, at).otherwise(at + 2 + F.greatest(F.lit(2), F.coalesce(pair(at + 2), F.lit(2)))).alias("at"), stop.alias("done"))
+
+    start = F.struct(F.lit(2).alias("at"), F.lit(False).alias("done"))
+    made = df.withColumn("_c", content).withColumn("_w", F.when(F.hex(F.substring(c, 1, 2)) == "FFD8", F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)))
+    room = F.when(~F.col("_w.done"), F.sequence(F.lit(1), (F.octet_length(c) / 4).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
+    made = made.withColumn("_at", F.aggregate(room, F.col("_w"), step)["at"])
+    found = (F.hex(F.substring(c, F.col("_at") + 1, F.lit(2))) == "FFE1") & (F.hex(F.substring(c, F.col("_at") + 5, F.lit(6))) == EXIF_NAME)
+    made = made.withColumn("_h", F.when(found, F.hex(F.substring(c, F.col("_at") + 11, pair(F.col("_at") + 2) - 8))))  # the directory's bytes as hexadecimal digits
+    made = made.withColumn("_le", F.startswith("_h", F.lit("4949")))
+
+    def number(at: Column, size: int) -> Column:
+        raw = F.substring(F.col("_h"), at.cast("int") * 2 + 1, F.lit(2 * size))
+        turned = F.concat(*[F.substring(raw, 2 * i + 1, 2) for i in reversed(range(size))])
+        return F.when(F.length(raw) == 2 * size, F.conv(F.when(F.col("_le"), turned).otherwise(raw), 16, 10).cast("long"))
+
+    known = (F.startswith("_h", F.lit("4949")) | F.startswith("_h", F.lit("4D4D"))) & (number(F.lit(2), 2) == 42)
+    made = made.withColumn("_t", F.when(known, number(F.lit(4), 4)))
+    made = made.withColumn("_t", F.when(F.col("_t") < 65536, F.col("_t"))).withColumn("_n", number(F.col("_t"), 2))
+    tag = F.when(F.col("_le"), "1201").otherwise("0112")
+    entry = F.filter(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: F.substring(F.col("_h"), (F.col("_t").cast("int") + 2 + i * 12) * 2 + 1, F.lit(4)) == tag)
+    made = made.withColumn("_e", F.when(F.col("_n") > 0, F.get(entry, F.lit(0)))).withColumn("_v", number(F.col("_t") + 2 + F.col("_e") * 12 + 8, 2))
+    return made.withColumn(out, F.when(F.col("_v").between(1, 8), F.col("_v").cast("int"))).drop("_c", "_w", "_at", "_h", "_le", "_t", "_n", "_e", "_v")
+
+
+def displayed_size(width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:
+    """Width and height as shown: exchanged where the orientation is a quarter turn; unknown ones turn nothing."""
+    turned = F.coalesce(orientation.isin(*QUARTER_TURNS), F.lit(False))
+    return F.when(turned, height).otherwise(width), F.when(turned, width).otherwise(height)
+
+
+def bounded_size(width: Column, height: Column, longest: Column | int, enlarge: bool = False) -> tuple[Column, Column]:
+    """Width and height with a long side of at most (``enlarge``: exactly) ``longest``, the aspect kept to a pixel."""
+    bound = longest if isinstance(longest, Column) else F.lit(longest)
+    scale = bound / F.greatest(width, height)
+    scale = scale if enlarge else F.least(F.lit(1.0), scale)
+    side = lambda x: F.greatest(F.lit(1), F.floor(x * scale + 0.5)).cast("int")
+    return side(width), side(height)
+
+
 def digest(content: Column) -> Column:
     """SHA-256 in lower-case hexadecimal."""
     return F.sha2(content, 256)

@@ -6,9 +6,13 @@ definitions and claim no parity beyond that.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import shared_folder
+
 # The documented range of learned opacity.
 LEARNED_LOW, LEARNED_HIGH = 0.005, 0.995
 
@@ -19,11 +23,25 @@ def transmittance(df: DataFrame, keys: list[str], order: list[str], alpha: Colum
     return df.withColumn(out, F.coalesce(F.product(F.lit(1.0) - alpha).over(before), F.lit(1.0)))
 
 
+def in_blocks(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
+    """``df`` cut by ranges of (keys, order), with ``_block``: a later row of a key has no smaller block, and no key is bound to one task."""
+    return df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
+
+
 def composite(df: DataFrame, keys: list[str], order: list[str], alpha: Column, value: Column) -> DataFrame:
-    """(keys, layers, color, coverage) of alpha layers, front to back."""
-    lit = transmittance(df.withColumns({"_a": alpha, "_v": value}), keys, order, F.col("_a"), "_t")
+    """(keys, layers, color, coverage) of alpha layers, front to back.
+
+    Layers in a row are one layer: with the light that passes all of them, and the
+    colour and coverage that they add under full light.  So a stack is folded in
+    blocks of its layers, and a stack of any depth by several tasks.
+    """
+    cut = in_blocks(df.select(*keys, *order, alpha.alias("_a"), value.alias("_v")), keys, order)
+    lit = transmittance(cut, [*keys, "_block"], order, F.col("_a"), "_t")
     weight = F.col("_a") * F.col("_t")
-    return lit.groupBy(*keys).agg(F.count(F.lit(1)).alias("layers"), F.sum(weight * F.col("_v")).alias("color"), F.sum(weight).alias("coverage"))
+    blocks = lit.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"), F.product(F.lit(1.0) - F.col("_a")).alias("_pass"), F.sum(weight * F.col("_v")).alias("_color"), F.sum(weight).alias("_cover"))
+    behind = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a few blocks of a stack
+    seen = blocks.withColumn("_light", F.coalesce(F.product("_pass").over(behind), F.lit(1.0)))
+    return seen.groupBy(*keys).agg(F.sum("_n").alias("layers"), F.sum(F.col("_light") * F.col("_color")).alias("color"), F.sum(F.col("_light") * F.col("_cover")).alias("coverage"))
 
 
 def opacity(learned: Column, along: Column, short_edge: Column, long_edge: Column, radial: Column, center_max: Column, edge_min: Column) -> Column:
@@ -56,7 +74,10 @@ SSIM_BLOCK, SSIM_STRIDE = 8, 4
 
 
 def ssim(df: DataFrame, keys: list[str], row: Column, column: Column, expected: Column, measured: Column, peak: float = 255.0, block: int = SSIM_BLOCK, stride: int = SSIM_STRIDE) -> DataFrame:
-    """(keys, blocks, ssim): the structural similarity index (Wang et al., 2004), averaged over square blocks.
+    """(keys, blocks, ssim): the structural similarity index (Wang et al., 2004) over flat square blocks, averaged.
+
+    This is the block form of the index, with equal weights inside a block, and not
+    the form with a Gaussian window of 11 pixels; the two give different numbers.
 
     Blocks of ``block`` pixels start at every ``stride`` rows and columns and lie
     whole inside the image.  Each pixel adds its five moments to the blocks that
@@ -75,5 +96,23 @@ def ssim(df: DataFrame, keys: list[str], row: Column, column: Column, expected:
 
 
 def depth_order(df: DataFrame, keys: list[str], depth: Column, tie: str) -> DataFrame:
-    """Adds ``draw_order`` (from 0, far to near) within each view."""
-    return df.withColumn("draw_order", F.row_number().over(Window.partitionBy(*keys).orderBy(depth.desc(), F.col(tie))) - 1)
+    """Adds ``draw_order`` (from 0, far to near) within each view.
+
+    Rows are cut by ranges of (view, depth, tie) and numbered within each block; the
+    counts of a view's earlier blocks, a row each, give its first number.  The cut
+    rows are written to the shared folder once, as both the counts and the
+    numbering read them, so no task holds a whole view.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/depth-order-{uuid.uuid4().hex}"
+    row = df.select(F.struct(*df.columns).alias("row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], depth.alias("_depth"), F.col(tie).alias("_tie"))
+    view = [f"_k{i}" for i in range(len(keys))]
+    in_blocks(row, view, [F.col("_depth").desc(), "_tie"]).write.parquet(path)
+    cut = spark.read.parquet(path)
+    earlier = Window.partitionBy(*view).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy(*view, "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter("_base > 0").drop("_n")
+    nth = F.row_number().over(Window.partitionBy(*view, "_block").orderBy(F.col("_depth").desc(), "_tie")) - 1
+    numbered = cut.withColumn("_nth", nth)
+    same = [numbered[c].eqNullSafe(bases[c]) for c in (*view, "_block")]
+    joined = numbered.join(bases, same, "left").select(numbered["row"], (F.col("_nth") + F.coalesce("_base", F.lit(0))).cast("int").alias("draw_order"))
+    return joined.select("row.*", "draw_order")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, markup, scalars
 from ..functions import vectors as V
-from ..operators import cameras, compositing, poses, projection, rules
+from ..operators import cameras, compositing, images, poses, projection, rules
 from ..sources import ply, stores
 from ..streaming import sessions
 from . import sql
@@ -463,6 +463,32 @@ def png_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", binary.png_width(head).alias("width"), binary.png_height(head).alias("height"), binary.is_screenshot(head).alias("is_screenshot"))
 
 
+@query("""
+WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 7 = 6 THEN NULL WHEN p_partkey % 11 BETWEEN 1 AND 8 THEN p_partkey % 11 END::INTEGER AS orientation, (p_size * 97 % 9000 + 1)::INTEGER AS width, (p_partkey * 31 % 5000 + 1)::INTEGER AS height FROM part),
+d AS (SELECT p_partkey, orientation, CASE WHEN orientation >= 5 THEN height ELSE width END AS w, CASE WHEN orientation >= 5 THEN width ELSE height END AS h FROM p)
+SELECT p_partkey, orientation, w AS shown_width, h AS shown_height, greatest(1, floor(w * least(1.0, 4096::DOUBLE / greatest(w, h)) + 0.5))::INTEGER AS cached_width, greatest(1, floor(h * least(1.0, 4096::DOUBLE / greatest(w, h)) + 0.5))::INTEGER AS cached_height FROM d
+""")
+def image_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JPEG headers made from the table, of both byte orders and with other segments before; every seventh has a broken directory offset."""
+    key = F.col("p_partkey")
+    word = lambda c, size: F.lpad(F.hex(c.cast("long")), 2 * size, "0")
+    swap = lambda c: F.array_join(F.reverse(F.regexp_extract_all(c, F.lit(".."), F.lit(0))), "")
+    own = lambda c, size: F.when(key % 2 == 0, word(c, size)).otherwise(swap(word(c, size)))
+    filler = F.lit("FFFE0006AABBCCDD")
+    entry = lambda tag, value: F.concat(own(F.lit(tag), 2), own(F.lit(3), 2), own(F.lit(1), 4), own(value, 2), F.lit("0000"))
+    tiff = F.concat(F.when(key % 2 == 0, "4D4D").otherwise("4949"), own(F.lit(42), 2), own(F.when(key % 7 == 6, 50000).otherwise(8), 4), own(F.lit(2), 2), entry(0x010F, key % 9), entry(0x0112, key % 11), F.lit("00000000"))
+    exif = F.concat(F.lit("FFE1"), word(F.length(tiff) / 2 + 8, 2), F.lit("457869660000"), tiff)
+    width, height = F.col("p_size") * 97 % 9000 + 1, key * 31 % 5000 + 1
+    frame = F.concat(F.lit("FFC0000B08"), word(height, 2), word(width, 2), F.lit("01011100"))
+    content = F.unhex(F.concat(F.lit("FFD8"), F.when(key % 3 == 0, filler).otherwise(""), exif, filler, frame, F.lit("FFD9")))
+    made = table(spark, sf_dir, "part").select("p_partkey", content.alias("content"))
+    probed = binary.with_exif_orientation(made, F.col("content")).withColumn("frame", binary.jpeg_frame(F.col("content")))
+    shown = dict(zip(("shown_width", "shown_height"), binary.displayed_size(F.col("frame.width"), F.col("frame.height"), F.col("orientation")), strict=True))
+    out = probed.withColumns(shown)
+    cached = binary.bounded_size(F.col("shown_width"), F.col("shown_height"), images.CACHED_SIDE)
+    return out.select("p_partkey", "orientation", "shown_width", "shown_height", cached[0].alias("cached_width"), cached[1].alias("cached_height"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256, octet_length(encode(text))::BIGINT AS bytes FROM documents")
 def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text").cast("binary")
@@ -586,6 +612,39 @@ def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "blocks", r6("ssim").alias("ssim"))
 
 
+def resampled_sql(scale: str) -> str:
+    """Images of 64 embeddings, one way and the other: ``scale`` is the new long side."""
+    return f"""
+WITH p AS (SELECT vec_id // 64 AS image, vec_id % 64 AS r, piece AS c, v0 AS v FROM {chunks_sql(1)} AS e),
+d AS (SELECT image, max(r) + 1 AS h, max(c) + 1 AS w FROM p GROUP BY 1),
+t AS (SELECT *, greatest(1, floor(w * ({scale})::DOUBLE / greatest(w, h) + 0.5))::BIGINT AS tw, greatest(1, floor(h * ({scale})::DOUBLE / greatest(w, h) + 0.5))::BIGINT AS th FROM d),
+cx AS (SELECT image, w, tw, c, unnest(range(tw)) AS x FROM t, LATERAL (SELECT unnest(range(w)) AS c) AS cs),
+cy AS (SELECT image, h, th, r, unnest(range(th)) AS y FROM t, LATERAL (SELECT unnest(range(h)) AS r) AS rs),
+ox AS (SELECT image, c, x, least(x + 1, (c + 1) * tw / w::DOUBLE) - greatest(x, c * tw / w::DOUBLE) AS sx FROM cx WHERE least(x + 1, (c + 1) * tw / w::DOUBLE) > greatest(x, c * tw / w::DOUBLE)),
+oy AS (SELECT image, r, y, least(y + 1, (r + 1) * th / h::DOUBLE) - greatest(y, r * th / h::DOUBLE) AS sy FROM cy WHERE least(y + 1, (r + 1) * th / h::DOUBLE) > greatest(y, r * th / h::DOUBLE)),
+s AS (SELECT image, x, y, sum(sx * sy) AS coverage, sum(sx * sy * v) AS v FROM p JOIN ox USING (image, c) JOIN oy USING (image, r) GROUP BY ALL HAVING sum(sx * sy) > 1e-9)
+SELECT image, x, y, round(v / coverage, 6) + 0.0 AS v, round(coverage, 6) + 0.0 AS coverage FROM s
+"""
+
+
+def resampled(spark: SparkSession, sf_dir: str, side: Column) -> DataFrame:
+    e = chunks(spark, sf_dir, 1).withColumns({"image": F.expr("vec_id div 64"), "r": F.col("vec_id") % 64})
+    sizes = e.groupBy("image").agg((F.max("r") + 1).alias("h"), (F.max("piece") + 1).alias("w"))
+    width, height = binary.bounded_size(F.col("w"), F.col("h"), side, enlarge=True)
+    out = images.resample(e.join(sizes, "image"), ["image"], F.col("piece"), F.col("r"), F.col("w"), F.col("h"), width, height, {"v": F.col("v0")})
+    return out.filter("coverage > 1e-9").select("image", "x", "y", *rounded_all(out, "v", "coverage"))
+
+
+@query(resampled_sql("11 + image % 20"))
+def image_shrunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(spark, sf_dir, 11 + F.col("image") % 20)
+
+
+@query(resampled_sql("70 + image % 20"))
+def image_enlarged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(spark, sf_dir, 70 + F.col("image") % 20)
+
+
 @query(f"""
 SELECT label, piece, vec_id, (row_number() OVER (PARTITION BY label, piece ORDER BY v0 DESC, vec_id) - 1)::INTEGER AS draw_order FROM {chunks_sql(1)} AS e
 """)

@@ -31,14 +31,15 @@ def read_binaries(spark: SparkSession, path: str, pattern: str | None = None) ->
 def read_ply(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, accepted, vertices, sha256) of PLY files, with the number of vertices that their headers announce.
 
-    Empty files are refused: below a mounted folder they are rows with
-    ``accepted`` false; other stores cannot be listed and have no rows for them.
+    Empty files are refused: they are rows with ``accepted`` false, except in stores
+    that only Hadoop knows, where they cannot be listed and have no rows.
     """
     from ..functions.binary import digest, is_ply_payload, ply_vertex_count
-    from .listing import is_mounted, list_files
+    from .listing import list_files
+    from .stores import is_known
 
     rows = read_binaries(spark, path, "*.ply")
-    if is_mounted(path):
+    if is_known(path):
         empty = list_files(spark, path).filter((F.col("kind") == "file") & (F.col("length") == 0) & F.endswith("path", F.lit(".ply")))
         rows = rows.unionByName(empty.select(F.concat(F.lit(path.rstrip("/") + "/"), F.col("path")).alias("path"), "length", F.lit(b"").alias("content")))
     return rows.select("path", "length", is_ply_payload(F.col("content")).alias("accepted"), ply_vertex_count(F.col("content")).alias("vertices"), digest(F.col("content")).alias("sha256"))

@@ -11,6 +11,9 @@ only if asked for (option ``content``) and only for regular files.
     spark.dataSource.register(FileListing)
     spark.read.format("file_listing").option("content", "true").load("/site")
 
+Stores that pyarrow has a file system for are listed in the same way by their
+URIs (``s3://``, ``gs://``, ``hdfs://``); they have files and folders only.
+
 Columns: path (below the folder, with slashes), kind (file, link or other),
 length, content.  An entry that is no regular file is listed, not followed.
 """
@@ -21,13 +24,16 @@ import os
 import stat
 import zlib
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
+from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .stores import open_store
+
 SCHEMA = "path string, kind string, length long, content binary"
 ARROW = pa.schema([("path", pa.string()), ("kind", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
 BATCH_BYTES = 8 << 20
@@ -40,13 +46,6 @@ def is_mounted(path: str) -> bool:
     return urlparse(path).scheme in ("", "file")
 
 
-def local_folder(path: str) -> str:
-    parsed = urlparse(path)
-    if not is_mounted(path):
-        raise ValueError(f"the listing reads mounted folders, not {parsed.scheme}://")
-    return os.path.normpath(unquote(parsed.path) if parsed.scheme else path)
-
-
 def kind_of(mode: int) -> str:
     return "file" if stat.S_ISREG(mode) else "link" if stat.S_ISLNK(mode) else "other"
 
@@ -65,36 +64,77 @@ class Share(InputPartition):
         self.folder, self.share = folder, share
 
 
-class ListingReader(DataSourceReader):
-    def __init__(self, root: str, content: bool) -> None:
-        self.root, self.content = root, content
+class Mounted:
+    """Entries of a mounted folder, of any kind."""
+
+    def __init__(self, path: str) -> None:
+        self.root = open_store(path)[1]
 
     def entries(self, folder: str) -> Iterator[tuple[str, bool]]:
         """(path below the root, whether it is a folder) of a folder's own entries."""
         with os.scandir(os.path.join(self.root, folder)) as found:
             for x in found:
-                yield os.path.join(folder, x.name), x.is_dir(follow_symlinks=False)
+                yield os.path.join(folder, x.name).replace(os.sep, "/"), x.is_dir(follow_symlinks=False)
+
+    def describe(self, path: str) -> tuple[str, int]:
+        info = os.lstat(os.path.join(self.root, path))
+        return kind_of(info.st_mode), info.st_size
+
+    def body(self, path: str) -> bytes:
+        with open(os.path.join(self.root, path), "rb") as f:
+            return f.read()
+
+
+class Stored:
+    """Entries of a folder in a store of pyarrow; opened anew in each process."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+        self.sizes: dict[str, int] = {}
+
+    def entries(self, folder: str) -> Iterator[tuple[str, bool]]:
+        store, root = open_store(self.path)
+        root = root.rstrip("/")
+        for info in store.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/"), recursive=False)):
+            name = f"{folder}/{info.base_name}".lstrip("/")
+            if info.type == fs.FileType.File:
+                self.sizes = {name: info.size}  # of the entry that is asked for next
+            yield name, info.type == fs.FileType.Directory
+
+    def describe(self, path: str) -> tuple[str, int]:
+        if path in self.sizes:
+            return "file", self.sizes[path]
+        store, root = open_store(self.path)
+        return "file", store.get_file_info(f"{root.rstrip('/')}/{path}").size
+
+    def body(self, path: str) -> bytes:
+        store, root = open_store(self.path)
+        with store.open_input_stream(f"{root.rstrip('/')}/{path}") as f:
+            return f.read()
+
+
+class ListingReader(DataSourceReader):
+    def __init__(self, root: str, content: bool, mounted: bool | None = None) -> None:
+        self.content = content
+        self.place = Mounted(root) if (is_mounted(root) if mounted is None else mounted) else Stored(root)
 
     def partitions(self) -> list[InputPartition]:
         opened, waiting = [], [""]
         while waiting and len(opened) + len(waiting) <= FOLDERS:
             folder = waiting.pop(0)
             opened.append(folder)
-            waiting += sorted(path for path, is_folder in self.entries(folder) if is_folder)
+            waiting += sorted(path for path, is_folder in self.place.entries(folder) if is_folder)
         return [Share(folder, i) for folder in opened for i in range(SHARES)] + [Walk(folder) for folder in waiting]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for path in self.share(partition) if isinstance(partition, Share) else self.walk(partition.folder):
-            full = os.path.join(self.root, path)
-            info = os.lstat(full)
-            kind, body = kind_of(info.st_mode), None
+            (kind, length), body = self.place.describe(path), None
             if self.content and kind == "file":
-                with open(full, "rb") as f:
-                    body = f.read()
+                body = self.place.body(path)
                 size += len(body)
-            rows.append((path.replace(os.sep, "/"), kind, info.st_size, body))
+            rows.append((path, kind, length, body))
             if size >= BATCH_BYTES or len(rows) >= 4096:
                 yield self.batch(rows)
                 rows, size = [], 0
@@ -102,10 +142,10 @@ class ListingReader(DataSourceReader):
             yield self.batch(rows)
 
     def share(self, part: Share) -> Iterator[str]:
-        return (path for path, is_folder in self.entries(part.folder) if not is_folder and zlib.crc32(path.encode("utf-8", "surrogateescape")) % SHARES == part.share)
+        return (path for path, is_folder in self.place.entries(part.folder) if not is_folder and zlib.crc32(path.encode("utf-8", "surrogateescape")) % SHARES == part.share)
 
     def walk(self, folder: str) -> Iterator[str]:
-        for path, is_folder in self.entries(folder):
+        for path, is_folder in self.place.entries(folder):
             if is_folder:
                 yield from self.walk(path)
             else:
@@ -125,13 +165,14 @@ class FileListing(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> ListingReader:
-        return ListingReader(local_folder(self.options["path"]), self.options.get("content", "false") == "true")
+        mounted = {"mounted": True, "arrow": False}.get(self.options.get("store", ""))
+        return ListingReader(self.options["path"], self.options.get("content", "false") == "true", mounted)
 
 
-def list_files(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """Sorted by path; ``listed_as`` marks entries that are not regular files."""
+def list_files(spark: SparkSession, folder: str, content: bool = False, store: str = "") -> DataFrame:
+    """Sorted by path; ``listed_as`` marks entries that are not regular files.  ``store``: mounted or arrow, by the URI if not given."""
     spark.dataSource.register(FileListing)
-    found = spark.read.format("file_listing").option("content", str(content).lower()).load(folder)
+    found = spark.read.format("file_listing").option("content", str(content).lower()).option("store", store).load(folder)
     return found.withColumn("listed_as", listed_name(F.col("path"), F.col("kind"))).orderBy("path")
 
 

@@ -17,6 +17,11 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def is_known(path: str) -> bool:
+    """Whether ``open_store`` can open the path."""
+    return urlparse(path).scheme in ("", "file", "s3", "gs", "gcs", "hdfs", "abfs", "abfss")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session shares with its executors; a local one only if none is named and all tasks run here."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -4,12 +4,14 @@ import base64
 import hashlib
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumentrove.functions import binary, markup
-from lumentrove.operators import rules
-from lumentrove.sources import files, listing
+from lumentrove.operators import compositing, images, rules
+from lumentrove.sources import files, listing, stores
 
 
 @pytest.fixture
@@ -40,10 +42,106 @@ def test_listing_deals_a_large_folder_to_several_tasks(site):
     assert sum(sizes) == 67 and max(sizes) < 40
 
 
-def test_listing_of_other_stores_is_refused():
-    with pytest.raises(ValueError):
-        listing.local_folder("s3://bucket/x")
-    assert listing.local_folder("file:///tmp/a%20b") == "/tmp/a b"
+def test_listing_by_the_store_of_pyarrow_is_the_mounted_one(spark, site):
+    """The way of remote stores, on a folder that is mounted too; it follows no kinds but files and folders."""
+    key = lambda r: (r["path"], r["length"], bytes(r["content"] or b""))
+    for link in ("web/link", "web/up"):
+        os.unlink(f"{site}/{link}")
+    mounted = [key(r) for r in listing.list_files(spark, f"file://{site}", content=True).collect()]
+    assert mounted == [key(r) for r in listing.list_files(spark, f"file://{site}", content=True, store="arrow").collect()] and len(mounted) == 65
+    reader = listing.ListingReader(site, content=False, mounted=False)
+    assert max(sum(b.num_rows for b in reader.read(p)) for p in reader.partitions()) < 40
+
+
+def test_stores_by_their_uris():
+    assert stores.open_store("file:///tmp/a%20b")[1] == "/tmp/a b" and stores.open_store("/tmp//x/")[1] == "/tmp/x"
+    assert stores.is_known("s3://bucket/x") and not stores.is_known("viewfs://x/y")
+
+
+class Session:
+    """What ``shared_folder`` asks of a session."""
+
+    def __init__(self, master, named=None, at=None):
+        self.conf, self.sparkContext, self.master, self.at = {"spark.checkpoint.dir": named} if named else {}, self, master, at
+
+    def getCheckpointDir(self):
+        return self.at
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    assert stores.shared_folder(Session("local[4]")) == "/tmp/checkpoints"
+    assert stores.shared_folder(Session("spark://one:7077", named="hdfs://x/y/")) == "hdfs://x/y" and stores.shared_folder(Session("yarn", at="s3://z/1")) == "s3://z/1"
+    for master in ("spark://one:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            stores.shared_folder(Session(master))
+
+
+def test_parity_of_repeated_paths(spark):
+    side = lambda rows: spark.createDataFrame(rows, "path string, content binary")
+    source = side([("a", b"1"), ("a", b"1"), ("b", b"1"), ("b", b"2"), ("c", None), ("d", b"1")])
+    artifact = side([("a", b"1"), ("a", b"1"), ("b", b"1"), ("b", b"2"), ("c", None), ("e", b"1")])
+    got = {r["path"]: tuple(r)[1:] for r in rules.content_parity(source, artifact).collect()}
+    assert got == {"a": (True, True, True), "b": (True, True, False), "c": (True, True, False), "d": (True, False, False), "e": (False, True, False)}
+
+
+def jpeg(orientation: int, order: str, offset: int = 8, entries: int = 1, tag: int = 0x0112, before: bytes = b"", cut: int = 0) -> bytes:
+    import struct
+
+    mark = {"<": b"II", ">": b"MM"}[order]
+    tiff = mark + struct.pack(order + "HI", 42, offset) + b"\0" * (offset - 8 if offset < 99 else 0) + struct.pack(order + "H", entries) + struct.pack(order + "HHIHH", tag, 3, 1, orientation, 0) + b"\0" * 4
+    body = b"Exif\0\0" + tiff[: len(tiff) - cut]
+    return b"\xff\xd8" + before + b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda\0\2"
+
+
+def test_orientation_of_jpeg_headers(spark):
+    other = b"\xff\xe1\0\x0aother\0\0\0"
+    cases = [(jpeg(i, order), i) for i in range(1, 9) for order in "<>"]
+    cases += [(jpeg(3, ">", before=other * 40), 3), (jpeg(6, "<", offset=20), 6), (jpeg(0, "<"), None), (jpeg(9, ">"), None), (jpeg(5, "<", offset=70_000), None), (jpeg(5, ">", offset=50), 5), (jpeg(5, "<", tag=0x0113), None), (jpeg(5, ">", entries=0), None)]
+    cases += [(jpeg(5, "<", entries=60_000), 5), (jpeg(5, "<", cut=12), None), (b"", None), (None, None), (b"\xff\xd8", None), (b"\x89PNG", None), (b"\xff\xd8\xff\xda" + jpeg(2, "<")[2:], None), (b"\xff\xd8" + b"\xff\xe1\0\0" * 9, None)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, content binary")
+    got = {r["i"]: r["orientation"] for r in binary.with_exif_orientation(df, F.col("content")).collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
+
+
+def test_sizes_within_a_bound(spark):
+    df = spark.createDataFrame([(8000, 2000, 6), (100, 4096, 1), (5, 9000, None), (0, 0, 3)], "w int, h int, o int").filter("w > 0")
+    w, h = binary.displayed_size(F.col("w"), F.col("h"), F.col("o"))
+    small, large = binary.bounded_size(w, h, 4096), binary.bounded_size(w, h, 10_000, enlarge=True)
+    assert [tuple(r) for r in df.select(w, h, *small, *large).collect()] == [(2000, 8000, 1024, 4096, 2500, 10_000), (100, 4096, 100, 4096, 244, 10_000), (5, 9000, 2, 4096, 6, 10_000)]
+
+
+@pytest.mark.parametrize(("w", "h", "tw", "th"), [(7, 5, 3, 2), (4, 4, 4, 4), (3, 2, 8, 9), (10, 1, 1, 1), (5, 6, 7, 4)])
+def test_resampling_keeps_mass_and_matches_plain_overlaps(spark, w, h, tw, th):
+    rng = np.random.default_rng(w * h)
+    image = rng.normal(0, 10, (h, w))
+    rows = [(x, y, float(image[y, x])) for y in range(h) for x in range(w)] + [(w, 0, 99.0), (-1, 0, 99.0)]
+    df = spark.createDataFrame(rows, "x int, y int, v double").withColumns({c: F.lit(v) for c, v in (("w", w), ("h", h), ("tw", tw), ("th", th))})
+    out = images.resample(df, [], *[F.col(c) for c in ("x", "y", "w", "h", "tw", "th")], {"v": F.col("v")}).collect()
+    share = lambda n, m: np.array([[max(0.0, min(i + 1, (j + 1) * m / n) - max(i, j * m / n)) for j in range(n)] for i in range(m)])
+    want = share(h, th) @ image @ share(w, tw).T
+    got = np.full((th, tw), np.nan)
+    for r in out:
+        got[r["y"], r["x"]] = r["v"]
+        assert abs(r["coverage"] - 1) < 1e-9
+    assert np.allclose(got, want, atol=1e-9) and abs(got.sum() - image.sum() * tw * th / (w * h)) < 1e-9
+
+
+def test_draw_order_and_compositing_of_one_hot_view(spark, request):
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").when(F.col("id") < 2990, F.concat(F.lit("v"), (F.col("id") % 40).cast("string"))).alias("view"), (F.col("id") * 7919 % 50).cast("double").alias("depth"), "id", (F.col("id") % 10 / 1000).alias("a"), (F.col("id") % 17).cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as on tables that fill their partitions
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    cut = compositing.in_blocks(df, ["view"], ["id"]).groupBy("_block").count().collect()
+    assert len(cut) > 1 and max(r["count"] for r in cut) < 2500
+    w = Window.partitionBy("view").orderBy(F.desc("depth"), "id")
+    got = {tuple(r) for r in compositing.depth_order(df, ["view"], F.col("depth"), "id").select("id", "draw_order").collect()}
+    assert got == {tuple(r) for r in df.select("id", F.row_number().over(w) - 1).collect()}
+    stacks = {}
+    for r in df.orderBy("id").collect():
+        n, light, color, cover = stacks.get(r["view"], (0, 1.0, 0.0, 0.0))
+        stacks[r["view"]] = n + 1, light * (1 - r["a"]), color + light * r["a"] * r["v"], cover + light * r["a"]
+    for r in compositing.composite(df, ["view"], ["id"], F.col("a"), F.col("v")).collect():
+        n, _, color, cover = stacks[r["view"]]
+        assert r["layers"] == n and abs(r["color"] - color) < 1e-9 and abs(r["coverage"] - cover) < 1e-9
 
 
 def test_artifact_rules_over_listings(spark, site, tmp_path):
