@@ -17,15 +17,19 @@ texts are compared with lines and blocks, licence texts also with whole texts.
 
 A file's own licence is that of its best line (``FALLBACK`` only if no other line or
 block names a licence); or of the block whose template has
-most words, if these are more than the line's template has; or of its whole text
-if it is a licence file.  Directories take the licence of the licence file in them (best
+most words, if these are more than the line's template has.  A text that is a licence
+as a whole (near to it by cosine and length, and clearly nearer than to any other)
+has that one, whatever its lines say.  Directories take the licence of the licence file in them (best
 score, then least path); a file without a licence of its own inherits from the
 nearest ancestor directory that has one.  The join runs over distinct
 directories and their ancestors, then over files by directory, so files of one
 large directory add rows to the probe side only.
 
 Defined cases: null and empty texts have no licence; a null path is at the root;
-ties between templates go to the least name; repeated rows get equal results.
+ties between templates go to the least name; repeated rows get equal results; an
+empty table gives no rows; a very long text is held whole in one task, with some
+tens of bytes per word; only key, path and text are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -63,6 +67,8 @@ FALLBACK = "Proprietary"
 LINE_COSINE = 0.75
 BLOCK_COSINE = 0.75
 FILE_COSINE = 0.6
+#: Below the first, a whole text must be nearer to its licence than to any other by the second; and it has at most so many times the template's words, or fewer.
+FILE_CLEAR, FILE_MARGIN, FILE_LENGTHS = 0.95, 0.05, 1.5
 LICENSE_NAME = r"(?i)^(licen[sc]e|copying|notice)(\.[a-z]+)?$"
 MARKS = [b"dnl", b"rem"]  # comment marks made of letters
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -190,6 +196,7 @@ class Matcher:
                     self.names.append(name)
                     self.sizes.append(len(words_of(text.encode())))
                     vectors.append(vector / norm)
+        self.licence = np.array([sorted(set(self.names)).index(name) for name in self.names])
         #: What one occurrence of a word adds to the product with each template.
         self.gain = np.array(vectors).reshape(len(vectors), len(self.words)).T * self.idf[:, None]
 
@@ -198,6 +205,10 @@ class Matcher:
 
     def best_size(self, unit: bytes) -> tuple[str | None, float, int]:
         """Name and cosine of the nearest template, and how many words it has."""
+        return self.nearest(unit)[:3]
+
+    def nearest(self, unit: bytes) -> tuple[str | None, float, int, float]:
+        """``best_size``, and the cosine of the nearest template of another licence."""
         counts = Counter(words_of(unit))
         at, times, strange = [], [], 0
         for w, n in counts.items():
@@ -208,15 +219,28 @@ class Matcher:
                 at.append(i)
                 times.append(n)
         if not at or not self.names:
-            return None, 0.0, 0
+            return None, 0.0, 0, 0.0
         n = np.array(times, float)
         norm = math.sqrt(((n * self.idf[at]) ** 2).sum() + strange * self.unknown**2)
         if not norm:
-            return None, 0.0, 0
+            return None, 0.0, 0, 0.0
         scores = n @ self.gain[at] / norm
         top = float(scores.max())
         i = int(np.flatnonzero(scores > top - 1e-12)[0])
-        return (self.names[i], top, self.sizes[i]) if top > 0 else (None, 0.0, 0)
+        others = scores[self.licence != self.licence[i]]
+        return (self.names[i], top, self.sizes[i], float(others.max(initial=0.0))) if top > 0 else (None, 0.0, 0, 0.0)
+
+    def whole_text(self, unit: bytes, cosine: float) -> tuple[str | None, float]:
+        """Name and cosine of the licence that a text is as a whole.
+
+        The name is null below ``cosine``, where the text is much longer or shorter
+        than the licence, and where it is about as near to another licence, as
+        legal texts without a template are to several.
+        """
+        name, top, size, second = self.nearest(unit)
+        many = len(words_of(unit))
+        same = size <= FILE_LENGTHS * many and many <= FILE_LENGTHS * size
+        return (name if top >= cosine and same and (top >= FILE_CLEAR or top - second >= FILE_MARGIN) else None), top
 
     def bounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For words numbered as in ``words`` (-1: any other): most that one adds to a product, least it adds to the squared norm."""
@@ -313,8 +337,8 @@ def scan(
                         found[r] = name, score, size
                 for r in np.unique(row_of[line_of[word >= 0]]).tolist():
                     line_name, line_top, _ = found.get(r, (None, 0.0, 0))
-                    file_name, file_top = whole.best(data[own[r] : own[r + 1]].tobytes())
-                    out[lo + r] = (line_name, round(line_top, 6), file_name if file_top >= file_cosine else None, round(file_top, 6))
+                    file_name, file_top = whole.whole_text(data[own[r] : own[r + 1]].tobytes(), file_cosine)
+                    out[lo + r] = (line_name, round(line_top, 6), file_name, round(file_top, 6))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64()) * 2, strict=True))], names=["key", "path", "line_license", "line_score", "file_license", "file_score"])
 
@@ -325,7 +349,8 @@ def scan(
 def inherit(files: DataFrame) -> DataFrame:
     """``files`` (path, line_license, line_score, file_license, file_score, ...) with license, license_score and license_from.
 
-    license_from: header (a line), file (the whole text), inherited, or none.
+    license_from: header (a line or block), file (the whole text), inherited, or none.
+    A text that is a licence as a whole has that one, whatever its lines name.
     """
     folder = F.regexp_extract(F.coalesce("path", F.lit("")), r"^(.*)/[^/]*$", 1)
     name = F.regexp_extract(F.coalesce("path", F.lit("")), r"([^/]*)$", 1)
@@ -338,7 +363,7 @@ def inherit(files: DataFrame) -> DataFrame:
     above = dirs.select("__dir", F.posexplode(steps).alias("__depth", "__above")).join(best, "__above")
     nearest = above.groupBy("__dir").agg(F.max_by("__best", "__depth").alias("__best"))
     joined = placed.join(nearest, "__dir", "left")
-    own = F.when(F.col("line_license").isNotNull(), F.struct("line_license", F.col("line_score"), F.lit("header"))).when(F.col("file_license").isNotNull(), F.struct(F.col("file_license").alias("line_license"), F.col("file_score").alias("line_score"), F.lit("file")))
+    own = F.when(F.col("line_license").isNotNull() & F.coalesce(F.col("file_license") == F.col("line_license"), F.lit(True)), F.struct("line_license", F.col("line_score"), F.lit("header"))).when(F.col("file_license").isNotNull(), F.struct(F.col("file_license").alias("line_license"), F.col("file_score").alias("line_score"), F.lit("file")))
     picked = F.coalesce(own, F.when(F.col("__best").isNotNull(), F.struct(F.col("__best.__license").alias("line_license"), F.col("__best.__score").alias("line_score"), F.lit("inherited"))), F.struct(F.lit(None).cast("string").alias("line_license"), F.lit(0.0).alias("line_score"), F.lit("none")))
     return joined.withColumn("__picked", picked).select(*files.columns, F.col("__picked").getField("line_license").alias("license"), F.col("__picked").getField("line_score").alias("license_score"), F.col("__picked").getField("col3").alias("license_from"))
 

@@ -1,6 +1,7 @@
 """Methods and pipeline stages against plain Python versions of them."""
 
 import math
+import pathlib
 import re
 from collections import Counter, defaultdict
 
@@ -150,6 +151,59 @@ def test_wrapped_headers_and_licence_texts_are_found(spark):
     assert all(got[1000 + i]["line_license"] is None and got[1000 + i]["file_license"] is None for i in range(400))
 
 
+COMMON = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def common_licences():
+    folder = pathlib.Path("/usr/share/common-licenses")
+    found = {name: (folder / name).read_text(errors="replace") for name in COMMON if (folder / name).exists()}
+    if not found:
+        pytest.skip("no licence files on this machine")
+    return found
+
+
+@pytest.mark.parametrize("without", [[], ["Artistic-1.0", "GFDL-1.2", "GFDL-1.3", "MPL-1.1"]])
+def test_no_licence_file_has_a_false_name(spark, without):
+    """Each is what it is; without its template it is nothing, not its nearest neighbour."""
+    texts = {k: v for k, v in license_scan.TEXTS.items() if k not in without}
+    plain = [(1000 + i, f"d/file{i}.txt", f"plain text number {i} of this or that program") for i in range(300)]
+    files = common_licences()
+    rows = [(i, f"{name}/LICENSE", text) for i, (name, text) in enumerate(sorted(files.items()))] + plain
+    docs = spark.createDataFrame(rows, "k long, p string, text string")
+    found = license_scan.scan(docs, "k", path_col="p", templates=license_scan.TEMPLATES, passages=license_scan.PASSAGES, texts=texts)
+    got = {r["path"].split("/")[0]: (r["file_license"], r["license"]) for r in license_scan.inherit(found).filter("key < 1000").collect()}
+    for name in files:
+        want = COMMON[name]
+        if want in without:
+            assert got[name][0] is None, name
+        else:
+            assert got[name] == (want, want), name
+
+
+def test_blocks_and_whole_texts_match_plain_cosines(spark):
+    """The whole-text name and score of every row, by plain dictionaries, margins and lengths."""
+    files = common_licences()
+    texts = dict(enumerate([*files.values(), *[t[: len(t) // 3] for t in files.values()], *[t + " filler words" * 400 for t in files.values()], "nothing", ""]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["key"]: r for r in license_scan.scan(docs, "doc_id").collect()}
+    split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", t.encode().lower())
+    templates = [(name, split(t)) for part in (license_scan.TEMPLATES, license_scan.PASSAGES, license_scan.TEXTS) for name, ts in part.items() for t in ts]
+    words = {i: Counter(split(t)) for i, t in texts.items()}
+    known = {w for _, t in templates for w in t} | set(license_scan.MARKS)
+    idf = {w: 0.0 if w in license_scan.MARKS else math.log((len(texts) + 1) / (sum(w in x for x in words.values()) + 1)) + 1 for w in known}
+    strange = math.log(len(texts) + 1) + 1
+    length = lambda c: math.sqrt(sum((n * idf.get(w, strange)) ** 2 for w, n in c.items()))
+    vectors = [(name, len(t), Counter(t)) for name, t in templates]
+    for i, own in words.items():
+        scores = sorted(((sum(n * c.get(w, 0) * idf.get(w, strange) ** 2 for w, n in own.items()) / (length(own) * length(c)) if own else 0.0, name, size) for name, size, c in vectors), key=lambda x: -x[0])
+        top, name, size = scores[0]
+        second = max(s for s, other, _ in scores if other != name)
+        many = sum(own.values())
+        named = top >= license_scan.FILE_COSINE and 2 * size <= 3 * many and 2 * many <= 3 * size and (top >= 0.95 or top - second >= 0.05)
+        assert abs(got[i]["file_score"] - top) < 2e-6 and got[i]["file_license"] == (name if named else None), i
+    assert sum(r["file_license"] is not None for r in got.values()) >= len(files)
+
+
 def test_licence_inheritance_takes_the_nearest_ancestor(spark):
     rows = [
         ("a/LICENSE", "MIT", 0.9, None, 0.1),
