@@ -64,8 +64,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Per language the learned text, of at most ``language_bytes``."""
     known = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(F.col("lang").isNotNull() & (fold(F.col("id"), folds) != held_out)).withColumn("rank", F.xxhash64("id", "lang"))
     # Of a language's rows, some OVERSAMPLING times as many as are wanted, whatever the size of the table.
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
-    drawn = known.join(counts, "lang").filter(F.pmod("rank", F.lit(1 << 40)) * F.col("many") < OVERSAMPLING * rows * float(1 << 40))
+    # The counts are a row per language, as the model is, and are met where the texts are read.
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).collect()
+    if not counts:
+        return {}
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, OVERSAMPLING * rows / r["many"]))]), F.col("lang"))
+    drawn = known.filter(F.pmod("rank", F.lit(1 << 40)) < share * float(1 << 40))
     named = drawn.select("lang", F.encode(F.substring(letters(F.substring("text", 1, 2 * row_bytes)), 1, row_bytes), "utf-8").alias("learned"), "rank").filter(F.octet_length("learned") > 0)
     distinct = named.groupBy("lang", "learned").agg(F.min("rank").alias("rank"))
     few = distinct.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "learned"))).filter(F.col("nth") <= rows)
