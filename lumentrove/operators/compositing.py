@@ -6,12 +6,10 @@ definitions and claim no parity beyond that.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stores import shared_folder
+from .ranking import in_blocks, numbered
 
 # The documented range of learned opacity.
 LEARNED_LOW, LEARNED_HIGH = 0.005, 0.995
@@ -23,11 +21,6 @@ def transmittance(df: DataFrame, keys: list[str], order: list[str], alpha: Colum
     return df.withColumn(out, F.coalesce(F.product(F.lit(1.0) - alpha).over(before), F.lit(1.0)))
 
 
-def in_blocks(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """``df`` cut by ranges of (keys, order), with ``_block``: a later row of a key has no smaller block, and no key is bound to one task."""
-    return df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id())
-
-
 def composite(df: DataFrame, keys: list[str], order: list[str], alpha: Column, value: Column) -> DataFrame:
     """(keys, layers, color, coverage) of alpha layers, front to back.
 
@@ -96,23 +89,6 @@ def ssim(df: DataFrame, keys: list[str], row: Column, column: Column, expected:
 
 
 def depth_order(df: DataFrame, keys: list[str], depth: Column, tie: str) -> DataFrame:
-    """Adds ``draw_order`` (from 0, far to near) within each view.
-
-    Rows are cut by ranges of (view, depth, tie) and numbered within each block; the
-    counts of a view's earlier blocks, a row each, give its first number.  The cut
-    rows are written to the shared folder once, as both the counts and the
-    numbering read them, so no task holds a whole view.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/depth-order-{uuid.uuid4().hex}"
-    row = df.select(F.struct(*df.columns).alias("row"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], depth.alias("_depth"), F.col(tie).alias("_tie"))
-    view = [f"_k{i}" for i in range(len(keys))]
-    in_blocks(row, view, [F.col("_depth").desc(), "_tie"]).write.parquet(path)
-    cut = spark.read.parquet(path)
-    earlier = Window.partitionBy(*view).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = cut.groupBy(*view, "_block").agg(F.count(F.lit(1)).alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).filter("_base > 0").drop("_n")
-    nth = F.row_number().over(Window.partitionBy(*view, "_block").orderBy(F.col("_depth").desc(), "_tie")) - 1
-    numbered = cut.withColumn("_nth", nth)
-    same = [numbered[c].eqNullSafe(bases[c]) for c in (*view, "_block")]
-    joined = numbered.join(bases, same, "left").select(numbered["row"], (F.col("_nth") + F.coalesce("_base", F.lit(0))).cast("int").alias("draw_order"))
-    return joined.select("row.*", "draw_order")
+    """Adds ``draw_order`` (from 0, far to near) within each view; no task holds a whole view."""
+    order = [(depth, True), (F.col(tie), False)]
+    return numbered(df, keys, order, "draw_order").withColumn("draw_order", F.col("draw_order").cast("int"))

@@ -654,4 +654,4 @@ def depth_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "piece", "vec_id", "draw_order")
 
 
-from . import releases  # noqa: E402, F401  (registers its queries here)
+from . import painting, releases  # noqa: E402, F401  (they register their queries here)
