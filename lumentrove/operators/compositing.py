@@ -6,13 +6,18 @@ definitions and claim no parity beyond that.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .ranking import in_blocks, numbered
 
 # The documented range of learned opacity.
 LEARNED_LOW, LEARNED_HIGH = 0.005, 0.995
+# The shares of red, green and blue in lightness (ITU-R BT.709).
+LIGHTNESS = (0.2126, 0.7152, 0.0722)
 
 
 def transmittance(df: DataFrame, keys: list[str], order: list[str], alpha: Column, out: str = "transmittance") -> DataFrame:
@@ -88,6 +93,63 @@ def ssim(df: DataFrame, keys: list[str], row: Column, column: Column, expected:
     return sums.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.avg(value).alias("ssim"))
 
 
+# Side and spread of the published index's window.
+SSIM_SIDE, SSIM_SIGMA = 11, 1.5
+#: Side of the squares in which tasks hold the windows of an image.
+SSIM_TILE = 256
+
+
+def ssim_windowed(df: DataFrame, keys: list[str], row: Column, column: Column, expected: Column, measured: Column, peak: float = 255.0, side: int = SSIM_SIDE, sigma: float = SSIM_SIGMA, tile: int = SSIM_TILE) -> DataFrame:
+    """(keys, windows, ssim): the structural similarity index (Wang et al., 2004) with its Gaussian window, averaged over all windows.
+
+    A window starts at every pixel from which it lies whole inside the image; one that
+    misses a pixel, or meets a null on either side, does not count.  An image without
+    a window has a null ``ssim``.  A pixel given twice is the mean.
+
+    Tasks work on tiles of ``tile`` windows a side with the ``side - 1`` rows and
+    columns behind them, so a task holds one tile, whatever the image's size, and
+    hands on a count and a sum.
+    """
+    rim = side - 1
+    weights = np.exp(-((np.arange(side) - rim / 2) ** 2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+    c1, c2 = (SSIM_K1 * peak) ** 2, (SSIM_K2 * peak) ** 2
+    pixels = df.select(*keys, row.cast("long").alias("_r"), column.cast("long").alias("_c"), expected.cast("double").alias("_x"), measured.cast("double").alias("_y"))
+    near = lambda at: F.explode(F.sequence(F.floor((at - rim) / tile), F.floor(at / tile)))
+    copies = pixels.filter("_r is not null and _c is not null").withColumn("_tr", near(F.col("_r"))).withColumn("_tc", near(F.col("_c")))
+    # Tiles are in place before copies of a pixel are joined, so that the join needs no shuffle of its own.
+    once = copies.repartition(*keys, "_tr", "_tc").groupBy(*keys, "_tr", "_tc", "_r", "_c").agg(F.avg("_x").alias("_x"), F.avg("_y").alias("_y"))
+    kinds = pixels.schema
+    out = StructType([kinds[k] for k in keys]).add("_n", "long").add("_s", "double")
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        at = tuple(frame[own].to_numpy() - int(frame[t].iat[0]) * tile for own, t in (("_r", "_tr"), ("_c", "_tc")))
+        x, y = np.full((2, tile + rim, tile + rim), np.nan)
+        x[at], y[at] = frame["_x"].to_numpy(dtype=float), frame["_y"].to_numpy(dtype=float)
+        moments = np.stack([x, y, x * x, y * y, x * y])
+        moments = sum(w * moments[:, i : i + tile] for i, w in enumerate(weights))
+        mx, my, mxx, myy, mxy = sum(w * moments[:, :, i : i + tile] for i, w in enumerate(weights))
+        value = ((2 * mx * my + c1) * (2 * (mxy - mx * my) + c2)) / ((mx * mx + my * my + c1) * (mxx - mx * mx + myy - my * my + c2))
+        there = ~np.isnan(value)
+        made = frame.iloc[[0]][keys].copy()
+        made["_n"], made["_s"] = int(there.sum()), float(value[there].sum())
+        return made
+
+    found = once.groupBy(*keys, "_tr", "_tc").applyInPandas(solve, out)
+    return found.groupBy(*keys).agg(F.sum("_n").alias("windows"), (F.sum("_s") / F.when(F.sum("_n") > 0, F.sum("_n"))).alias("ssim"))
+
+
+def training_colour(red: Column, green: Column, blue: Column, progress: Column, switch: Column) -> tuple[Column, Column, Column]:
+    """What a run is trained on: the lightness in all three channels before the selected point of its progress, and the colours from there on.
+
+    Without a point (null, or 0 or less) it is the colours throughout.  Measures of the
+    result take the colours themselves.
+    """
+    shade = sum(c * F.lit(w) for c, w in zip((red, green, blue), LIGHTNESS, strict=True))
+    under = F.coalesce(progress < switch, F.lit(False))
+    return tuple(F.when(under, shade).otherwise(c) for c in (red, green, blue))
+
+
 def depth_order(df: DataFrame, keys: list[str], depth: Column, tie: str) -> DataFrame:
     """Adds ``draw_order`` (from 0, far to near) within each view; no task holds a whole view."""
     order = [(depth, True), (F.col(tie), False)]

@@ -66,3 +66,24 @@ def best_rows(df: DataFrame, keys: list[str], score: Column, ties: list[Column],
     met = rows.join(own, [F.col(k).eqNullSafe(F.col(f"_own{k}")) for k in key])
     ranked = numbered(met.filter("_step = _cut"), key, [(F.col("_score"), True), *[(F.col(t), False) for t in tie]], "_place")
     return met.filter("_step > _cut").select("row.*").unionByName(ranked.filter("_place < _left").select("row.*"))
+
+
+def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
+    """Adds ``out``: the last ``value`` that is not null at or before each row, in ascending ``order`` within each key.
+
+    Rows are cut by ranges, as for ``numbered``: a block hands on the last value it
+    has, a row each, so a key of any number of rows is carried on by several tasks.
+    Rows of the same place in the order share a block, and which goes first is not
+    defined.  Null keys are a key of their own; before the first value ``out`` is null.
+    """
+    key, by = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    row = df.select(F.struct(*df.columns).alias("row"), *[F.col(k).alias(n) for k, n in zip(keys, key, strict=True)], *[c.alias(n) for c, n in zip(order, by, strict=True)], value.alias("_v"))
+    cut = stored(in_blocks(row, key, by), "carried")
+    last = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*by)))
+    ends = cut.groupBy(*key, "_block").agg(last.alias("_end"))
+    earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a few blocks of a key
+    handed = ends.select(*key, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_handed"))
+    until = Window.partitionBy(*key, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    inside = cut.withColumn("_own", F.last("_v", ignorenulls=True).over(until))
+    same = [inside[c].eqNullSafe(handed[c]) for c in (*key, "_block")]
+    return inside.join(handed, same).select(inside["row"], F.coalesce("_own", "_handed").alias(out)).select("row.*", out)

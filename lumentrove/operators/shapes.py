@@ -16,6 +16,10 @@ from .ranking import numbered
 #: The share of the way that each next ratio moves, the golden section.
 GOLDEN = 0.6180339887498949
 
+# The documented range of a stroke's long side over its short side, and what two families of strokes keep at least.
+ASPECT_LOW, ASPECT_HIGH = 1.0, 8.0
+ASPECT_FLOORS = {"ribbon": 2.2, "accent": 2.8}
+
 
 def quotas(total: Column, weights: list[Column]) -> Column:
     """Array of whole numbers that add up to ``total`` in proportion to ``weights``, by largest remainder; of equal remainders the first wins.
@@ -70,3 +74,27 @@ def tapered(width: Column, height: Column, ratio: Column, keep_area: bool = True
     """Long edge, short edge and height of a trapezoid in place of a rectangle; with ``keep_area`` it covers the rectangle's area, at the same aspect."""
     grown = F.sqrt(F.lit(2.0) / (F.lit(1.0) + ratio)) if keep_area else F.lit(1.0)
     return width * grown, width * grown * ratio, height * grown
+
+
+def stroke_size(long_side: Column, short_side: Column, family: Column, low: Column, high: Column, floors: Mapping[str, float] | None = None) -> tuple[Column, Column, Column]:
+    """Long side, short side and aspect of a brush stroke, its aspect held between ``low`` and ``high`` at the same area.
+
+    ``floors`` raise ``low`` for some families (``ASPECT_FLOORS`` for the documented
+    ones), but never above ``high``.  Limits below 1 are 1, null limits the default
+    ones, and a ``low`` above ``high`` is ``high``.  Sides that are null or not positive give nulls.
+    """
+    own = F.lit(ASPECT_LOW)
+    for name, least in (floors or {}).items():
+        own = F.when(family == name, F.lit(least)).otherwise(own)
+    most = F.greatest(F.lit(1.0), F.coalesce(high, F.lit(ASPECT_HIGH)))
+    least = F.least(most, F.greatest(F.lit(1.0), F.coalesce(low, F.lit(ASPECT_LOW)), own))
+    sound = (long_side > 0) & (short_side > 0)
+    aspect = F.when(sound, F.greatest(least, F.least(most, long_side / short_side)))
+    area = long_side * short_side
+    return F.sqrt(area * aspect), F.sqrt(area / aspect), aspect
+
+
+def stroke_width(short_side: Column, start: Column, end: Column, learned: Column, along: Column) -> Column:
+    """Width of a stroke a share ``along`` of its way: from the width times ``start`` to the width times ``end``, by the ``learned`` part (0 to 1) of that taper; equal ends give none."""
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return short_side * F.when(start == end, start).otherwise(start + (end - start) * unit(learned) * unit(along))

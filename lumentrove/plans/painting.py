@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import growth, regions, shapes
+from ..operators import compositing, growth, layers, regions, results, shapes
 from ..streaming import progress
 from .queries import chunks, chunks_sql, query, r6, rounded_all, table
 
@@ -109,3 +109,83 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     goal = (500 + F.get_json_object("props", "$.k").cast("double")) * 10
     out = progress.run_progress(table(spark, sf_dir, "events"), "user_id", "ts", F.col("event_id"), {"quality": F.col("value")}, goal, "45 minutes")
     return out.withColumns({"speed": r6("speed"), "progress": r6("progress")})
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, ts, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN ['reset', 'clear', 'image-replaced'][event_id % 3 + 1] ELSE event_type END AS kind, ['planar', 'rectangle', 'brush', 'virtual-camera', 'retired'][event_id % 5 + 1] AS algorithm FROM events),
+b AS (SELECT event_id, user_id, kind, nullif(last_value(CASE WHEN kind = 'completed' THEN algorithm WHEN kind IN ('reset', 'clear', 'image-replaced') THEN '' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id), '') AS result_algorithm FROM e)
+SELECT *, coalesce(result_algorithm <> 'retired', false) AS image_export, coalesce(result_algorithm IN ('planar', 'virtual-camera'), false) AS point_export, coalesce(result_algorithm = 'virtual-camera', false) AS tilt FROM b
+""")
+def export_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases are completed runs, errors end them, and all events ask what may be exported."""
+    named = lambda names, by: F.get(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % by).cast("int"))
+    kind = F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", named(results.ENDS, 3)).otherwise(F.col("event_type"))
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", kind.alias("kind"), named((*results.IMAGE_EXPORT, "retired"), 5).alias("algorithm"))
+    return results.eligibility(e, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("kind"), F.col("algorithm")).drop("ts", "algorithm")
+
+
+PARENT_SQL = "CASE WHEN event_id % 1000 > 0 THEN event_id - 1 - event_id % 7 END"
+
+
+@query(f"""
+WITH RECURSIVE s AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 AND event_id % 5 > 0 THEN event_id // 7 % 9 END AS own, {PARENT_SQL} AS parent FROM events),
+f AS (
+  SELECT event_id, own AS paint_layer FROM s WHERE own IS NOT NULL
+  UNION ALL
+  SELECT s.event_id, f.paint_layer FROM f JOIN s ON s.parent = f.event_id AND s.own IS NULL
+)
+SELECT event_id, own, parent, f.paint_layer FROM s LEFT JOIN f USING (event_id)
+""")
+def inherited_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splats with parents of smaller ids; a few have a layer of their own."""
+    event = F.col("event_id")
+    own, parent = F.when((event % 7 == 0) & (event % 5 > 0), F.expr("event_id div 7") % 9), F.when(event % 1000 > 0, event - 1 - event % 7)
+    e = table(spark, sf_dir, "events").select("event_id", own.alias("own"), parent.alias("parent"))
+    return layers.inherited(e, "event_id", F.col("parent"), F.col("own"))
+
+
+@query(f"""
+WITH p AS {IMAGES_SQL},
+d AS (SELECT image, max(x) AS w, max(y) AS h FROM p GROUP BY image),
+s AS (SELECT event_id AS splat, event_id % (SELECT max(image) + 2 FROM d) AS image, event_id * 7 % 80 - 8 AS x0, event_id * 7 % 80 - 8 + event_id % 30 - 2 AS x1, event_id * 11 % 70 - 4 AS y0, event_id * 11 % 70 - 4 + event_id % 17 AS y1, value AS red, value + 1 AS green, event_id % 3 > 0 AS moved FROM events),
+c AS (SELECT splat, avg(v) AS red, avg(255 - v) AS green FROM s JOIN p ON s.image = p.image AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE moved GROUP BY splat)
+SELECT splat, image, round(coalesce(c.red, s.red), 6) + 0.0 AS red, round(coalesce(c.green, s.green), 6) + 0.0 AS green, c.splat IS NOT NULL AS repaired FROM s LEFT JOIN c USING (splat)
+""")
+def repaired_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are splats on the images, and one more without an image; two of three have moved forward."""
+    pixels, event = image_rows(spark, sf_dir), F.col("event_id")
+    images = pixels.agg((F.max("image") + 2).alias("images"))  # one row
+    e = table(spark, sf_dir, "events").join(F.broadcast(images))
+    left, top = event * 7 % 80 - 8, event * 11 % 70 - 4
+    splats = e.select(event.alias("splat"), (event % F.col("images")).alias("image"), left.alias("x0"), (left + event % 30 - 2).alias("x1"), top.alias("y0"), (top + event % 17).alias("y1"), F.col("value").alias("red"), (F.col("value") + 1).alias("green"), (event % 3 > 0).alias("moved"))
+    out = layers.repaired(splats, pixels, ["image"], "splat", F.col("moved"), tuple(F.col(c) for c in ("x0", "x1", "y0", "y1")), F.col("x"), F.col("y"), {"red": F.col("v"), "green": 255 - F.col("v")})
+    return out.select("splat", "image", *rounded_all(out, "red", "green"), "repaired")
+
+
+@query("""
+WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS a, 1.0::DOUBLE + l_discount * 100 AS b, CASE l_linenumber % 3 WHEN 0 THEN 'ribbon' WHEN 1 THEN 'accent' ELSE 'patch' END AS family, 1 + l_orderkey % 3 AS low, l_orderkey % 9 AS high, l_tax * 10 AS learned FROM lineitem),
+m AS (SELECT *, greatest(1, high)::DOUBLE AS most, CASE family WHEN 'ribbon' THEN 2.2 WHEN 'accent' THEN 2.8 ELSE 1 END::DOUBLE AS own FROM s),
+r AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN greatest(least(most, greatest(low, own)), least(most, a / b)) END AS ratio FROM m)
+SELECT l_orderkey, l_linenumber, family, round(sqrt(a * b * ratio), 6) + 0.0 AS long_side, round(sqrt(a * b / ratio), 6) + 0.0 AS short_side, round(ratio, 6) + 0.0 AS aspect, round(sqrt(a * b / ratio) * (0.4::DOUBLE + 0.6::DOUBLE * greatest(0, least(1, learned)) * 0.75), 6) + 0.0 AS width FROM r
+""")
+def brush_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines are strokes of three families; the width is that at three quarters of the way."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    family = F.when(line % 3 == 0, "ribbon").when(line % 3 == 1, "accent").otherwise("patch")
+    items = table(spark, sf_dir, "lineitem").withColumn("family", family)
+    sides = shapes.stroke_size(F.col("l_quantity").cast("double"), 1.0 + F.col("l_discount") * 100, F.col("family"), (1 + order % 3).cast("double"), (order % 9).cast("double"), shapes.ASPECT_FLOORS)
+    out = items.withColumns(dict(zip(("long_side", "short_side", "aspect"), sides, strict=True)))
+    out = out.withColumn("width", shapes.stroke_width(F.col("short_side"), F.lit(0.4), F.lit(1.0), F.col("l_tax") * 10, F.lit(0.75)))
+    return out.select("l_orderkey", "l_linenumber", "family", *rounded_all(out, "long_side", "short_side", "aspect", "width"))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, piece, v0 * 255 AS r, v1 * 255 AS g, v2 * 255 AS b, vec_id % 100 < 40 AS under FROM {chunks_sql(3)} AS e),
+t AS (SELECT *, 0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b AS shade FROM p)
+SELECT vec_id, piece, round(CASE WHEN under THEN shade ELSE r END, 6) + 0.0 AS red, round(CASE WHEN under THEN shade ELSE g END, 6) + 0.0 AS green, round(CASE WHEN under THEN shade ELSE b END, 6) + 0.0 AS blue FROM t
+""")
+def underpainting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colours on which a run of 100 steps, one for each embedding in turn, is trained; it begins with lightness for 40."""
+    p = chunks(spark, sf_dir, 3)
+    colours = compositing.training_colour(*[F.col(f"v{i}") * 255 for i in range(3)], (F.col("vec_id") % 100) / 100, F.lit(0.4))
+    return p.select("vec_id", "piece", *[r6(c).alias(n) for c, n in zip(colours, ("red", "green", "blue"), strict=True)])

@@ -304,15 +304,15 @@ def marker_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pool per user, in the form in which viewers send it: its cameras are the user's clicks, so some pools are empty."""
+    """A pool per user, in the form in which viewers send it: its cameras are all the user's events."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     camera = F.struct("event_id", F.struct(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 3 == 0, "front").otherwise("virtual").alias("kind"), (F.col("value") - 100).alias("pitch_degrees"), (F.col("k") - 50).alias("yaw_degrees"), (F.col("event_id") % 4).cast("double").alias("multiplicity")).alias("camera"))
-    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.when((F.col("event_type") == "click") & (F.col("user_id") % 4 > 0), camera))), lambda x: F.struct(*[x["camera"][c].alias(c) for c in ("id", "kind", "pitch_degrees", "yaw_degrees", "multiplicity")], F.create_map(F.lit("fov_degrees"), F.lit("40")).alias("intrinsics"))).alias("cameras"), F.min("event_id").cast("string").alias("active_camera_id"))
+    per = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(camera)), lambda x: F.struct(*[x["camera"][c].alias(c) for c in ("id", "kind", "pitch_degrees", "yaw_degrees", "multiplicity")], F.create_map(F.lit("fov_degrees"), F.lit("40")).alias("intrinsics"))).alias("cameras"), F.min("event_id").cast("string").alias("active_camera_id"))
     return per.select("user_id", "cameras", F.lit(RADIUS).alias("orbit_radius"), F.lit(45.0).alias("fov_degrees"), F.lit(16 / 9).alias("image_aspect"), F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)).alias("target"), "active_camera_id", F.lit(70.0).alias("max_angle_degrees"), (F.col("user_id") % 2 == 0).alias("sampling_enabled"))
 
 
 POOLS_SQL = """
-pc AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'front' ELSE 'virtual' END AS kind, printf('%.6f:%.6f', value - 100 + 0.0, (props->>'$.k')::DOUBLE - 50 + 0.0) AS angle_key, greatest(1, event_id % 4) AS m FROM events WHERE event_type = 'click' AND user_id % 4 > 0),
+pc AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'front' ELSE 'virtual' END AS kind, printf('%.6f:%.6f', value - 100 + 0.0, (props->>'$.k')::DOUBLE - 50 + 0.0) AS angle_key, greatest(1, event_id % 4) AS m FROM events),
 pm AS (SELECT user_id, angle_key, arg_min(kind, event_id) AS kind, sum(m)::BIGINT AS m FROM pc GROUP BY ALL),
 pu AS (SELECT user_id, min(event_id) AS first_id FROM events GROUP BY 1),
 pa AS (SELECT pu.user_id, first_id, bool_or(pc.event_id IS NOT NULL) AS active FROM pu LEFT JOIN pc ON pc.user_id = pu.user_id AND pc.event_id = first_id GROUP BY ALL),
@@ -612,6 +612,26 @@ def image_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "blocks", r6("ssim").alias("ssim"))
 
 
+GAUSSIAN_MOMENTS = ", ".join(f"sum(k.w * {v}) AS {n}" for n, v in (("mx", "{mx}"), ("my", "{my}"), ("mxx", "{mxx}"), ("myy", "{myy}"), ("mxy", "{mxy}")))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id // 64 AS image, vec_id % 64 AS r, piece AS c, round(v0 * 255) AS x, round(v0 * 255) + (vec_id * 7 + piece) % 5 - 2 AS y FROM {chunks_sql(1)} AS e),
+g AS (SELECT range AS i, exp(-(range - 5) * (range - 5) / 4.5::DOUBLE) AS w FROM range(11)),
+k AS (SELECT i, w / (SELECT sum(w) FROM g) AS w FROM g),
+a AS (SELECT image, r, c - i AS wc, {GAUSSIAN_MOMENTS.format(mx="x", my="y", mxx="x * x", myy="y * y", mxy="x * y")} FROM p, k GROUP BY ALL HAVING count(*) = 11),
+b AS (SELECT image, r - i AS wr, wc, {GAUSSIAN_MOMENTS.format(mx="mx", my="my", mxx="mxx", myy="myy", mxy="mxy")} FROM a, k GROUP BY ALL HAVING count(*) = 11),
+s AS (SELECT image, (2 * mx * my + 6.5025) * (2 * (mxy - mx * my) + 58.5225) / ((mx * mx + my * my + 6.5025) * (mxx - mx * mx + myy - my * my + 58.5225)) AS v FROM b)
+SELECT image, coalesce(windows, 0) AS windows, ssim FROM (SELECT DISTINCT image FROM p) AS d LEFT JOIN (SELECT image, count(*) AS windows, round(avg(v), 6) + 0.0 AS ssim FROM s GROUP BY 1) AS w USING (image)
+""")
+def image_similarity_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The images of ``image_similarity`` under a Gaussian window, in tiles of 24 windows, so that images have several."""
+    e = chunks(spark, sf_dir, 1).withColumn("image", F.expr("vec_id div 64"))
+    value = F.round(F.col("v0") * 255)
+    out = compositing.ssim_windowed(e, ["image"], F.col("vec_id") % 64, F.col("piece"), value, value + (F.col("vec_id") * 7 + F.col("piece")) % 5 - 2, tile=24)
+    return out.select("image", "windows", r6("ssim").alias("ssim"))
+
+
 def resampled_sql(scale: str) -> str:
     """Images of 64 embeddings, one way and the other: ``scale`` is the new long side."""
     return f"""
