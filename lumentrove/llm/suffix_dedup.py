@@ -9,15 +9,16 @@ also starts anywhere else in the corpus.  The result is exact.
    document that share an anchor, and a digest of the bytes they cover, its
    context.
 2. *Counting.*  Runs are counted by (anchor, context) and by anchor, combined in
-   the map tasks.  Anchors met once are done; runs whose whole context occurs
-   twice are repeated altogether and need no text.
-3. *Index.*  One copy of each remaining distinct context is cut from the texts
-   and dealt by anchor.  A task packs whole anchor groups into blocks of bounded
-   size and builds, per block, the suffix order, the Burrows-Wheeler transform
-   as runs, and samples (suffix, common prefix with its neighbour) at the runs'
-   two ends.  Between samples the length of the longest match elsewhere falls by
-   one per byte, so matching statistics stream from the samples alone, whose
-   number is that of the runs: few in a repetitive corpus.
+   the map tasks.  Anchors met once are done.
+3. *Index.*  One copy of each other distinct context is cut from the texts, with
+   the number of its copies, and dealt by anchor.  A task packs whole anchor groups
+   into blocks of bounded size and builds, per block, the suffix order, the
+   Burrows-Wheeler transform as runs, and samples (suffix, common prefix with its
+   neighbour) at the runs' two ends.  Copies of a context only lengthen runs, so
+   they enter as its count.  Between samples the length of the longest match
+   elsewhere falls by one per byte, so matching statistics stream from the samples
+   alone, whose number is that of the runs: few in a repetitive corpus.  What is
+   marked in a context is marked in all its copies, by a join on its digest.
 4. *Wide anchors*, whose group would outgrow the memory of a block (a passage
    that very many documents share in different surroundings), take another exact
    way: the 128-bit hashes of their windows are counted, combined in the map
@@ -194,8 +195,13 @@ def run_samples(symbols: np.ndarray, order: np.ndarray, ends: np.ndarray) -> tup
     return here, there, common
 
 
-def match_lengths(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the joined contexts (an end mark after each) the longest match that starts elsewhere; and the contexts' starts."""
+def match_lengths(contexts: list[bytes], copies: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the joined contexts (an end mark after each) the longest match that starts elsewhere; and the contexts' starts.
+
+    ``copies`` says how often each context occurs.  The suffixes of copies are
+    neighbours in the order and lengthen the runs in which one copy lies; what two
+    neighbours have in common there is the whole rest of the context.
+    """
     sizes = np.array([len(c) for c in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(starts[-1])
@@ -214,6 +220,9 @@ def match_lengths(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         last = np.maximum.accumulate(np.where(reach >= 0, places, -1))
         value = np.where(last >= 0, reach[np.maximum(last, 0)] - places, 0)
         best = np.maximum(best, value)
+    if copies is not None:
+        repeated = np.repeat(np.asarray(copies) > 1, sizes + 1)
+        best[repeated] = (ends - places)[repeated]
     return best, starts
 
 
@@ -224,53 +233,55 @@ def spans_at_least(values: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(turn[::2].tolist(), (turn[1::2] - 1).tolist(), strict=True))
 
 
-SPANS = "k1 long, k2 long, a long, b long"
+CONTEXT = ("anchor", "c1", "c2", "k1", "k2", "s", "m")
+MARKS = ", ".join(f"{c} long" for c in (*CONTEXT, "a", "b"))
 
 
-def _span_batch(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = zip(*found, strict=True) if found else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "a", "b"])
+def _mark_batch(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+    names = [*CONTEXT, "a", "b"]
+    cols = zip(*found, strict=True) if found else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
 
 def index_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of contexts whose anchor groups fit in a block."""
+    """Repeated spans (a, b) within contexts whose anchor groups fit in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
         size = 0
 
         def marks(rows: list[tuple]) -> pa.RecordBatch:
-            best, starts = match_lengths([r[5] for r in rows])
-            return _span_batch([(r[1], r[2], r[3] + x, r[3] + y + length) for r, at in zip(rows, starts.tolist(), strict=False) if r[6] == 1 for x, y in spans_at_least(best[at : at + r[4]], length)])
+            best, starts = match_lengths([r[-1] for r in rows], [r[6] for r in rows])
+            return _mark_batch([(*r[:7], x, y + length) for r, at in zip(rows, starts.tolist(), strict=False) for x, y in spans_at_least(best[at : at + r[7]], length)])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "k1", "k2", "s", "n", "context", "m")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*CONTEXT, "n", "context")), strict=True):
                 if size >= BLOCK_BYTES and row[0] != block[-1][0]:
                     if block:
                         yield marks(block)
                         block, size = [], 0
                 block.append(row)
-                size += len(row[5])
+                size += len(row[-1])
         if block:
             yield marks(block)
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, MARKS)
 
 
 # --- wide anchors ----------------------------------------------------------
 
 
 SWAP = np.roll(np.arange(256, dtype=np.uint8), 101) ^ np.uint8(0x5B)
-WINDOWS = "h1 long, h2 long, k1 long, k2 long, s long, w int, m long"
+WINDOWS = "h1 long, h2 long, w int, " + ", ".join(f"{c} long" for c in CONTEXT)
 
 
 def wide_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated spans of contexts of wide anchors, by counting the hashes of their windows."""
+    """Repeated spans (a, b) within contexts of wide anchors, by counting the hashes of their windows."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = kernels.raw_text(batch.column(4))
-            many = batch.column(3).to_numpy()
+            data, offsets = kernels.raw_text(batch.column(len(CONTEXT) + 1))
+            many = batch.column(len(CONTEXT)).to_numpy()
             for lo, hi in kernels.row_chunks(offsets, kernels.CHUNK_BYTES // 8):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 text = data[offsets[lo] : offsets[hi]]
@@ -279,22 +290,21 @@ def wide_marks(contexts: DataFrame, length: int) -> DataFrame:
                 at = np.repeat(own[:-1], count) + w
                 hashes = [kernels.spans_hash(kernels.prefix_sums(x), at, at + length).view(np.int64) for x in (text, SWAP[text])]
                 row = pa.array(np.repeat(np.arange(lo, hi), count))
-                k1, k2, s, m = (batch.column(c).take(row) for c in (0, 1, 2, 5))
-                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), k1, k2, s, pa.array(w.astype(np.int32)), m], names=["h1", "h2", "k1", "k2", "s", "w", "m"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), pa.array(w.astype(np.int32)), *[batch.column(c).take(row) for c in range(len(CONTEXT))]], names=["h1", "h2", "w", *CONTEXT])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k1, k2, s, places in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for *context, places in zip(*(batch.column(c).to_pylist() for c in (*CONTEXT, "places")), strict=True):
                 w = np.sort(np.array(places))
                 cut = np.flatnonzero(np.diff(w) > 1)
-                found += [(k1, k2, s + x, s + y + length) for x, y in zip(w[np.append(0, cut + 1)].tolist(), w[np.append(cut, len(w) - 1)].tolist(), strict=True)]
-            yield _span_batch(found)
+                found += [(*context, x, y + length) for x, y in zip(w[np.append(0, cut + 1)].tolist(), w[np.append(cut, len(w) - 1)].tolist(), strict=True)]
+            yield _mark_batch(found)
 
-    made = scratch.materialise(contexts.select("k1", "k2", "s", "n", "context", "m").mapInArrow(windows, WINDOWS), "suffix-windows")
-    twice = made.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("h1", "h2")
-    hits = made.filter("m = 1").join(twice, ["h1", "h2"], "left_semi")
-    return hits.groupBy("k1", "k2", "s").agg(F.collect_list("w").alias("places")).mapInArrow(spans, SPANS)  # bounded by a context's length
+    made = scratch.materialise(contexts.select(*CONTEXT, "n", "context").mapInArrow(windows, WINDOWS), "suffix-windows")
+    twice = made.groupBy("h1", "h2").agg(F.sum("m").alias("copies")).filter("copies > 1").select("h1", "h2")
+    hits = made.join(twice, ["h1", "h2"], "left_semi")
+    return hits.groupBy(*CONTEXT).agg(F.collect_list("w").alias("places")).mapInArrow(spans, MARKS)  # bounded by a context's length
 
 
 # --- the operator ----------------------------------------------------------
@@ -305,31 +315,33 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     runs = scratch.materialise(anchor_runs(rows, length, gram), "suffix-runs")
     # The longest run of an equal context is the same for all its copies, as are its windows.
     distinct = runs.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("m"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("s").alias("s"), F.first("n").alias("n"))
-    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("nd"), F.count_if(F.col("m") == 1).alias("ones"), F.max("m").alias("most")).filter("nd > 1 or most > 1")
-    shared = scratch.materialise(distinct.join(per_anchor, "anchor").select(*distinct.columns, "nd", "ones"), "suffix-shared")
-    whole = runs.join(shared.filter("m > 1").select("anchor", "c1", "c2"), ["anchor", "c1", "c2"], "left_semi").select("k1", "k2", F.col("s").alias("a"), (F.col("s") + F.col("n") + F.lit(length - 1)).alias("b"))
-    wanted = shared.filter("nd > 1 and ones > 0").groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "s", "n", "m", "nd")).alias("wanted"))  # bounded by the text's length
+    per_anchor = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("nd"), F.max("m").alias("most")).filter("nd > 1 or most > 1")
+    # Written, so that no second attempt of a task picks another copy than the first did.
+    shared = scratch.materialise(distinct.join(per_anchor, "anchor").select(*distinct.columns, "nd"), "suffix-shared")
+    wanted = shared.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "c1", "c2", "s", "n", "m", "nd")).alias("wanted"))  # bounded by the text's length
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("anchor", "k1", "k2", "s", "n", "context", "m", "nd")
-        kinds = dict(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True))
+        kinds = dict.fromkeys((*CONTEXT, "nd"), pa.int64()) | {"n": pa.int32(), "context": pa.binary()}
         for batch in batches:
             data, offsets = kernels.raw_text(batch.column(3))
             for i in range(batch.num_rows):
                 text = data[offsets[i] : offsets[i + 1]].tobytes()
                 asked = batch.column(2)[i].as_py()
                 k1, k2 = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                made = {c: [x[c] for x in asked] for c in ("anchor", "s", "n", "m", "nd")}
+                made = {c: [x[c] for x in asked] for c in ("anchor", "c1", "c2", "s", "n", "m", "nd")}
                 made |= {"k1": [k1] * len(asked), "k2": [k2] * len(asked), "context": [text[x["s"] : x["s"] + x["n"] + length - 1] for x in asked]}
-                yield pa.RecordBatch.from_arrays([pa.array(made[c], kinds[c]) for c in names], names=list(names))
+                yield pa.RecordBatch.from_arrays([pa.array(made[c], kind) for c, kind in kinds.items()], names=list(kinds))
 
     once = rows.select("k1", "k2", "text")
-    contexts = scratch.materialise(wanted.join(once, ["k1", "k2"]).select("k1", "k2", "wanted", "text").mapInArrow(cut, "anchor long, k1 long, k2 long, s long, n int, context binary, m long, nd long").dropDuplicates(["anchor", "k1", "k2", "s"]), "suffix-contexts")
+    contexts = scratch.materialise(wanted.join(once, ["k1", "k2"]).select("k1", "k2", "wanted", "text").mapInArrow(cut, ", ".join(f"{c} long" for c in (*CONTEXT, "nd")) + ", n int, context binary").dropDuplicates(["anchor", "k1", "k2", "s"]), "suffix-contexts")
     marked = index_marks(contexts.filter(F.col("nd") <= wide_contexts), length)
     wide = contexts.filter(F.col("nd") > wide_contexts)
     if not wide.isEmpty():
         marked = marked.union(wide_marks(wide, length))
-    return whole.union(marked)
+    marks = scratch.materialise(marked, "suffix-marks")
+    alone = marks.filter("m = 1").select("k1", "k2", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
+    copied = runs.join(marks.filter("m > 1").select("anchor", "c1", "c2", "a", "b"), ["anchor", "c1", "c2"]).select("k1", "k2", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
+    return alone.union(copied)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, wide_contexts: int = WIDE_CONTEXTS) -> DataFrame:

@@ -259,6 +259,18 @@ def test_match_lengths_are_the_longest_matches_elsewhere(contexts):
         assert best[starts[i] + j] == most
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.binary(min_size=1, max_size=40).map(lambda x: bytes(b & 1 for b in x)), st.integers(1, 3), min_size=1, max_size=4))
+def test_counted_copies_give_the_lengths_of_written_ones(copies):
+    best, starts = suffix_dedup.match_lengths(list(copies), list(copies.values()))
+    all_best, all_starts = suffix_dedup.match_lengths([c for c, many in copies.items() for _ in range(many)])
+    first = 0
+    for i, (context, many) in enumerate(copies.items()):
+        for at in all_starts[first : first + many]:
+            assert best[starts[i] : starts[i] + len(context)].tolist() == all_best[at : at + len(context)].tolist()
+        first += many
+
+
 def test_wide_anchors_give_the_same_spans(spark):
     rng = np.random.default_rng(3)
     passage = "".join(rng.choice(list("abcdefgh"), 90))
