@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import vectors as V
 from ..functions.scalars import EPSILON, MAX_ANGLE, clamp, finite, padded_id, to_degrees, to_radians
@@ -39,41 +45,43 @@ def fibonacci_poses(spark: SparkSession, count: float | None = COUNT, max_polar:
     return explode_poses(one, F.col("_count"), F.col("_cap")).drop("_count", "_cap")
 
 
-def spiral() -> Column:
-    """The default poses as a literal array: share of the cap's depth, and cosine and sine of the azimuth."""
-    turns = [0.0 if i == 0 else (i * GOLDEN_ANGLE) % (2 * math.pi) for i in range(COUNT)]
-    return F.array(*[F.struct(F.lit(i / (COUNT - 1)).alias("share"), F.lit(math.cos(t)).alias("c"), F.lit(math.sin(t)).alias("s")) for i, t in enumerate(turns)])
+#: The default poses: share of the cap's depth and azimuth.
+SPIRAL = tuple((i / (COUNT - 1), (i * GOLDEN_ANGLE) % (2 * math.pi)) for i in range(COUNT))
 
 
-def spiral_directions(least: Column) -> Column:
-    """Directions (x, y, z) of the default poses on a cap whose smallest cosine is ``least``."""
-
-    def one(p: Column) -> Column:
-        z = F.lit(1.0) - p["share"] * (F.lit(1.0) - least)
-        flat = F.sqrt(F.greatest(F.lit(0.0), F.lit(1.0) - z * z))
-        return F.struct((flat * p["c"]).alias("x"), (flat * p["s"]).alias("y"), z.alias("z"))
-
-    return F.transform(spiral(), one)
-
-
-def least_bound(directions: Column) -> Column:
-    """The radius below which a corner of the frame (_fx, _fy) leaves the margin in some direction.
+def corner_bound(lib: ModuleType, greatest: Callable, fx: Any, fy: Any, reach_x: Any, reach_y: Any, x: Any, y: Any, z: Any) -> Any:
+    """The radius below which a corner of the frame (fx, fy) leaves the margin in direction (x, y, z), as columns or as arrays.
 
     Of the four corners the one that comes nearest the camera decides for each sign of
     the offset along the up axis, and all four have one offset along the right axis.
     """
+    level = lib.sqrt(x * x + z * z)
+    across = fx * lib.abs(z) / (level * reach_x)
+    near_x, near_y = fx * x, fy * y
+    lean, rise = fx * x * y / level, fy * level
+    same, other = lib.abs(rise - lean) / reach_y, lib.abs(rise + lean) / reach_y
+    return greatest(greatest(across, same) + lib.abs(near_x + near_y), greatest(across, other) + lib.abs(near_x - near_y))
 
-    def step(most: Column, d: Column) -> Column:
-        level = F.sqrt(d["x"] * d["x"] + d["z"] * d["z"])
-        across = F.col("_fx") * F.abs(d["z"]) / (level * F.col("_reach_x"))
-        near_x, near_y = F.col("_fx") * d["x"], F.col("_fy") * d["y"]
-        lean, rise = F.col("_fx") * d["x"] * d["y"] / level, F.col("_fy") * level
-        same, other = F.abs(rise - lean) / F.col("_reach_y"), F.abs(rise + lean) / F.col("_reach_y")
-        return F.greatest(most, F.greatest(across, same) + F.abs(near_x + near_y), F.greatest(across, other) + F.abs(near_x - near_y))
 
+def least_bound(directions: Column) -> Column:
+    """The largest ``corner_bound`` of the frame (_fx, _fy) over an array of directions."""
+    step = lambda most, d: F.greatest(most, corner_bound(F, F.greatest, F.col("_fx"), F.col("_fy"), F.col("_reach_x"), F.col("_reach_y"), d["x"], d["y"], d["z"]))
     return F.aggregate(directions, F.lit(float("-inf")), step)
 
 
+@F.pandas_udf(DoubleType())
+def spiral_bound(fx: pd.Series, fy: pd.Series, reach_x: pd.Series, reach_y: pd.Series, least: pd.Series) -> pd.Series:
+    """The largest ``corner_bound`` over the default poses on a cap whose smallest cosine is ``least``, for a batch of frames at once."""
+    frame, least = [c.to_numpy() for c in (fx, fy, reach_x, reach_y)], least.to_numpy()
+    most = np.full(len(least), -np.inf)
+    with np.errstate(all="ignore"):
+        for share, turn in SPIRAL:
+            z = 1.0 - share * (1.0 - least)
+            flat = np.sqrt(np.maximum(0.0, 1.0 - z * z))
+            most = np.maximum(most, corner_bound(np, np.maximum, *frame, flat * math.cos(turn), flat * math.sin(turn), z))
+    return pd.Series(most)
+
+
 def pose_blocks(poses: DataFrame, blocks: int) -> DataFrame:
     """(directions): the caller's poses (pitch_degrees, yaw_degrees), held in the front cone, in ``blocks`` arrays."""
     posed = with_pose(poses.select(F.col("pitch_degrees").alias("_in_p"), F.col("yaw_degrees").alias("_in_y")), F.col("_in_p"), F.col("_in_y"), F.lit(1.0))
@@ -87,9 +95,9 @@ def fit_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Colum
     A corner's offset along the camera's right and up axes does not depend on
     the radius and its depth grows by one with it, so every pose and corner
     bounds the radius from below by a closed expression; the fit is the
-    largest bound, held between 1.001 and 32 half diagonals.  The default poses
-    are a literal array, bent for each row by its ``max_angle``, so a frame is
-    fitted where it is read, without join or shuffle.
+    largest bound, held between 1.001 and 32 half diagonals.  The default poses,
+    bent for each row by its ``max_angle``, are taken in numpy on whole batches of
+    frames, so a frame is fitted where it is read, without join or shuffle.
 
     ``poses`` (pitch_degrees, yaw_degrees) replaces them; an empty table counts
     as none given.  Tables of up to ``POSE_BLOCK`` poses reach the frames as one row;
@@ -107,7 +115,7 @@ def fit_radius(frames: DataFrame, keys: list[str], half_x: Column, half_y: Colum
     out = out.withColumn("_reach_x", F.col("_reach_y") * F.col("_aspect"))
     given = 0 if poses is None else poses.count()
     if not given:
-        bounded = out.withColumn("_r", least_bound(spiral_directions(F.col("_least"))))
+        bounded = out.withColumn("_r", spiral_bound("_fx", "_fy", "_reach_x", "_reach_y", "_least"))
     else:
         blocks = -(-given // POSE_BLOCK)
         table = pose_blocks(poses, blocks)

@@ -258,3 +258,15 @@ def test_session_stream_matches_the_batch_and_forgets_old_sessions(spark, tmp_pa
     assert states[-1] < max(states)
     closed = [r for r in found if r[5]]
     assert len(closed) == len({r[1] for r in closed})
+
+
+def test_default_poses_are_taken_in_batches(spark):
+    """No lambda is evaluated for each frame and pose, and the batches say what a table of the same poses says."""
+    frames = spark.range(25000).select("id", (F.col("id") % 97 / 40.0).alias("x"), (F.col("id") % 89 / 50.0).alias("y"))
+    fit = lambda f, p=None: poses.fit_radius(f, ["id"], F.col("x"), F.col("y"), F.lit(1280.0), F.lit(720.0), poses=p)
+    out = fit(frames)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["fit_radius"] for r in out.collect()}
+    some = {r["id"]: r["fit_radius"] for r in fit(frames.filter("id % 500 = 3"), poses.fibonacci_poses(spark)).collect()}
+    assert len(got) == 25000 and len(some) == 50
+    assert all(math.isclose(got[i], r, rel_tol=1e-9) for i, r in some.items())
