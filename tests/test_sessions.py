@@ -270,3 +270,13 @@ def test_default_poses_are_taken_in_batches(spark):
     some = {r["id"]: r["fit_radius"] for r in fit(frames.filter("id % 500 = 3"), poses.fibonacci_poses(spark)).collect()}
     assert len(got) == 25000 and len(some) == 50
     assert all(math.isclose(got[i], r, rel_tol=1e-9) for i, r in some.items())
+
+
+def test_canonical_radius_is_taken_in_batches(spark):
+    frames = spark.range(3000).select("id", (F.col("id") % 97 / 40.0).alias("x"), (F.col("id") % 89 / 50.0).alias("y"))
+    fit = lambda **more: poses.canonical_radius(frames, ["id"], F.col("x"), F.col("y"), **more)
+    out = fit()
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["fit_radius"] for r in out.collect()}
+    table = {r["id"]: r["fit_radius"] for r in fit(poses=poses.fibonacci_poses(spark)).collect()}
+    assert len(got) == 3000 and all(math.isclose(got[i], table[i], rel_tol=1e-9) for i in table)
