@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,29 +52,40 @@ def data_url_bytes(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("base64,")), F.try_to_binary(F.substring_index(url, "base64,", -1), F.lit("base64")))
 
 
+def walked(start: Column, step: Callable[[Column], Column], first: int, room: Column) -> Column:
+    """Where ``step`` leads from ``start``: ``first`` times, and where it has not ended then, as often again as the content has room for.
+
+    A place is negative once it is the last, so that what is left of the steps costs nothing.
+    """
+    onward = lambda at, _: F.when(at < 0, at).otherwise(step(at))
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(first)), start, onward)
+    rest = lambda at: F.aggregate(F.sequence(F.lit(1), room.cast("int") + 1), at, onward)
+    return once(near, lambda at: F.when(at < 0, at).otherwise(rest(at)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used: as the one element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def jpeg_frame(content: Column) -> Column:
     """STRUCT(height, width, components) of a JPEG's first frame header; null if there is none.
 
     The segments before it are skipped by their lengths: 64 at first, and where
     these do not reach it, as many more as the content has room for.
     """
-    start = F.struct(F.lit(2).alias("at"), F.lit(False).alias("done"))
-    byte = lambda at: F.conv(F.hex(F.substring(content, at + 1, F.lit(1))), 16, 10).try_cast("int")
+    byte = lambda at: F.hex(F.substring(content, at + 1, F.lit(1)))
     pair = lambda at: F.conv(F.hex(F.substring(content, at + 1, F.lit(2))), 16, 10).try_cast("int")
 
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
+    def step(at: Column) -> Column:
         marker = byte(at + 1)
-        frame = marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
-        stop = state["done"] | F.coalesce(frame, F.lit(True))
-        return F.struct(F.when(stop, at).otherwise(at + 2 + F.coalesce(pair(at + 2), F.lit(0))).alias("at"), stop.alias("done"))
+        frame = F.startswith(marker, F.lit("C")) & ~marker.isin("C4", "C8", "CC")
+        return F.when(frame | (marker == ""), -at).otherwise(at + 2 + F.coalesce(pair(at + 2), F.lit(0)))
 
     jpeg = F.coalesce(F.hex(F.substring(content, 1, 2)) == "FFD8", F.lit(False))
-    first = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step)
-    room = F.when(jpeg & ~first["done"], F.sequence(F.lit(1), (F.octet_length(content) / 2).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
-    at = F.aggregate(room, first, step)["at"]
-    whole = jpeg & byte(at + 1).between(0xC0, 0xCF)
-    return F.when(whole, F.struct(pair(at + 5).alias("height"), pair(at + 7).alias("width"), byte(at + 9).alias("components")))
+    at = F.abs(walked(F.lit(2), step, 64, F.octet_length(content) / 2))
+    frame = lambda at: F.when(F.startswith(byte(at + 1), F.lit("C")), F.struct(pair(at + 5).alias("height"), pair(at + 7).alias("width"), F.conv(byte(at + 9), 16, 10).try_cast("int").alias("components")))
+    return F.when(jpeg, once(at, frame))
 
 
 # The name of the segment that holds a picture's orientation, and the turns by a quarter.
@@ -89,20 +102,16 @@ def with_exif_orientation(df: DataFrame, content: Column, out: str = "orientatio
     reach it, as many more as the content has room for.
     """
     c = F.col("_c")
-    byte = lambda at: F.conv(F.hex(F.substring(c, at + 1, F.lit(1))), 16, 10).try_cast("int")
     pair = lambda at: F.conv(F.hex(F.substring(c, at + 1, F.lit(2))), 16, 10).try_cast("int")
 
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
+    def step(at: Column) -> Column:
         head = F.hex(F.substring(c, at + 1, F.lit(2)))
         exif = (head == "FFE1") & (F.hex(F.substring(c, at + 5, F.lit(6))) == EXIF_NAME)
-        stop = state["done"] | exif | ~F.startswith(head, F.lit("FF")) | head.isin("FFDA", "FFD9") | (F.length(head) < 4)
-        return F.struct(F.when(stop, at).otherwise(at + 2 + F.greatest(F.lit(2), F.coalesce(pair(at + 2), F.lit(2)))).alias("at"), stop.alias("done"))
+        stop = exif | ~F.startswith(head, F.lit("FF")) | head.isin("FFDA", "FFD9") | (F.length(head) < 4)
+        return F.when(stop, -at).otherwise(at + 2 + F.greatest(F.lit(2), F.coalesce(pair(at + 2), F.lit(2))))
 
-    start = F.struct(F.lit(2).alias("at"), F.lit(False).alias("done"))
-    made = df.withColumn("_c", content).withColumn("_w", F.when(F.hex(F.substring(c, 1, 2)) == "FFD8", F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step)))
-    room = F.when(~F.col("_w.done"), F.sequence(F.lit(1), (F.octet_length(c) / 4).cast("int") + 1)).otherwise(F.array().cast("array<int>"))
-    made = made.withColumn("_at", F.aggregate(room, F.col("_w"), step)["at"])
+    jpeg = F.hex(F.substring(c, 1, 2)) == "FFD8"
+    made = df.withColumn("_c", content).withColumn("_at", F.when(jpeg, F.abs(walked(F.lit(2), step, 32, F.octet_length(c) / 4))))
     found = (F.hex(F.substring(c, F.col("_at") + 1, F.lit(2))) == "FFE1") & (F.hex(F.substring(c, F.col("_at") + 5, F.lit(6))) == EXIF_NAME)
     made = made.withColumn("_h", F.when(found, F.hex(F.substring(c, F.col("_at") + 11, pair(F.col("_at") + 2) - 8))))  # the directory's bytes as hexadecimal digits
     made = made.withColumn("_le", F.startswith("_h", F.lit("4949")))
@@ -118,7 +127,7 @@ def with_exif_orientation(df: DataFrame, content: Column, out: str = "orientatio
     tag = F.when(F.col("_le"), "1201").otherwise("0112")
     entry = F.filter(F.sequence(F.lit(0), F.col("_n").cast("int") - 1), lambda i: F.substring(F.col("_h"), (F.col("_t").cast("int") + 2 + i * 12) * 2 + 1, F.lit(4)) == tag)
     made = made.withColumn("_e", F.when(F.col("_n") > 0, F.get(entry, F.lit(0)))).withColumn("_v", number(F.col("_t") + 2 + F.col("_e") * 12 + 8, 2))
-    return made.withColumn(out, F.when(F.col("_v").between(1, 8), F.col("_v").cast("int"))).drop("_c", "_w", "_at", "_h", "_le", "_t", "_n", "_e", "_v")
+    return made.withColumn(out, F.when(F.col("_v").between(1, 8), F.col("_v").cast("int"))).drop("_c", "_at", "_h", "_le", "_t", "_n", "_e", "_v")
 
 
 def displayed_size(width: Column, height: Column, orientation: Column) -> tuple[Column, Column]:

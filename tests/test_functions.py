@@ -48,3 +48,11 @@ def test_jpeg_frame_lies_behind_any_number_of_segments(spark):
     rows = [(n, b"\xff\xd8" + segment * n + frame) for n in (0, 1, 63, 64, 65, 300)] + [(1000, b"\xff\xd8" + segment * 300), (1001, segment * 300), (1002, None), (1003, b"")]
     got = {r["n"]: r["f"] and tuple(r["f"]) for r in spark.createDataFrame(rows, "n int, content binary").select("n", binary.jpeg_frame(F.col("content")).alias("f")).collect()}
     assert got == {n: (300, 400, 3) if n < 1000 else None for n, _ in rows}
+
+
+def test_jpeg_segments_are_walked_once(spark):
+    """The walk stands once in each expression, whatever is read where it ends, and its places are plain numbers, which cost nothing once the end is found."""
+    df = spark.createDataFrame([(b"\xff\xd8\xff\xd9",)], "content binary")
+    for out in (df.select(binary.jpeg_frame(F.col("content")).alias("frame")), binary.with_exif_orientation(df, F.col("content"))):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert plan.count("aggregate(") == 2 and "done" not in plan, plan

@@ -280,3 +280,16 @@ def test_canonical_radius_is_taken_in_batches(spark):
     got = {r["id"]: r["fit_radius"] for r in out.collect()}
     table = {r["id"]: r["fit_radius"] for r in fit(poses=poses.fibonacci_poses(spark)).collect()}
     assert len(got) == 3000 and all(math.isclose(got[i], table[i], rel_tol=1e-9) for i in table)
+
+
+def test_radius_of_own_views_is_taken_in_batches(spark):
+    """A cap, a field of view and a margin of its own for each frame."""
+    frames = spark.range(3000).select("id", (F.col("id") % 97 / 40.0).alias("x"), (F.col("id") % 89 / 50.0).alias("y"), (25.0 + F.col("id") % 30).alias("fov"), (F.col("id") % 4 * 25.0).alias("angle"))
+    fit = lambda f, p=None: poses.fit_radius(f, ["id", "angle"], F.col("x"), F.col("y"), F.lit(800.0), F.lit(600.0), fov=F.col("fov"), max_angle=F.col("angle"), poses=p)
+    out = fit(frames)
+    assert "lambda" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["id"]: r["fit_radius"] for r in out.collect()}
+    assert len(got) == 3000
+    for angle in (0.0, 25.0, 75.0):
+        few = fit(frames.filter((F.col("angle") == angle) & (F.col("id") < 300)), poses.fibonacci_poses(spark, 49, angle)).collect()
+        assert few and all(math.isclose(got[r["id"]], r["fit_radius"], rel_tol=1e-9) for r in few)
