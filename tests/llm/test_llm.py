@@ -9,7 +9,7 @@ import oracle
 import pyarrow.parquet as pq
 import pytest
 
-from lumentrove.llm import components, minhash, packing, queries, quality
+from lumentrove.llm import components, kernels, minhash, packing, queries, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -173,3 +173,25 @@ def test_null_and_odd_rows(spark, tmp_path):
         assert queries.QUERIES[name](spark, str(tmp_path)).count() == len(rows), name
     assert queries.op1_warc(spark, str(tmp_path)).count() == 4
     assert queries.op3_packing(spark, str(tmp_path)).count() >= len(rows)
+
+
+def test_quality_features_take_bounded_memory():
+    """Features are made for a quarter of a megabyte of text at once, however many rows a batch has."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [" ".join(f"word{(i * 31 + j * j) % 4001}" for j in range(250)) for i in range(2000)]
+    data, offsets = kernels.raw_text(pa.array(texts))
+    assert len(data) > 3_500_000
+    kernels.powers(1)
+    tracemalloc.start()
+    try:
+        for _ in quality.all_bags(data, offsets):
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 64 << 20, most
+    whole = list(quality.bags(data, offsets[:301]))
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(whole, quality.all_bags(data, offsets[:301]), strict=True))
