@@ -6,8 +6,13 @@ follows the prose and claims no parity beyond that.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .ranking import best_rows, stored
 
@@ -28,37 +33,25 @@ def root_cell(at: Column, size: Column, cells: Column) -> tuple[Column, Column,
     return cell, whole(cell * size, cells), whole((cell + 1) * size, cells)
 
 
-def halves(box: Column) -> Column:
-    """Struct of (wide, cut): whether a box is cut across its width, which is where it is not the shorter side, and the pixel where the second half starts."""
-    width, height = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    wide = width >= height
-    return F.struct(wide.alias("wide"), F.when(wide, box["x0"] + F.call_function("div", width, F.lit(2))).otherwise(box["y0"] + F.call_function("div", height, F.lit(2))).alias("cut"))
-
-
-def half(box: Column, second: Column) -> Column:
-    cut, wide = halves(box)["cut"], halves(box)["wide"]
-    edge = lambda name, moved: F.when(moved, cut).otherwise(box[name]).cast("long").alias(name)
-    return F.struct(edge("x0", wide & second), edge("x1", wide & ~second), edge("y0", ~wide & second), edge("y1", ~wide & ~second))
-
-
-def cells_of(x: Column, y: Column, box: Column) -> Column:
-    """Array of (path, box): the cells from a grid cell down to the pixel that hold it.
+def cells_of(batch: pa.RecordBatch, rest: list[str]) -> Iterator[pa.RecordBatch]:
+    """The cells from a grid cell down to the pixel that hold each pixel, level by level: ``rest``, path, x0, x1, y0, y1.
 
     A path is 1 for the grid cell, and twice the parent's path, plus one for the
-    second half, for a half: a row of bits that leads from the grid cell down.
+    second half, for a half: a row of bits that leads from the grid cell down.  A box is
+    cut across its width unless that is the shorter side.
     """
-    splits = lambda size: F.ceil(F.log2(size.cast("double")))
-    most = (splits(box["x1"] - box["x0"]) + splits(box["y1"] - box["y0"]) + 1).cast("int")
-    step = lambda path, b: F.struct(path.cast("long").alias("path"), b.alias("box"))
-
-    def down(seen: Column, _: Column) -> Column:
-        last = F.get(seen, F.size(seen) - 1)
-        b = last["box"]
-        second = F.when(halves(b)["wide"], x >= halves(b)["cut"]).otherwise(y >= halves(b)["cut"])
-        more = F.concat(seen, F.array(step(last["path"] * 2 + second.cast("long"), half(b, second))))
-        return F.when((b["x1"] - b["x0"] > 1) | (b["y1"] - b["y0"] > 1), more).otherwise(seen)
-
-    return F.aggregate(F.sequence(F.lit(1), most), F.array(step(F.lit(1), box)), down)
+    x, y, x0, x1, y0, y1 = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y", *BOX))
+    at, path = np.arange(len(x)), np.ones(len(x), np.int64)
+    while len(at):
+        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in rest], *map(pa.array, (path, x0, x1, y0, y1))], names=[*rest, "path", *BOX])
+        more = (x1 - x0 > 1) | (y1 - y0 > 1)
+        at, path, x, y, x0, x1, y0, y1 = (c[more] for c in (at, path, x, y, x0, x1, y0, y1))
+        wide = x1 - x0 >= y1 - y0
+        cut = np.where(wide, x0 + (x1 - x0) // 2, y0 + (y1 - y0) // 2)
+        second = np.where(wide, x, y) >= cut
+        path = path * 2 + second
+        x0, x1 = np.where(wide & second, cut, x0), np.where(wide & ~second, cut, x1)
+        y0, y1 = np.where(~wide & second, cut, y0), np.where(~wide & ~second, cut, y1)
 
 
 def grow(pixels: DataFrame, keys: list[str], x: Column, y: Column, width: Column, height: Column, value: Column, count: Column, budget: Column) -> DataFrame:
@@ -84,17 +77,19 @@ def grow(pixels: DataFrame, keys: list[str], x: Column, y: Column, width: Column
     p = p.filter("_w > 0 and _h > 0 and _x >= 0 and _y >= 0 and _x < _w and _y < _h and _v is not null and _count is not null").withColumns({"_nx": columns, "_ny": rows})
     gx, x0, x1 = root_cell(F.col("_x"), F.col("_w"), F.col("_nx"))
     gy, y0, y1 = root_cell(F.col("_y"), F.col("_h"), F.col("_ny"))
-    p = p.withColumns({"grid_x": gx, "grid_y": gy, "_box": F.struct(*[c.alias(n) for n, c in zip(BOX, (x0, x1, y0, y1), strict=True)])})
     cell = [*keys, "grid_x", "grid_y", "path"]
-    spread = p.select(*keys, "grid_x", "grid_y", "_v", (F.col("_budget") - F.col("_nx") * F.col("_ny")).alias("_room"), F.explode(cells_of(F.col("_x"), F.col("_y"), F.col("_box"))).alias("_c"))
+    rest = [*keys, "grid_x", "grid_y", "_v", "_room"]
+    p = p.withColumns({"grid_x": gx, "grid_y": gy, "_room": F.col("_budget") - F.col("_nx") * F.col("_ny")} | dict(zip(BOX, (x0, x1, y0, y1), strict=True))).select(*rest, "_x", "_y", *BOX)
+    made = StructType([p.schema[c] for c in rest] + [StructField(c, LongType()) for c in ("path", *BOX)])
+    spread = p.mapInArrow(lambda batches: (cells for batch in batches for cells in cells_of(batch, rest)), made)
     wide = F.col("_v").cast("decimal(19,0)")
-    sums = spread.groupBy(*keys, "grid_x", "grid_y", F.col("_c.path").alias("path"), F.col("_c.box").alias("_box")).agg(F.count(F.lit(1)).alias("pixels"), F.sum("_v").alias("_s"), F.sum(wide * wide).alias("_ss"), F.max("_room").alias("_room"))
+    sums = spread.groupBy(*cell, *BOX).agg(F.count(F.lit(1)).alias("pixels"), F.sum("_v").alias("_s"), F.sum(wide * wide).alias("_ss"), F.max("_room").alias("_room"))
     n, s = F.col("pixels").cast("decimal(12,0)"), F.col("_s").cast("decimal(19,0)")
     error = F.call_function("div", n * F.col("_ss").cast("decimal(26,0)") - s * s, n)
-    nodes = stored(sums.select(*cell, "_box", "pixels", (F.col("_s") / F.col("pixels")).alias("mean"), error.alias("error"), "_room"), "cells")
-    splittable = nodes.filter("_box.x1 - _box.x0 > 1 or _box.y1 - _box.y0 > 1")
+    nodes = stored(sums.select(*cell, *BOX, "pixels", (F.col("_s") / F.col("pixels")).alias("mean"), error.alias("error"), "_room"), "cells")
+    splittable = nodes.filter("x1 - x0 > 1 or y1 - y0 > 1")
     depth = F.floor(F.log2(F.col("path").cast("double")))
     split = best_rows(splittable.select(*cell, "error", "_room"), keys, F.col("error"), [depth, F.col("grid_y"), F.col("grid_x"), F.col("path")], F.col("_room")).select(*[F.col(c).alias(f"_split_{c}") for c in cell])
     is_at = lambda path: [F.col(c).eqNullSafe(F.col(f"_split_{c}")) for c in cell[:-1]] + [path == F.col("_split_path")]
     made = nodes.filter("path = 1").unionByName(nodes.filter("path > 1").join(split, is_at(F.call_function("div", F.col("path"), F.lit(2))), "left_semi"))
-    return made.join(split, is_at(F.col("path")), "left_anti").select(*cell, "_box.*", "pixels", "mean", "error")
+    return made.join(split, is_at(F.col("path")), "left_anti").select(*cell, *BOX, "pixels", "mean", "error")

@@ -1,5 +1,6 @@
 """Shape quotas, local structure, cell growth and run progress against plain Python."""
 
+import collections
 import datetime
 import heapq
 import itertools
@@ -206,3 +207,18 @@ def test_progress_stream_equals_batch(spark, tmp_path):
     batch = progress.run_progress(spark.createDataFrame(kept, EVENTS), "run", "ts", F.col("step"), {"loss": F.col("loss")}, F.col("goal"))
     last = AT + datetime.timedelta(minutes=900)  # still open
     assert sorted(found) == sorted(map(tuple, batch.filter(F.col("started") < last).collect()))
+
+
+def test_cells_of_a_batch_level_by_level():
+    """A batch of pixels goes down all its grid cells at once: a batch per level, in which the pixels of a cell share path and box."""
+    import pyarrow as pa
+
+    boxes = [(0, 5, 0, 3), (5, 6, 0, 1), (6, 40, 2, 4)]
+    rows = [(i, x, y, *box) for i, box in enumerate(boxes) for x in range(*box[:2]) for y in range(*box[2:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["grid", "_x", "_y", *growth.BOX])
+    levels = [cells.to_pylist() for cells in growth.cells_of(batch, ["grid"])]
+    assert len(levels[0]) == len(rows) and all(r["path"] == 1 for r in levels[0])
+    flat = [r for level in levels for r in level]
+    sizes = collections.Counter((r["grid"], r["path"], *[r[c] for c in growth.BOX]) for r in flat)
+    assert all(n == (x1 - x0) * (y1 - y0) for (_, _, x0, x1, y0, y1), n in sizes.items())  # every cell holds just the pixels of its box
+    assert sum(n == 1 for n in sizes.values()) == len(rows) and len(sizes) == sum(2 * (b[1] - b[0]) * (b[3] - b[2]) - 1 for b in boxes)
